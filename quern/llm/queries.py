@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, exact_dedup, sharding
+from quern.llm import chat_format, exact_dedup, sharding, simhash
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op8_simhash": simhash.op8_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {
