@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, exact_dedup, sharding, simhash
+from quern.llm import chat_format, exact_dedup, packing, sharding, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
     "op8_simhash": simhash.op8_simhash,
