@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, exact_dedup, packing, sharding, simhash
+from quern.llm import chat_format, exact_dedup, html_extract, packing, sharding, simhash
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_packing": packing.op2_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
