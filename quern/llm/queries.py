@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, exact_dedup, html_extract, packing, sharding, simhash, toxicity
+from quern.llm import chat_format, decontaminate, exact_dedup, html_extract, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_packing": packing.op2_packing,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
