@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, packing, sharding, simhash, toxicity
+from quern.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {
