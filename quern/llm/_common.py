@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds at least 1/HOT_SHARE of all rows is "hot"; at most HOT_SHARE keys can, so a table of them is bounded.
 HOT_SHARE = 1000
+#: Up to so many ids are broadcast to find their rows; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -59,6 +61,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total:
     return rows.join(hot, key, "inner").unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
 
 
+def rows_with(docs: DataFrame, id_col: str, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` with (left_semi) or without (left_anti) one of ``ids``, a table of one column and at most
+    ``n`` rows; a null id equals a null id. Texts are not shuffled if the ids are few enough to broadcast."""
+    name = "_rows_with_id"
+    ids = ids.toDF(name)
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), how)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Rows (node, component) for every node with an edge; component is the smallest node that can be reached.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import stash, table
+from quern.llm._common import rows_with, stash, table
 
 #: Words of a seed; a seed in more than this share of the documents (and more than LEAST_DF of them) is common.
 SEED, COMMON_SHARE, LEAST_DF = 4, 0.001, 20
@@ -207,8 +207,8 @@ def _score(index, common: set[int]):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that copy no item, all columns; a row without an id is kept."""
-    found = stash(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_found_id")).distinct())
-    return docs.join(found, F.col(id_col) == F.col("_found_id"), "left_anti")
+    found = stash(contaminated(docs.select(id_col, text_col), benchmark, id_col, text_col).filter(F.col(id_col).isNotNull()).select(id_col).distinct())
+    return rows_with(docs, id_col, found, found.count(), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

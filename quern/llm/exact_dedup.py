@@ -7,11 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import lookup, stash, table
+from quern.llm._common import lookup, rows_with, stash, table
 
-#: Up to so many ids are broadcast to find the rows whose bytes are compared; beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-ORDER = ("no_id", "id", "row")
 
 
 def normalized(text: Column) -> Column:
@@ -37,7 +34,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total, copies = base.count(), groups.agg(F.sum("n")).head()[0] or 0
 
     members = lookup(base.select("h", "id"), groups.select("h", "n"), "h", "inner", "n", total).select("id").distinct()
-    with_text = _rows_of(src, members, copies).select("id", "t", F.unhex(digest(F.col("t"))).alias("h"))
+    with_text = rows_with(src, "id", members, copies).select("id", "t", F.unhex(digest(F.col("t"))).alias("h"))
     texts = with_text.groupBy("h", "t").agg(F.count("*").alias("n"))
     mixed = stash(texts.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1").select("h"))
 
@@ -60,17 +57,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def _rows_of(src: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of ``src`` with these ids, null included; ``n`` bounds the number of ids."""
-    if n <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return src.join(ids.withColumnRenamed("id", "member"), F.col("id").eqNullSafe(F.col("member")), "left_semi")
-
-
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_groups keeps, all columns; ids must be unique for one row of a group to stay."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that exact_groups keeps, all columns: one row of each group.
+
+    Where an id has several rows, rows are told apart by id and text, and of equal ones one stays.
+    """
+    groups = stash(exact_groups(docs.select(id_col, text_col), id_col, text_col))
+    if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
+        gone = stash(groups.filter("not kept").select(id_col))
+        return rows_with(docs, id_col, gone, gone.count(), "left_anti")
+    kept = groups.filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    told = docs.withColumn("_sha", F.sha2(normalized(F.col(text_col)), 256))
+    told = told.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).filter("_nth = 1")
+    return told.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").drop("_sha", "_nth")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import connected_components, lookup, stash, table
+from quern.llm._common import connected_components, lookup, rows_with, stash, table
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: The 64 bits in three segments, each decoded as a 23-bit word of the Golay code, padded with zeros.
@@ -204,9 +204,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's: one document of each group; all columns."""
-    kept = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` whose id is their component's, all columns: one document of each group.
+
+    Rows that share an id share its fate: all stay if one of them is its group's document.
+    """
+    groups = stash(near_groups(docs.select(id_col, text_col), id_col, text_col))
+    mine = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = stash(groups.groupBy(id_col).agg(F.max(mine).alias("stays")).filter("not stays").select(id_col))
+    return rows_with(docs, id_col, gone, gone.count(), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
