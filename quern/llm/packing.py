@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,7 +17,7 @@ from quern.llm._common import stash, table
 
 WINDOW, QUANTUM = 1024, 128
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Mixture weights are scaled to this whole number, so that schedules are exact in 64-bit integers.
 SCALE = 1 << 20
 
@@ -27,11 +28,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: itself where it is printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(free)) for b in range(256)}
+
+
 class WordTokenizer:
     """Ids of whole texts by a byte-level BPE tokenizer, which never joins bytes across a single space before a word.
 
     In a text whose white space is single spaces and line feeds between words, each word with the white space before it
-    is tokenized on its own; its ids are remembered. Other texts go to the tokenizer whole. The ids are the same.
+    is tokenized on its own; its ids are remembered. A comma or full stop after a letter and a line feed before one are
+    pieces of their own to the tokenizer, so a word's ids serve with and without them, and a word of letters is one
+    piece, which goes to the tokenizer's model directly. Other texts go to the tokenizer whole. The ids are the same.
     """
 
     def __init__(self, path: str):
@@ -41,29 +51,53 @@ class WordTokenizer:
         self.tok.encode_special_tokens = True
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
-        self.known: dict[str, bytes] = {}
+        self.model, self.letter = self.tok.model, _byte_letters()
+        self.marks = {c: self._ids([c])[0] for c in ",.\n"}
+        self.known: dict[str, bytes | None] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        split, new = [], set()
-        for t in texts:
-            words = None
-            if len(t.split()) == t.count(" ") + t.count("\n") + 1 and "\0" not in t:
-                words = (" " + t).replace("\n", " \n").split(" ")[1:]
-                words[0] = "\0" + words[0]  # the first word has no space before it
-                new.update(w for w in words if w not in self.known)
-            split.append(words)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for words in split if words for w in words}
-        if new:
-            order = list(new)
-            self.known.update(zip(order, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in order])))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) if w else self._ids([t])[0] for t, w in zip(texts, split)]
+        """16-bit ids of each text, in the byte order of the machine. A first word, which has no space before it, is known by a NUL before it."""
+        return [self._encode(t) for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if "\0" in text:
+            return self._ids([text])[0]
+        words = ("\0" + text).replace("\n", " \n").split(" ")
+        try:
+            try:
+                return b"".join(map(self.known.__getitem__, words))
+            except KeyError:
+                if len(self.known) > REMEMBERED:
+                    self.known = {}
+                self._learn({w for w in words if w not in self.known})
+                return b"".join(map(self.known.__getitem__, words))
+        except TypeError:  # a None: other white space than the above
+            return self._ids([text])[0]
+
+    def _learn(self, words: set[str]) -> None:
+        known, model, letter, odd = self.known, self.model.tokenize, self.letter, []
+        for w in words:
+            lead = w[:1] if w[:1] in ("\0", "\n") else ""
+            bare = w[1:] if lead else w
+            if bare.split() != [bare]:
+                known[w] = None
+                continue
+            mark = bare[-1] if bare[-1] in ",." and bare[-2:-1].isalpha() else ""
+            letters = bare[:-1] if mark else bare
+            base = "\0" + letters if lead else letters
+            if (ids := known.get(base)) is None:
+                if not letters.isalpha():
+                    odd.append(w)
+                    continue
+                piece = letters if lead else " " + letters
+                ids = known[base] = array("H", [t.id for t in model("".join([letter[b] for b in piece.encode()]))]).tobytes()
+            if mark or lead == "\n":
+                known[w] = (self.marks["\n"] if lead == "\n" else b"") + ids + (self.marks[mark] if mark else b"")
+        if odd:
+            known.update(zip(odd, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in odd])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
 
 @cache
@@ -164,7 +198,7 @@ def _cut(schedule: Schedule, names: list):
         ids = b.column("ids")
         for k, (r, x, m) in enumerate(zip(row.tolist(), at.tolist(), (hi - lo).tolist())):
             if r != now:
-                now, view = r, memoryview(np.frombuffer(ids[r].as_py(), "<u2").astype("<u4").tobytes())
+                now, view = r, memoryview(np.frombuffer(ids[r].as_py(), np.uint16).astype("<u4").tobytes())
             crc[k] = zlib.crc32(view[4 * x : 4 * (x + m)])
         cols = [b.column("id").take(pa.array(row)), pa.array(at), pa.array(hi - lo), pa.array(crc), pa.array(n[row]), pa.array(window), pa.array(offset), b.column("source").take(pa.array(row))]
         return pa.record_batch(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
