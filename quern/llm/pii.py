@@ -20,7 +20,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d|-\d)",
+    "phone": r"(?<![\d+])(?:(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])|\(\d{3}\)[ .-]?)\d{3}|[2-9]\d\d[ .-][2-9]\d\d)[ .-]\d{4}(?!\d|-\d)",
     "card": r"(?<![\d.+-])[3-6]\d{3}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{5})(?!\d|-\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "date": r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?!\d|[/-]\d)",
@@ -115,11 +115,17 @@ def _card(m: Column, tweak: Column, back: bool) -> Column:
 
 
 def _phone(m: Column, tweak: Column, back: bool) -> Column:
-    """Area and exchange codes from 200 to 999 and four digits; a leading +1 stays."""
+    """Ten digits; a leading +1 stays. Area and exchange codes below 200, which no subscriber has, stay below 200."""
     d = F.substring(_digits(m), -10, 10)
     n = lambda at, size: F.substring(d, at, size).cast("long")
-    y = feistel((n(1, 3) - 200) * 8_000_000 + (n(4, 3) - 200) * 10_000 + n(7, 4), 80_000, 80_000, tweak, back)
-    ten = F.concat((_whole(y, 8_000_000) + 200).cast("string"), (F.pmod(_whole(y, 10_000), F.lit(800)) + 200).cast("string"), F.lpad(F.pmod(y, F.lit(10_000)).cast("string"), 4, "0"))
+
+    def within(area: tuple[int, int], exchange: tuple[int, int]) -> Column:
+        (a0, a), (e0, e) = area, exchange
+        y = feistel(((n(1, 3) - a0) * e + n(4, 3) - e0) * 10_000 + n(7, 4), a * 100, e * 100, F.concat(tweak, F.lit(f"{a0}{e0}")), back)
+        return F.concat(F.lpad((_whole(y, e * 10_000) + a0).cast("string"), 3, "0"), F.lpad((F.pmod(_whole(y, 10_000), F.lit(e)) + e0).cast("string"), 3, "0"), F.lpad(F.pmod(y, F.lit(10_000)).cast("string"), 4, "0"))
+
+    low, high = (0, 200), (200, 800)
+    ten = F.when((n(1, 3) >= 200) & (n(4, 3) >= 200), within(high, high)).when(n(1, 3) >= 200, within(high, low)).when(n(4, 3) >= 200, within(low, high)).otherwise(within(low, low))
     lead = F.length(_digits(m)) - 10
     return _fill(m, F.concat(F.substr(_digits(m), F.lit(1), lead), ten))
 
