@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,18 +17,20 @@ from quern.llm._common import stash, table
 #: The chain. Only ``toxic`` is labelled; the two before it are graded from it: a toxic text with two or more distinct
 #: telling words, and one in which telling words are at least half as frequent as in the median toxic text's.
 CATEGORIES = ("toxic_repeated", "toxic_dense", "toxic")
-#: Labelled rows used at most (the ones with the smallest hash of their id), and words of a model at most.
-MAX_TRAIN, MAX_WORDS = 20_000, 256
-#: Words and stems, most evidence first, that the driver gets of the labelled rows.
+#: Labelled rows used at most (the ones with the smallest hash of their id), and features of a model at most.
+MAX_TRAIN, MAX_FEATURES = 20_000, 512
+#: Features, most evidence first, that the driver gets of the labelled rows.
 MAX_CANDIDATES = 4096
-FOLDS, STEPS, PENALTY, THRESHOLD = 3, 120, 1.0, 0.5
-#: Evidence (nats) and ratio of odds that a word needs to be in a model.
-LEAST_EVIDENCE, LEAST_ODDS = 12.0, 3.0
+FOLDS, STEPS, PENALTY, THRESHOLD = 3, 25, 0.1, 0.4
+#: Evidence (nats) and ratio of odds that a feature needs to be in a model.
+LEAST_EVIDENCE, LEAST_ODDS = 9.0, 3.0
+#: Letters of a stem.
+STEMS = (4, 5, 6, 7, 8)
 STRIP = ".,;:!?\"'()[]{}<>*#%&$_-–—…«»“”‘’/\\|"
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words, without punctuation around them, and stems of four and five letters as ``stem*``."""
+    """Distinct lower-case words, without punctuation around them."""
     out = set()
     for w in set((text or "").lower().split()):
         w = w.strip(STRIP)
@@ -35,26 +38,65 @@ def words_of(text: str | None) -> set[str]:
             out.add(w)
         elif w:
             out.update(re.findall(r"[^\W_]+", w))
-    stems = {w[:5] + "*" for w in out if len(w) > 5}
-    stems.update([w[:4] + "*" for w in out if len(w) > 4])
-    return out | stems
+    return out
+
+
+def features(text: str | None) -> set[str]:
+    """Words, stems of longer words as ``stem*``, and ``stem**`` for a stem of two or more distinct words."""
+    words = words_of(text)
+    out = set(words)
+    for n in STEMS:
+        for w in words:
+            if len(w) > n:
+                stem = w[:n] + "*"
+                out.add(stem + "*" if stem in out else stem)
+    return out
 
 
 @dataclass
 class Linear:
-    """A logistic model of words and earlier logits; a constant if a class has no rows."""
+    """A logistic model of features and earlier probabilities; a constant if a class has no rows."""
 
     bias: float
     words: dict[str, float]
     earlier: list[float]
 
-    def logit(self, words: set[str], earlier: list[float]) -> float:
-        w = self.words
-        return self.bias + sum(w[x] for x in words & w.keys()) + sum(a * b for a, b in zip(self.earlier, earlier))
+    def probability(self, found: set[str], earlier: list[float]) -> float:
+        z = self.bias + sum(self.words[x] for x in found & self.words.keys()) + sum(a * b for a, b in zip(self.earlier, earlier))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+class Chain:
+    """The models in their order. Only the features that one of them has are looked for in a text."""
+
+    def __init__(self, models: list[Linear]):
+        self.models = models
+        names = {x for m in models for x in m.words}
+        self.words = {x for x in names if x[-1] != "*"}
+        self.stems = {x.rstrip("*") for x in names if x[-1] == "*"}
+        self.sizes = sorted({len(x) for x in self.stems})
+        self.starts = {x[: STEMS[0]] for x in self.stems}
+
+    def found(self, text: str | None) -> set[str]:
+        words = words_of(text)
+        out = words & self.words
+        for w in words:
+            if w[: STEMS[0]] in self.starts:
+                for n in self.sizes:
+                    if len(w) > n and (stem := w[:n]) in self.stems:
+                        out.add(stem + "**" if stem + "*" in out else stem + "*")
+        return out
+
+    def score(self, text: str | None) -> list[float]:
+        """Probability of each category, in the order of the chain."""
+        found, out = self.found(text), []
+        for m in self.models:
+            out.append(m.probability(found, out))
+        return out
 
 
 class Rows:
-    """Labelled rows as a sparse matrix of word numbers; ``size`` is how many words each row has in all."""
+    """Labelled rows as a sparse matrix of feature numbers; ``size`` is how many features each row has in all."""
 
     def __init__(self, words: list[list[str]], size: list[int] | None = None):
         number: dict[str, int] = {}
@@ -65,7 +107,10 @@ class Rows:
         self.size = np.array(size if size is not None else [len(w) for w in words], float)
 
     def telling(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """Numbers of the words that tell the classes apart among the rows in use, most evidence first."""
+        """Numbers of the features that tell the classes apart among the rows in use, most evidence first.
+
+        Of features that the same rows have one stays: a word before a stem, a longer stem before a shorter one.
+        """
         base = y[use].mean() if use.any() else 0.0
         if not 0 < base < 1:
             return np.array([], np.int64)
@@ -78,39 +123,46 @@ class Rows:
             q = pos / both
             gain = np.nan_to_num(pos * np.log(q / base)) + np.nan_to_num((both - pos) * np.log((1 - q) / (1 - base)))
         good = np.flatnonzero((gain >= LEAST_EVIDENCE) & (odds >= np.log(LEAST_ODDS)))
-        return good[np.lexsort((good, -gain[good]))][:MAX_WORDS]
+        general = [(-gain[k], self.names[k].endswith("*"), -len(self.names[k]), self.names[k]) for k in good]
+        good = good[sorted(range(len(good)), key=general.__getitem__)]
+        marks = np.random.default_rng(0).integers(1, 1 << 62, self.n)
+        mark = np.zeros(len(self.names), np.int64)
+        np.add.at(mark, self.cols[kept], marks[self.row[kept]])
+        return good[np.sort(np.unique(mark[good], return_index=True)[1])][:MAX_FEATURES]
 
     def matrix(self, cols: np.ndarray) -> np.ndarray:
         at = np.full(len(self.names), -1)
         at[cols] = np.arange(len(cols))
         hit = at[self.cols] >= 0
-        x = np.zeros((self.n, len(cols)), np.float32)
+        x = np.zeros((self.n, len(cols)))
         x[self.row[hit], at[self.cols[hit]]] = 1
         return x
 
 
 def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) -> tuple[Linear, np.ndarray]:
-    """The model fitted to the rows in use, and its logits for all rows. Ridge-penalised, accelerated gradient steps."""
+    """The model fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps.
+
+    Equal rows count as one with their number as weight; most rows have no feature at all.
+    """
     base = (y[use].sum() + 0.5) / (use.sum() + 1)
     prior = float(np.log(base / (1 - base)))
     if not 0 < y[use].sum() < use.sum():
-        return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, prior)
+        return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, base)
     cols = rows.telling(y, use)
-    x = np.concatenate([rows.matrix(cols), np.clip(earlier, -8, 8).astype(np.float32) / 8], axis=1)
-    a, t = x[use], y[use].astype(np.float32)
-    w = v = np.append(np.zeros(x.shape[1], np.float32), np.float32(prior))
-    top = a.T @ (a @ np.ones(a.shape[1], np.float32)) if a.shape[1] else np.zeros(0, np.float32)
-    rate = 1 / (0.25 * (float(top.max(initial=0)) + len(t)) + PENALTY)
-    for k in range(STEPS):
-        z = a @ v[:-1] + v[-1]
-        d = 1 / (1 + np.exp(-z)) - t
-        g = np.append(a.T @ d + PENALTY * v[:-1], d.sum())
-        nxt = v - rate * g
-        v = nxt + k / (k + 3) * (nxt - w)
-        w = nxt
-    z = x @ w[:-1] + w[-1]
-    n = len(cols)
-    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:n].tolist())), (w[n:-1] / 8).tolist()), z.astype(float)
+    x = np.column_stack([rows.matrix(cols), earlier, np.ones(rows.n)])
+    a, group = np.unique(x[use], axis=0, return_inverse=True)
+    n = np.bincount(group.ravel())
+    t = np.bincount(group.ravel(), weights=y[use])
+    ridge = np.append(np.full(a.shape[1] - 1, PENALTY), 1e-6)
+    w = np.append(np.zeros(a.shape[1] - 1), prior)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (t - n * p) - ridge * w)
+        w = w + np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-6:
+            break
+    k = len(cols)
+    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
 def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
@@ -127,8 +179,8 @@ def _positive(rows: Rows, y: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return cols[(x * y[:, None]).sum(axis=0) > y.mean() * x.sum(axis=0)]
 
 
-def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None = None) -> list[Linear]:
-    """One model per category. A model learns from earlier categories' logits for rows that their models didn't see."""
+def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None = None) -> Chain:
+    """One model per category. A model learns from earlier categories' probabilities for rows that their models didn't see."""
     rows, y0 = Rows(words, size), np.array(toxic, float)
     y = grades(rows, y0)
     fold = np.arange(rows.n) % FOLDS
@@ -142,23 +194,15 @@ def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None =
             for f in range(FOLDS):
                 out[fold == f] = fit_linear(rows, y[:, c], held, fold != f)[1][fold == f]
         held = np.column_stack([held, out])
-    return models
-
-
-def score(models: list[Linear], text: str | None) -> list[float]:
-    """Probability of each category, in the order of the chain."""
-    words, logits = words_of(text), []
-    for m in models:
-        logits.append(m.logit(words, [min(8.0, max(-8.0, z)) for z in logits]))
-    return [float(1 / (1 + np.exp(-z))) for z in logits]
+    return Chain(models)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column("id"), b.column("toxic"), pa.array([sorted(words_of(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
+        yield pa.record_batch([b.column("id"), b.column("toxic"), pa.array([sorted(features(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Linear]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     """The chain for at most ``max_train`` labelled documents. Words are counted on the cluster; the driver gets, for
     each of these documents, which of the MAX_CANDIDATES most telling words it has."""
     lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -177,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> lis
     return fit_chain(got.column("words").to_pylist(), got.column("toxic").to_pylist(), got.column("size").to_pylist())
 
 
-def classify(docs: DataFrame, models: list[Linear], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, a probability p_<category> for each category, and rejected (toxic at THRESHOLD or more), for each row.
 
     One pass over whole texts without a shuffle. Null and empty texts have no words; null ids and repeated rows are
@@ -186,19 +230,19 @@ def classify(docs: DataFrame, models: list[Linear], id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([score(models, t.as_py()) for t in b.column("t")]).reshape(-1, len(CATEGORIES))
+            p = np.array([chain.score(t.as_py()) for t in b.column("t")]).reshape(-1, len(CATEGORIES))
             yield pa.record_batch([b.column("id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= THRESHOLD)], ["id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return src.mapInArrow(run, "id long, " + "".join(f"p_{c} double, " for c in CATEGORIES) + "rejected boolean").withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, models: list[Linear], text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the chain doesn't reject, all columns; each row is judged where it is, without a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([score(models, t.as_py())[-1] < THRESHOLD for t in b.column(text_col)], pa.bool_()))
+            yield b.filter(pa.array([chain.score(t.as_py())[-1] < THRESHOLD for t in b.column(text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
