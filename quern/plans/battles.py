@@ -57,20 +57,17 @@ def agg_win_matrix(t):
     return arena.win_matrix(battles(t))
 
 
-ELO_SQL = """WITH RECURSIVE {b}, o AS (SELECT *, row_number() OVER (ORDER BY seq {d}) AS i FROM battles WHERE seq < 400), r AS (
-  SELECT 0::BIGINT AS i, map(['agent0', 'agent1', 'agent2', 'agent3', 'agent4'], [1000.0::DOUBLE, 1000.0, 1000.0, 1000.0, 1000.0]) AS m
-  UNION ALL
-  SELECT i, map_concat(m, map([a, b], [ra + 4 * (s - 1 / (1 + pow(10::DOUBLE, (rb - ra) / 400))), rb + 4 * (1 - s - 1 / (1 + pow(10::DOUBLE, (ra - rb) / 400)))])) FROM (
-    SELECT o.i, o.a, o.b, r.m, r.m[o.a] AS ra, r.m[o.b] AS rb, CASE o.rating WHEN 'A is better' THEN 1 WHEN 'B is better' THEN 0 ELSE 0.5 END::DOUBLE AS s FROM r JOIN o ON o.i = r.i + 1)
-), f AS (SELECT m FROM r ORDER BY i DESC LIMIT 1) SELECT unnest(map_keys(m)) AS agent, round(unnest(map_values(m)), 6) AS rating FROM f"""
+# SQL over all battles in order: a fold of their list, which starts from the ratings as its first member
+ELO_SQL = """WITH {b}, l AS (SELECT list({{'m': NULL::MAP(VARCHAR, DOUBLE), 'a': a, 'b': b, 's': CASE rating WHEN 'A is better' THEN 1.0 WHEN 'B is better' THEN 0.0 ELSE 0.5 END::DOUBLE}} ORDER BY seq {d}) AS l FROM battles),
+f AS (SELECT list_reduce(l, lambda r, x: {{'m': map_concat(r.m, map([x.a, x.b], [coalesce(r.m[x.a], 1000) + 4 * (x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.b], 1000) - coalesce(r.m[x.a], 1000)) / 400))), coalesce(r.m[x.b], 1000) + 4 * (1 - x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.a], 1000) - coalesce(r.m[x.b], 1000)) / 400)))])), 'a': x.a, 'b': x.b, 's': x.s}},
+  {{'m': map(['-'], [0.0::DOUBLE]), 'a': '', 'b': '', 's': 0.0::DOUBLE}}).m AS m FROM l)
+SELECT agent, round(m[agent], 6) AS rating FROM (SELECT unnest(map_keys(m)) AS agent, m FROM f) WHERE agent <> '-'"""
 
 
 def elo(t, reverse: bool):
-    one = battles(t).filter("seq < 400").withColumn("pool", F.lit(0))
-    return arena.online_elo(one, "seq", "pool", reverse).select("agent", F.round("rating", 6).alias("rating"))
+    return arena.online_elo(battles(t).withColumn("pool", F.lit(0)), "seq", "pool", reverse).select("agent", F.round("rating", 6).alias("rating"))
 
 
-# the recursive SQL carries one state, so these two take the first battles only; elo_pools takes all of them
 @query("elo_online", ELO_SQL.format(b=BATTLES, d="ASC"))
 def elo_online(t):
     return elo(t, False)

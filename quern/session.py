@@ -30,7 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read again: what it holds no longer depends on replanning."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:" + os.path.join(tempfile.gettempdir(), f"quern-tables-{os.getpid()}")
-    path = f"{where}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one only where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file:" + os.path.join(tempfile.gettempdir(), f"quern-tables-{os.getpid()}")

@@ -11,8 +11,16 @@ def write_jsonl(df: DataFrame, path: str, *partition_by: str) -> None:
     (w.partitionBy(*partition_by) if partition_by else w).json(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path if path.endswith(".parquet") else path + ".parquet")
+def with_extension(path: str, extension: str) -> str:
+    return path if path.endswith(f".{extension}") else f"{path}.{extension}"
+
+
+def export(df: DataFrame, path: str, kind: str = "jsonl") -> str:
+    """Writes a dataset as jsonl or parquet; where it is: the extension is added if it is missing."""
+    where = with_extension(path, kind)
+    w = df.write.mode("overwrite")
+    w.json(where) if kind == "jsonl" else w.parquet(where)
+    return where
 
 
 def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
