@@ -159,9 +159,13 @@ def _python_without(source: str) -> str:
     return "".join(out)
 
 
+def _parts(node: ast.AST) -> list[ast.AST]:
+    return [c for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context)]
+
+
 def _shape(node: ast.AST) -> str:
     """The kinds of nodes of a tree, without names and literals."""
-    inner = [_shape(c) for c in ast.iter_child_nodes(node)]
+    inner = [_shape(c) for c in _parts(node)]
     return f"({' '.join([type(node).__name__, *inner])})"
 
 
@@ -178,9 +182,9 @@ def subtrees(source: str) -> list[tuple[str, int, str]]:
     stack, out = [(root, 1)] if root else [], []
     while stack:
         node, depth = stack.pop()
-        parts = list(ast.iter_child_nodes(node))
+        parts = _parts(node)
         out.append((_shape(node), depth, ast.unparse(parts[0]) if parts and isinstance(parts[0], (ast.expr, ast.stmt)) else ""))
-        stack += [(c, depth + 1) for c in parts if any(True for _ in ast.iter_child_nodes(c))]
+        stack += [(c, depth + 1) for c in parts if _parts(c)]
     return out
 
 

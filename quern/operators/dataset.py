@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -229,10 +230,10 @@ def overlay(settings: DataFrame, prefixes: list[str], use: str) -> DataFrame:
 
     A value whose key tells of a secret is shown by its last four characters.
     """
-    x = settings.withColumn("own", F.col("key").startswith(f"{use}_"))
-    plain = F.when(F.col("own"), F.substr("key", F.lit(len(use) + 2))).otherwise(F.col("key"))
-    allowed = F.exists(F.array(*[F.lit(f"{p}_") for p in prefixes]), lambda p: plain.startswith(p))
-    got = x.select(plain.alias("key"), "value", "own", allowed.alias("ok")).filter("ok").groupBy("key").agg(F.max_by("value", "own").alias("value"))
+    own = F.col("key").startswith(f"{use}_")
+    x = settings.select(F.when(own, F.substr("key", F.lit(len(use) + 2))).otherwise(F.col("key")).alias("key"), "value", own.cast("int").alias("own"))
+    allowed = reduce(lambda a, b: a | b, [F.col("key").startswith(f"{p}_") for p in prefixes])
+    got = x.filter(allowed).groupBy("key").agg(F.max_by("value", "own").alias("value"))
     secret = F.exists(F.array(F.lit("KEY"), F.lit("SECRET"), F.lit("TOKEN")), lambda s: F.col("key").contains(s))
     hidden = F.concat(F.repeat(F.lit("."), F.greatest(F.length("value") - 4, F.lit(0))), F.substring("value", -4, 4))
     return got.withColumn("shown", F.when(secret, hidden).otherwise(F.col("value")))

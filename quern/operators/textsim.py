@@ -20,7 +20,8 @@ def grams(tokens: Column, n: int, left: str | None = None, right: str | None = N
 
 
 def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int) -> DataFrame:
-    every = F.concat(*[F.transform(grams(tokens, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)])
+    sized = lambda n: F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    every = F.concat(*[sized(n) for n in range(1, most + 1)])
     return df.select(*keys, F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("c"))
 
 

@@ -32,7 +32,7 @@ def chunk_semantic(t):
 LINES = "[lang || ' 1?', '---', '2. why ' || source || '?!!', '']"
 
 
-@query("gen_questions", f"SELECT doc_id, list_filter({LINES}, lambda x: regexp_matches(x, '\\p{{L}}')) AS lines, [lang || ' ', 'why ' || source] AS stripped FROM documents".replace("lang || ' '", "lang || ' '"))
+@query("gen_questions", f"SELECT doc_id, list_filter({LINES}, lambda x: regexp_matches(x, '\\p{{L}}')) AS lines, [lang || ' ', 'why ' || substr(source, 1, 4)] AS stripped FROM documents")
 def gen_questions(t):
     def complete(prompts: list[str]) -> list[str]:  # a stand-in for a model
         return ["{} 1?\n---\n2. why {}?!!\n".format(*p.split("|")) for p in prompts]
@@ -41,8 +41,8 @@ def gen_questions(t):
     return x.select("doc_id", S.question_lines(F.col("answer")).alias("lines"), S.question_lines(F.col("answer"), strip=True).alias("stripped"))
 
 
-PICKS = f"""{CHUNKS}, at AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS pos, count(*) OVER () AS n FROM chunks),
-b AS (SELECT pos, n, rank, CASE WHEN rank < {K} THEN floor(rank * (n - 1) / {K})::BIGINT ELSE 0 END AS s, CASE WHEN rank < {K} THEN floor((rank + 1) * (n - 1) / {K})::BIGINT ELSE n - 1 END AS e FROM at, range(0, {K} + 1) r(rank)),
+PICKS = f"""{CHUNKS}, placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS pos, count(*) OVER () AS n FROM chunks),
+b AS (SELECT pos, n, rank, CASE WHEN rank < {K} THEN floor(rank * (n - 1) / {K})::BIGINT ELSE 0 END AS s, CASE WHEN rank < {K} THEN floor((rank + 1) * (n - 1) / {K})::BIGINT ELSE n - 1 END AS e FROM placed, range(0, {K} + 1) r(rank)),
 picks AS (SELECT pos, rank, (pos + 1 + s + {hash_sql("'0'", "pos", "rank")} % (e - s)) % n AS other FROM b)"""
 
 
@@ -54,8 +54,8 @@ def join_distract(t):
     return S.distractors(at, K).filter(F.col("rank") < K)
 
 
-ROWS = f"""{PICKS}, o AS (SELECT *, {hash_sql("'0'", "pos", "'oracle'")} < {int(P * (1 << 28))} AS oracle FROM at),
-d AS (SELECT pos, -1 AS rank, chunk FROM o WHERE oracle UNION ALL SELECT p.pos, p.rank, x.chunk FROM picks p JOIN at x ON x.pos = p.other JOIN o ON o.pos = p.pos WHERE p.rank < {K} OR NOT o.oracle),
+ROWS = f"""{PICKS}, o AS (SELECT *, {hash_sql("'0'", "pos", "'oracle'")} < {int(P * (1 << 28))} AS oracle FROM placed),
+d AS (SELECT pos, -1 AS rank, chunk FROM o WHERE oracle UNION ALL SELECT p.pos, p.rank, x.chunk FROM picks p JOIN placed x ON x.pos = p.other JOIN o ON o.pos = p.pos WHERE p.rank < {K} OR NOT o.oracle),
 rows_ AS (SELECT o.pos, any_value(o.question) AS question, bool_and(o.oracle) AS oracle, count(*) AS n, any_value(o.chunk) AS chunk, string_agg('<DOCUMENT>' || d.chunk || '</DOCUMENT>' || chr(10), '' ORDER BY {hash_sql("'0'", "d.pos", "d.rank", "'place'")}, d.rank) || any_value(o.question) AS instruction FROM o JOIN d ON d.pos = o.pos GROUP BY o.pos)"""
 
 

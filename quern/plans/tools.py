@@ -115,11 +115,11 @@ def trv_cost(t):
     return x.select("o_orderkey", T.flight_cost(F.col("c_nationkey") * 10 + 100, kind, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cost"))
 
 
-@query("trv_fx", "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice * 0.8 WHEN 1 THEN round(o_totalprice / 110, 2) END, 4) AS v FROM orders")
+@query("trv_fx", "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_orderkey * 8.8::DOUBLE WHEN 1 THEN o_orderkey / 10 END, 4) AS v FROM orders")
 def trv_fx(t):
     k = F.col("o_orderkey") % 3
     source, target = F.when(k == 1, "JPY").when(k == 0, "USD").otherwise("EUR"), F.when(k == 1, "USD").when(k == 0, "EUR").otherwise("JPY")
-    return t.orders.select("o_orderkey", F.round(T.exchanged(source, target, F.col("o_totalprice")), 4).alias("v"))
+    return t.orders.select("o_orderkey", F.round(T.exchanged(source, target, F.col("o_orderkey") * 11.0), 4).alias("v"))
 
 
 @query("trv_history", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -160,7 +160,7 @@ def math_stats(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_pop(q), 6).alias("std"), F.min(q).alias("lowest"), F.max(q).alias("highest"), F.round(F.sum(q), 4).alias("total"))
 
 
-@query("math_scalar", "SELECT p_partkey, round(ln(p_size) / ln(2), 9) AS log2, round(sqrt(p_retailprice), 9) AS root, abs(p_size - 25) AS off, round(p_size / 50 * 100, 6) AS percent, round(p_retailprice, 1) AS rounded, pow(p_size, 2) AS square, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / (p_size % 5), 6) END AS quotient, round(p_size * 1000 * (1 / 0.01), 4) AS cm, round(p_size * 0.393701, 6) AS inches FROM part")
+@query("math_scalar", "SELECT p_partkey, round(ln(p_size) / ln(2), 9) AS log2, round(sqrt(p_retailprice), 9) AS root, abs(p_size - 25) AS off, round(p_size / 50 * 100, 6) AS percent, round(p_retailprice, 1) AS rounded, pow(p_size, 2) AS square, CASE WHEN p_size % 5 <> 0 THEN round(p_retailprice / (p_size % 5), 6) END AS quotient, round(p_size * 1000 * (1 / 0.01), 4) AS cm, round(p_size * 0.393701::DOUBLE, 6) AS inches FROM part")
 def math_scalar(t):
     s, p = F.col("p_size"), F.col("p_retailprice")
     return t.part.select(
@@ -266,7 +266,7 @@ def set_except(t):
     return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
 
 
-SIDES = "SELECT o_orderkey, list(l_partkey % 5 ORDER BY l_linenumber) AS a, CASE WHEN o_custkey % 2 = 0 THEN [1::BIGINT, 2] ELSE [3::BIGINT, 3] END AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey"
+SIDES = "SELECT o_orderkey, list(l_partkey % 5 ORDER BY l_linenumber, l_partkey) AS a, CASE WHEN o_custkey % 2 = 0 THEN [1::BIGINT, 2] ELSE [3::BIGINT, 3] END AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey"
 
 
 def sides(t):

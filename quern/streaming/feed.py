@@ -83,7 +83,7 @@ def timed_out(chunks: DataFrame, key: str = "job", text: str = "text", at: str =
             state.remove()
             yield pd.DataFrame([(k[0], parts, n, False)], columns=["job", "text", "n", "complete"])
             return
-        rows = sorted((r for b in batches for r in zip(b[at].astype("int64") // 1000, b["seq"], b[text])), key=lambda r: (r[0], r[1]))
+        rows = sorted((r for b in batches for r in zip(b[at].astype("datetime64[ms]").astype("int64"), b["seq"], b[text])), key=lambda r: (r[0], r[1]))
         ended = False
         for ms, _, t in rows:
             start = ms if start < 0 else start
