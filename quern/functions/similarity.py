@@ -54,7 +54,8 @@ def _smooth3(p: list[Pair]) -> list[Pair]:
 
 
 def _smooth4(p: list[Pair], length: int) -> list[Pair]:
-    return [(a, b) if a or length < 2 else (k + K / math.log(length), b) for k, (a, b) in enumerate(p)]
+    """Not defined for a single token, which counts as no smoothing."""
+    return [(a, b) if a else (k + K / math.log(length), b) if length > 1 else (sys.float_info.min, 1) for k, (a, b) in enumerate(p)]
 
 
 def _smooth5(p: list[Pair], longer: Pair) -> list[Pair]:

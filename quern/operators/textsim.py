@@ -54,7 +54,7 @@ def _smoothed(n: Column, matched: Column, total: Column, method: int, zeros: Col
         1: F.when(zero, S.EPSILON / total).otherwise(plain),
         2: (matched + 1) / (total + 1),
         3: F.when(zero, 1 / (F.pow(F.lit(2.0), zeros) * total)).otherwise(plain),
-        4: F.when(zero & (length > 1), (n - 1 + S.K / F.log(F.greatest(length, F.lit(2)))) / total).otherwise(plain),
+        4: F.when(zero & (length > 1), (n - 1 + S.K / F.log(F.greatest(length, F.lit(2)))) / total).when(zero, 2.2250738585072014e-308).otherwise(plain),
     }[method]
 
 
