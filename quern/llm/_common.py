@@ -49,6 +49,11 @@ def drop_stash() -> None:
 atexit.register(drop_stash)
 
 
+def fresh() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total: int) -> DataFrame:
     """Join ``rows`` with ``table``, which has one row per ``key`` and in column ``n`` how many of the ``total`` rows have that key.
 
@@ -64,7 +69,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total:
 def rows_with(docs: DataFrame, id_col: str, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
     """The rows of ``docs`` with (left_semi) or without (left_anti) one of ``ids``, a table of one column and at most
     ``n`` rows; a null id equals a null id. Texts are not shuffled if the ids are few enough to broadcast."""
-    name = "_rows_with_id"
+    name = fresh()
     ids = ids.toDF(name)
     return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), how)
 

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import lookup, rows_with, stash, table
-
+from quern.llm._common import fresh, lookup, rows_with, stash, table
 
 
 def normalized(text: Column) -> Column:
@@ -66,10 +65,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
         gone = stash(groups.filter("not kept").select(id_col))
         return rows_with(docs, id_col, gone, gone.count(), "left_anti")
-    kept = groups.filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    told = docs.withColumn("_sha", F.sha2(normalized(F.col(text_col)), 256))
-    told = told.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).filter("_nth = 1")
-    return told.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").drop("_sha", "_nth")
+    sha, nth, kept_id, kept_sha = (fresh() for _ in range(4))
+    kept = groups.filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    told = docs.withColumn(sha, F.sha2(normalized(F.col(text_col)), 256))
+    told = told.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
+    return told.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi").drop(sha, nth)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

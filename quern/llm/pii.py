@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import table
+from quern.llm._common import fresh, table
 
 ROUNDS = 8
 #: Used where no key is given; a real run passes its own.
@@ -193,11 +193,12 @@ def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text", b
     """
     t = F.col(text_col)
     maybe = t.rlike(r"\d{2}|@")
-    out = docs.withColumn("_m", F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), 0)))
-    out = out.withColumn("_n", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key, back))))
-    parts = F.zip_with(F.split(t, ANY, -1), F.col("_n"), lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit(""))))
+    found, new = fresh(), fresh()
+    out = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), 0)))
+    out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, back))))
+    parts = F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit(""))))
     empty = F.array().cast("array<struct<kind:string,value:string>>")
-    return out.withColumn(text_col, F.when(F.col("_n").isNotNull(), F.array_join(parts, "")).otherwise(t)).withColumn("found", F.coalesce(F.filter("_n", lambda x: x["kind"].isNotNull()), empty)).drop("_m", "_n")
+    return out.withColumn(text_col, F.when(F.col(new).isNotNull(), F.array_join(parts, "")).otherwise(t)).withColumn("found", F.coalesce(F.filter(new, lambda x: x["kind"].isNotNull()), empty)).drop(found, new)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

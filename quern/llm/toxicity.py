@@ -144,9 +144,10 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray)
 
     Equal rows count as one with their number as weight; most rows have no feature at all.
     """
-    base = (y[use].sum() + 0.5) / (use.sum() + 1)
+    pos, of = y[use].sum(), use.sum()
+    base = (pos + 0.5) / (of + 1) if 0 < pos < of else min(max(pos / (of + 1), 1e-9), 1 - 1e-9)  # nothing known: not toxic
     prior = float(np.log(base / (1 - base)))
-    if not 0 < y[use].sum() < use.sum():
+    if not 0 < pos < of:
         return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, base)
     cols = rows.telling(y, use)
     x = np.column_stack([rows.matrix(cols), earlier, np.ones(rows.n)])
