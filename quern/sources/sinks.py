@@ -26,8 +26,8 @@ def export(df: DataFrame, path: str, kind: str = "jsonl") -> str:
 def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows of both; of a key the last new one. New rows must carry their order in ``_seq``."""
     both = old.withColumn("_seq", F.lit(-1).cast("long")).unionByName(new.withColumn("_seq", F.col("_seq").cast("long")))
-    last = Window.partitionBy(key).orderBy(F.desc("_seq"))
-    return both.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_seq", "_nth")
+    rest = [c for c in old.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "_seq").alias("_last")).select(key, "_last.*").select(*old.columns)
 
 
 def rank_lines(df: DataFrame, by: str, name: str) -> DataFrame:
