@@ -57,33 +57,42 @@ def agg_win_matrix(t):
     return arena.win_matrix(battles(t))
 
 
-# SQL over all battles in order: a fold of their list, which starts from the ratings as its first member
-ELO_SQL = """WITH {b}, l AS (SELECT list({{'m': NULL::MAP(VARCHAR, DOUBLE), 'a': a, 'b': b, 's': CASE rating WHEN 'A is better' THEN 1.0 WHEN 'B is better' THEN 0.0 ELSE 0.5 END::DOUBLE}} ORDER BY seq {d}) AS l FROM battles),
-f AS (SELECT list_reduce(l, lambda r, x: {{'m': map_concat(r.m, map([x.a, x.b], [coalesce(r.m[x.a], 1000) + 4 * (x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.b], 1000) - coalesce(r.m[x.a], 1000)) / 400))), coalesce(r.m[x.b], 1000) + 4 * (1 - x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.a], 1000) - coalesce(r.m[x.b], 1000)) / 400)))])), 'a': x.a, 'b': x.b, 's': x.s}},
-  {{'m': map(['-'], [0.0::DOUBLE]), 'a': '', 'b': '', 's': 0.0::DOUBLE}}).m AS m FROM l)
-SELECT agent, round(m[agent], 6) AS rating FROM (SELECT unnest(map_keys(m)) AS agent, m FROM f) WHERE agent <> '-'"""
+# SQL over all battles in order: a fold of each pool's list, which starts from an empty table of ratings
+BATTLE = "{'m': NULL::MAP(VARCHAR, DOUBLE), 'a': a, 'b': b, 's': CASE rating WHEN 'A is better' THEN 1.0 WHEN 'B is better' THEN 0.0 ELSE 0.5 END::DOUBLE}"
+NEXT = """lambda r, x: {'m': map_concat(r.m, map([x.a, x.b], [coalesce(r.m[x.a], 1000) + 4 * (x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.b], 1000) - coalesce(r.m[x.a], 1000)) / 400))),
+  coalesce(r.m[x.b], 1000) + 4 * (1 - x.s - 1 / (1 + pow(10::DOUBLE, (coalesce(r.m[x.a], 1000) - coalesce(r.m[x.b], 1000)) / 400)))])), 'a': x.a, 'b': x.b, 's': x.s}"""
+START = "{'m': map(['-'], [0.0::DOUBLE]), 'a': '', 'b': '', 's': 0.0::DOUBLE}"
+
+
+def fold(name: str, order: str, pool: str = "0") -> str:
+    """A table (pool, agent, rating) as a common table expression."""
+    return f"{name} AS (SELECT pool, agent, m[agent] AS rating FROM (SELECT pool, m, unnest(map_keys(m)) AS agent FROM (SELECT pool, list_reduce(l, {NEXT}, {START}).m AS m FROM (SELECT {pool} AS pool, list({BATTLE} ORDER BY seq {order}) AS l FROM battles GROUP BY 1))) WHERE agent <> '-')"
+
+
+def elo_sql(order: str) -> str:
+    return f"WITH {BATTLES}, {fold('f', order)} SELECT agent, round(rating, 6) AS rating FROM f"
 
 
 def elo(t, reverse: bool):
     return arena.online_elo(battles(t).withColumn("pool", F.lit(0)), "seq", "pool", reverse).select("agent", F.round("rating", 6).alias("rating"))
 
 
-@query("elo_online", ELO_SQL.format(b=BATTLES, d="ASC"))
+@query("elo_online", elo_sql("ASC"))
 def elo_online(t):
     return elo(t, False)
 
 
-@query("elo_reverse", ELO_SQL.format(b=BATTLES, d="DESC"))
+@query("elo_reverse", elo_sql("DESC"))
 def elo_reverse(t):
     return elo(t, True)
 
 
-@query("elo_pools")
+@query("elo_pools", f"WITH {BATTLES}, {fold('f', 'ASC', 'pool')} SELECT pool, agent, round(rating, 6) AS rating FROM f")
 def elo_pools(t):
     return arena.online_elo(battles(t), "seq", "pool").withColumn("rating", F.round("rating", 6))
 
 
-@query("elo_compare")
+@query("elo_compare", f"WITH {BATTLES}, {fold('f', 'ASC')}, {fold('g', 'DESC')} SELECT agent, floor(f.rating + 0.5)::BIGINT AS first, floor(g.rating + 0.5)::BIGINT AS second FROM f JOIN g USING (agent)")
 def elo_compare(t):
     b = battles(t).withColumn("pool", F.lit(0))
     return arena.compare(arena.online_elo(b, "seq", "pool"), arena.online_elo(b, "seq", "pool", True))
