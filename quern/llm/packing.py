@@ -17,7 +17,7 @@ from quern.llm._common import stash, table
 
 WINDOW, QUANTUM = 1024, 128
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Mixture weights are scaled to this whole number, so that schedules are exact in 64-bit integers.
 SCALE = 1 << 20
 

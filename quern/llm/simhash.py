@@ -18,6 +18,8 @@ SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one key that a single task compares; larger buckets are cut into blocks, compared two by two.
 BLOCK = 2048
+#: Rows of sorted keys that a task holds at a time, besides a bucket that is larger.
+HELD = 250_000
 GENERATOR = 0b101011100011
 
 
@@ -141,7 +143,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, cell); whole buckets are taken together from about a million rows at a time."""
+    """Rows come sorted by (key, cell); whole buckets are taken together from about HELD rows at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def done(parts: list, final: bool) -> tuple[list, pa.RecordBatch | None]:
@@ -156,7 +158,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cell, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp"))
         held.append(((key << 32) | cell, fp.view(np.uint64)))
         n += len(key)
-        if n >= 1_000_000:
+        if n >= HELD:
             held, out = done(held, False)
             n = len(held[0][0])
             yield out

@@ -134,11 +134,16 @@ class Rows:
         at = np.full(len(self.names), -1)
         at[cols] = np.arange(len(cols))
         hit = at[self.cols] >= 0
-        x = np.zeros((self.n, len(cols)))
-        x[self.row[hit], at[self.cols[hit]]] = 1
+        x = np.zeros((self.n, len(cols)), bool)
+        x[self.row[hit], at[self.cols[hit]]] = True
         return x
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w of a matrix of bits, by blocks."""
+    return np.concatenate([x[k : k + 2048].astype(float) @ w for k in range(0, len(x), 2048)] or [np.zeros(0)])
+
+
 def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) -> tuple[Linear, np.ndarray]:
     """The model fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps.
 
@@ -150,8 +155,11 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray)
     if not 0 < pos < of:
         return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, base)
     cols = rows.telling(y, use)
-    x = np.column_stack([rows.matrix(cols), earlier, np.ones(rows.n)])
-    a, group = np.unique(x[use], axis=0, return_inverse=True)
+    x = rows.matrix(cols)
+    rest = np.column_stack([earlier, np.ones(rows.n)])
+    packed = np.column_stack([np.packbits(x[use], axis=1), np.ascontiguousarray(rest[use]).view(np.uint8)])
+    _, first, group = np.unique(np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    a = np.column_stack([x[use][first], rest[use][first]]).astype(float)
     n = np.bincount(group.ravel())
     t = np.bincount(group.ravel(), weights=y[use])
     ridge = np.append(np.full(a.shape[1] - 1, PENALTY), 1e-6)
@@ -163,7 +171,8 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray)
         if np.abs(step).max() < 1e-6:
             break
     k = len(cols)
-    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    z = _times(x, w[:k]) + rest @ w[k:]
+    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
@@ -177,7 +186,7 @@ def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
 
 def _positive(rows: Rows, y: np.ndarray, cols: np.ndarray) -> np.ndarray:
     x = rows.matrix(cols)
-    return cols[(x * y[:, None]).sum(axis=0) > y.mean() * x.sum(axis=0)]
+    return cols[x[y > 0].sum(axis=0) > y.sum() / max(1, len(y)) * x.sum(axis=0)]
 
 
 def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None = None) -> Chain:
@@ -199,7 +208,7 @@ def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None =
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):  # a text has thousands of features
         yield pa.record_batch([b.column("id"), b.column("toxic"), pa.array([sorted(features(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
 
 
