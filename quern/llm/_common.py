@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,31 @@ def drop_stash() -> None:
 atexit.register(drop_stash)
 
 
+#: In a Python worker: how to drop what each operator keeps between tasks.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """Tells that an operator keeps something in this Python worker, and how to drop it."""
+    _kept[name] = drop
+
+
+def drop_kept(but: str = "") -> None:
+    """Drops what other operators keep in this Python worker, which later stages use as well, and gives the memory back.
+
+    Called as a task begins.
+    """
+    others = [n for n in _kept if n != but]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+
 def fresh() -> str:
     """A column name that no table has."""
     return f"_{uuid.uuid4().hex}"

@@ -85,7 +85,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = H
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """Per conversation what can be read back from its windows' ``formatted`` and ``loss_spans``."""
+    """Per conversation what can be read back from its windows' ``formatted`` and ``loss_spans``; no windows, no rows."""
     said = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda x: x != "")
     new = F.slice(said, F.col("n_repeated") + 1, F.size(said))
     parts = F.transform(new, lambda x: F.concat(unescape(F.split_part(F.substr(x, F.lit(len(START) + 1)), F.lit(SEP), F.lit(1))), F.lit("\n"), unescape(F.split_part(x, F.lit(SEP), F.lit(2))), F.lit("\n")))

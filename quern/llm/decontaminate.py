@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import rows_with, stash, table
+from quern.llm._common import drop_kept, rows_with, stash, table
 
 #: Words of a seed; a seed in more than this share of the documents (and more than LEAST_DF of them) is common.
 SEED, COMMON_SHARE, LEAST_DF = 4, 0.001, 20
@@ -167,6 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _find(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         find = index.value.windows
         for b in batches:
             got = [(r, *x) for r, t in enumerate(b.column("t")) for x in find(t.as_py())]
@@ -206,7 +207,11 @@ def _score(index, common: set[int]):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that copy no item, all columns; a row without an id is kept."""
+    """The rows of ``docs`` that copy no item, all columns.
+
+    A row without an id is kept, whatever it holds; repeated rows share their id's fate; null and empty texts are kept;
+    no rows give no rows, and a benchmark without items keeps all.
+    """
     found = stash(contaminated(docs.select(id_col, text_col), benchmark, id_col, text_col).filter(F.col(id_col).isNotNull()).select(id_col).distinct())
     return rows_with(docs, id_col, found, found.count(), "left_anti")
 

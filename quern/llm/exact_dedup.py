@@ -59,7 +59,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_groups keeps, all columns: one row of each group.
 
-    Where an id has several rows, rows are told apart by id and text, and of equal ones one stays.
+    Where an id has several rows, rows are told apart by id and text, and of repeated ones one stays. Null and empty
+    texts are one group; a null id stays only if its group has no other. No rows give no rows.
     """
     groups = stash(exact_groups(docs.select(id_col, text_col), id_col, text_col))
     if groups.groupBy(id_col).count().filter("count > 1").isEmpty():

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import stash, table
+from quern.llm._common import drop_kept, keep, stash, table
 
 WINDOW, QUANTUM = 1024, 128
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
@@ -68,7 +68,7 @@ class WordTokenizer:
                 return b"".join(map(self.known.__getitem__, words))
             except KeyError:
                 if len(self.known) > REMEMBERED:
-                    self.known = {}
+                    self.known.clear()
                 self._learn({w for w in words if w not in self.known})
                 return b"".join(map(self.known.__getitem__, words))
         except TypeError:  # a None: other white space than the above
@@ -112,6 +112,8 @@ def _tokenize(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, ends = TaskContext.get().partitionId(), {}
         tok = _tokenizer(path)
+        keep("packing", tok.known.clear)
+        drop_kept("packing")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import connected_components, lookup, rows_with, stash, table
+from quern.llm._common import connected_components, drop_kept, lookup, rows_with, stash, table
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: The 64 bits in three segments, each decoded as a 23-bit word of the Golay code, padded with zeros.
@@ -89,12 +89,14 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for b in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("t")), np.uint64, b.num_rows)
         yield pa.record_batch([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for b in batches:
         fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         for at in range(0, len(fp), 4096):
@@ -208,7 +210,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's, all columns: one document of each group.
 
-    Rows that share an id share its fate: all stay if one of them is its group's document.
+    Rows that share an id share its fate: all stay if one of them is its group's document; so repeated rows stay
+    together, and rows with a null id go unless their whole group has none. No rows give no rows.
     """
     groups = stash(near_groups(docs.select(id_col, text_col), id_col, text_col))
     mine = F.col(id_col).eqNullSafe(F.col("component_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import stash, table
+from quern.llm._common import drop_kept, stash, table
 
 #: The chain. Only ``toxic`` is labelled; the two before it are graded from it: a toxic text with two or more distinct
 #: telling words, and one in which telling words are at least half as frequent as in the median toxic text's.
@@ -208,13 +208,18 @@ def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None =
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):  # a text has thousands of features
         yield pa.record_batch([b.column("id"), b.column("toxic"), pa.array([sorted(features(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
     """The chain for at most ``max_train`` labelled documents. Words are counted on the cluster; the driver gets, for
-    each of these documents, which of the MAX_CANDIDATES most telling words it has."""
+    each of these documents, which of the MAX_CANDIDATES most telling words it has.
+
+    Labels without an id or without ``toxic`` are left out; of several for an id the worst counts; a document without
+    text has no words; without rows of both classes the chain gives every text the same low probability.
+    """
     lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).withColumnRenamed("doc_id", "label_id")
     src = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(lab), F.col("id") == F.col("label_id")).select("id", "t", "toxic")
@@ -239,6 +244,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for b in batches:
             p = np.array([chain.score(t.as_py()) for t in b.column("t")]).reshape(-1, len(CATEGORIES))
             yield pa.record_batch([b.column("id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= THRESHOLD)], ["id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
@@ -248,9 +254,13 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the chain doesn't reject, all columns; each row is judged where it is, without a join."""
+    """The rows of ``docs`` that the chain doesn't reject, all columns; each row is judged where it is, without a join.
+
+    Repeated rows and null ids are judged alike; null and empty texts have no words; no rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for b in batches:
             yield b.filter(pa.array([chain.score(t.as_py())[-1] < THRESHOLD for t in b.column(text_col)], pa.bool_()))
 

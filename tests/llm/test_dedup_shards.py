@@ -209,3 +209,14 @@ def test_packing_follows_targets(spark):
     got = packing.mixture_packed(frame(spark, rows), targets={"a": 3, "b": 1}).filter("sequence_id < 10")
     n = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("length").alias("n")).collect()}
     assert n["a"] == pytest.approx(3 * n["b"], rel=0.1)
+
+
+def test_workers_drop_what_others_keep(monkeypatch):
+    monkeypatch.setattr(_common, "_kept", {})
+    mine, theirs = {1: 1}, {2: 2}
+    _common.keep("mine", mine.clear)
+    _common.keep("theirs", theirs.clear)
+    _common.drop_kept("mine")
+    assert mine and not theirs
+    _common.drop_kept()
+    assert not mine
