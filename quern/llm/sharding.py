@@ -25,7 +25,8 @@ def histogram_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     range between splitters; each shard has several ranges, split by bytes even inside a group of equal texts.
 
     ``columns`` are the output columns as expressions over ``docs`` (default: all its own columns). A null text has
-    size 1 and is ordered as the empty text; a null id comes first among equal texts; an empty table gives no rows.
+    size 1 and is ordered as the empty text; a null id comes first among equal texts; repeated rows are placed each; other
+    columns are kept, and their names don't matter unless they are _size, _shard or _slot; an empty table gives no rows.
     """
     t, i = F.col(text_col), F.col(id_col)
     out = columns or {c: F.col(f"`{c}`") for c in docs.columns}
