@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, one document of each group stays."""
-    return drop_near_copies(docs)
+    """Of near copies, by a Jaccard similarity of five-word shingles of 0.8, one document of each group stays."""
+    return drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

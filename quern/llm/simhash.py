@@ -1,4 +1,7 @@
-"""SimHash near-dedup: Golay-code fuzzy keys of fingerprint segments find the links, components group them."""
+"""SimHash near-dedup: Golay-code fuzzy keys of fingerprint segments find the links, components group them.
+
+Where a similarity of shingle sets is asked for instead, the links are found through prefixes of the sets, without loss.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +23,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 2048
 #: Rows of sorted keys that a task holds at a time, besides a bucket that is larger.
 HELD = 250_000
+#: About so many texts are read for shingles that many texts share; one in at least HOT of them is a hot one.
+SAMPLE, HOT = 20_000, 5
+#: Bits of a set's parity.
+PARITY = 1024
+#: Guards products of a similarity and a count against rounding.
+EPS = 1e-9
 GENERATOR = 0b101011100011
 
 
@@ -175,16 +184,195 @@ def links(fps: DataFrame) -> DataFrame:
     two blocks meet in a task of their own: exact for any size. The table of such keys is broadcast: with BLOCK raised
     to a 100,000th of the rows, they are at most 100,000.
     """
-    spark = fps.sparkSession
-    keys = stash(fps.mapInArrow(_keys, "key long, fp long"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(stash(fps.mapInArrow(_keys, "key long, fp long")))
+    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "src long, dst long")
+
+
+def _dealt(keys: DataFrame) -> DataFrame:
+    """``keys`` (a stashed table of key, fp and more) with column cell: rows of large keys go to the cells of their blocks."""
     block = max(BLOCK, keys.count() // 100_000)
     large = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("nb"))
     dealt = keys.join(F.broadcast(large), "key", "left").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     others = F.expr("filter(sequence(0, nb - 1), x -> x <> b)")
     cells = F.when(F.col("nb").isNull() | (F.col("nb") < 2), F.array(F.lit(0))).otherwise(F.transform(others, lambda x: (F.least(x, F.col("b")) * F.col("nb") + F.greatest(x, F.col("b"))).cast("int")))
-    dealt = dealt.select("key", "fp", F.explode(cells).alias("cell")).select("key", F.col("cell").cast("long").alias("cell"), "fp")
+    return dealt.select(*keys.columns, F.explode(cells).alias("cell")).withColumn("cell", F.col("cell").cast("long"))
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, k))
+
+
+def set_node(s: np.ndarray) -> int:
+    """A number of 64 bits that equal sets share; 0 for the empty one."""
+    return xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) if len(s) else 0
+
+
+def prefix(s: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
+    """The first elements of a set in the order of all sets, hot ones last: as many as two sets of that Jaccard share one of."""
+    n = len(s) - int(np.ceil(similarity * len(s) - EPS)) + 1 if len(s) else 0
+    common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+    return s[np.argsort(common, kind="stable")[:n]]
+
+
+def parity(s: np.ndarray) -> bytes:
+    """PARITY bits, each whether an odd number of elements falls on it: two sets differ in at least as many elements as bits."""
+    return np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sets = [shingle_set(t.as_py(), k) for t in b.column("t")[at : at + 256]]
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["key"])
+
+    return run
+
+
+def _prefixes(k: int, similarity: float, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                node, size, keys, odd = [], [], [], []
+                for t in b.column("t")[at : at + 256]:
+                    s = shingle_set(t.as_py(), k)
+                    node.append(set_node(s))
+                    size.append(len(s))
+                    keys.append(prefix(s, similarity, hot.value).view(np.int64))
+                    odd.append(parity(s))
+                yield pa.record_batch([b.column("id")[at : at + 256], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["id", "fp", "size", "keys", "odd"])
+
+    return run
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sets = [shingle_set(t.as_py(), k) for t in b.column("t")[at : at + 256]]
+                yield pa.record_batch([pa.array(np.array([set_node(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "elements"])
+
+    return run
+
+
+def bucket_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, rank: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs (greater, smaller) of nodes of equal key (sorted) that sizes and places of the key do not rule out."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    last = np.repeat(ends, np.diff(ends, prepend=0))
+    at, d, held, n = np.arange(len(key)), 0, [], 0
+    while True:
+        d += 1
+        at = at[at + d < last[at]]
+        if len(at):
+            a, b = at, at + d
+            least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - EPS)
+            ok = (fp[a] != fp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - EPS) & (np.minimum(size[a] - rank[a], size[b] - rank[b]) >= least)
+            a, b = fp[a[ok]], fp[b[ok]]
+            held.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+            n += len(a)
+        if n > 250_000 or not len(at):
+            if n:
+                yield np.unique(np.concatenate(held), axis=0)
+            held, n = [], 0
+        if not len(at):
+            return
+
+
+def _pairs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (key, cell), as in _links."""
+        held: list[list[np.ndarray]] = []
+
+        def done(final: bool) -> Iterator[pa.RecordBatch]:
+            key, cell, *rest = (np.concatenate(x) for x in zip(*held))
+            new = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
+            end = len(key) if final else int(np.searchsorted(new, new[-1]))
+            held[:] = [[x[end:] for x in (key, cell, *rest)]]
+            for p in bucket_pairs(new[:end], *(x[:end] for x in rest), similarity) if end else ():
+                yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], ["src", "dst"])
+
+        n = 0
+        for b in batches:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp", "size", "rank")])
+            n += b.num_rows
+            if n >= HELD:
+                yield from done(False)
+                n = len(held[0][0])
+        if n:
+            yield from done(True)
+
+    return run
+
+
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("odd_a", "odd_b"))
+            size = b.column("size_a").to_numpy().astype(np.int64) + b.column("size_b").to_numpy()
+            ok = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * size + EPS
+            yield b.select(["src", "dst"]).filter(pa.array(ok))
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("a"), b.column("b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - EPS)
+            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _ends(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Each node of the pairs with n, how many ends of pairs it is; how many ends there are."""
+    return stash(pairs.select(F.explode(F.array("src", "dst")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))), 2 * pairs.count()
+
+
+def similar_links(base: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (src, dst) that connect all nodes whose shingle sets have that Jaccard similarity or more, and no others.
+
+    ``base`` has id, node (fp), size and prefix of each row of ``src``. Two such sets share an element of their prefixes,
+    so the pairs that share one are all there can be; each that sizes, places and parities allow is compared by its sets.
+    First each node is compared with the least of its partners; pairs that this has connected are not compared again.
+    """
+    spark = src.sparkSession
+    nodes = base.groupBy("fp").agg(F.first(F.struct("size", "keys")).alias("x"))
+    keys = stash(nodes.select("fp", "x.size", F.posexplode("x.keys").alias("rank", "key")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "src long, dst long")
+    pairs = stash(_dealt(keys).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_pairs(similarity), "src long, dst long").distinct())
+    ends, total = _ends(pairs)
+    odd = stash(lookup(base.select("fp", "size", "odd"), ends, "fp", "inner", "n", total).groupBy("fp").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.first("odd").alias("odd")))
+    for end, x in (("src", "a"), ("dst", "b")):
+        pairs = lookup(pairs, odd.withColumnsRenamed({"fp": end, "size": f"size_{x}", "odd": f"odd_{x}"}), end, "inner", "n", total).drop("n")
+    pairs = stash(pairs.select("src", "dst", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(_possible(similarity), "src long, dst long"))
+    ends, total = _ends(pairs)
+    ids = stash(lookup(base.select("id", "fp"), ends, "fp", "inner", "n", total).groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct())
+    sets = rows_with(src, "id", ids, ids.count()).mapInArrow(_sets(k), "fp long, elements binary").groupBy("fp").agg(F.first("elements").alias("elements"))
+    sets = stash(sets.join(ends, "fp", "inner").select("fp", "elements", "n"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        one = lookup(some, sets.withColumnsRenamed({"fp": "src", "elements": "a"}), "src", "inner", "n", total).drop("n")
+        two = lookup(one, sets.withColumnsRenamed({"fp": "dst", "elements": "b"}), "dst", "inner", "n", total).drop("n")
+        return stash(two.select("src", "dst", "a", "b").mapInArrow(_similar(similarity), "src long, dst long"))
+
+    first = stash(pairs.groupBy("src").agg(F.min("dst").alias("dst")))
+    links = verified(first)
+    comp = stash(connected_components(links).withColumnRenamed("component", "c"))
+    of = stash(comp.join(ends, comp["node"] == ends["fp"]).select("node", "c", "n"))
+    rest = pairs.join(first, ["src", "dst"], "left_anti")
+    for end in ("src", "dst"):
+        rest = lookup(rest, of.withColumnsRenamed({"node": end, "c": f"c_{end}"}), end, "left", "n", total).drop("n")
+    rest = stash(rest.filter(~F.coalesce(F.col("c_src") == F.col("c_dst"), F.lit(False))).select("src", "dst"))
+    return links.unionByName(verified(rest))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,22 +386,49 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = stash(src.mapInArrow(_fingerprints, "id long, fp long"))
     fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    comp = connected_components(links(fps.select("fp")))
+    out = _components(base, fps, links(fps.select("fp")))
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, component_id; rows are linked by the Jaccard similarity of their word shingles.
+
+    Shingles are sets of ``shingle`` words each, or the whole of a shorter text. Texts without words are linked to each
+    other only. Ids, repeated rows and empty tables are treated as in near_groups.
+    """
+    spark = docs.sparkSession
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    share = min(1.0, SAMPLE / max(1, src.count()))
+    some = src.filter(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("t")
+    # at most a HOT-th of the sampled shingles
+    hot = some.mapInArrow(_shingles(shingle), "key long").groupBy("key").count().filter(F.col("count") >= HOT).select("key").collect()
+    hot = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot), np.int64).view(np.uint64))
+    base = stash(src.mapInArrow(_prefixes(shingle, similarity, hot), "id long, fp long, size int, keys array<long>, odd binary"))
+    fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    out = _components(base.select("id", "fp"), fps, similar_links(base, src, shingle, similarity))
+    return out.select(F.col("id").alias(id_col), "component_id")
+
+
+def _components(base: DataFrame, fps: DataFrame, linked: DataFrame) -> DataFrame:
+    """``base`` (id, fp) with component_id, the smallest id that links between fingerprints reach; fps has least id and count of each."""
+    comp = connected_components(linked)
     of_fp = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = of_fp.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
     of_fp, ids = stash(of_fp), stash(ids)
     named = stash(lookup(of_fp, ids, "component", "inner", "size", fps.count()).select("fp", "n", "component_id"))
-    out = lookup(base, named, "fp", "inner", "n", base.count())
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return lookup(base, named, "fp", "inner", "n", base.count())
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is their component's, all columns: one document of each group.
 
+    Groups are those of near_groups, or with a ``similarity`` those of similar_groups.
+
     Rows that share an id share its fate: all stay if one of them is its group's document; so repeated rows stay
     together, and rows with a null id go unless their whole group has none. No rows give no rows.
     """
-    groups = stash(near_groups(docs.select(id_col, text_col), id_col, text_col))
+    docs_ = docs.select(id_col, text_col)
+    groups = stash(near_groups(docs_, id_col, text_col) if similarity is None else similar_groups(docs_, shingle, similarity, id_col, text_col))
     mine = F.col(id_col).eqNullSafe(F.col("component_id"))
     gone = stash(groups.groupBy(id_col).agg(F.max(mine).alias("stays")).filter("not stays").select(id_col))
     return rows_with(docs, id_col, gone, gone.count(), "left_anti")

@@ -220,3 +220,35 @@ def test_workers_drop_what_others_keep(monkeypatch):
     assert mine and not theirs
     _common.drop_kept()
     assert not mine
+
+
+def test_similar_documents_are_dropped(monkeypatch, spark):
+    texts = [*near_texts(300, 3), None, "", " ", "one two", "One  TWO", "one two three"]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    want = _least_of_groups([[alike(a, b) for b in sets] for a in sets])
+    fps = [simhash.fingerprint(t) for t in texts]
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j]) and (fps[i] ^ fps[j]).bit_count() > 4]
+    assert len(far) > 10  # pairs that four bits do not link
+    for block, hot in ((2048, 5), (2, 2)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r["doc_id"] for r in simhash.drop_near_copies(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), shingle=5, similarity=0.8).collect()}
+        assert got == want
+    none = frame(spark, [(1, "a", "x")]).filter("false")
+    assert simhash.drop_near_copies(none, shingle=5, similarity=0.8).count() == 0
+
+
+def _least_of_groups(linked):
+    kept, seen = set(), set()
+    for k in range(len(linked)):
+        if k in seen:
+            continue
+        kept.add(k)
+        todo = [k]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [j for j, on in enumerate(linked[x]) if on]
+    return kept
