@@ -109,6 +109,19 @@ def test_seed_in_very_many_documents(spark):
     assert decontaminate.contaminated(df, bench).count() == 3000
 
 
+def test_edited_copy_of_a_common_item(spark):
+    """A copy with one unedited run of four words is found whatever other documents hold."""
+    words = "a b c d e f g h i j".split()
+    edited = [*words[:4], "x", *words[5:8], "y", words[9]]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "k l m n o")], "item_id long, text string")
+    edits = [(0, " ".join(edited)), (1, "k l m n z"), (2, "a b c d and nothing more")]
+    copies = [(k, " ".join(words) + " k l m n o") for k in range(10, 40)]
+    for docs in (edits, edits + copies):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).filter("doc_id < 10").collect()}
+        assert got == {(0, 1), (1, 2)}
+
+
 # --- toxicity
 
 
