@@ -192,7 +192,7 @@ def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text", b
     repeated rows are changed alike, other columns stay (a column named found is replaced); no rows give no rows.
     """
     t = F.col(text_col)
-    maybe = t.rlike(r"\d{2}|@")
+    maybe = t.rlike(r"\d|@")
     found, new = fresh(), fresh()
     out = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), 0)))
     out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, back))))

@@ -257,6 +257,14 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(df, key="other").filter("doc_id = 0").head()["text"] != got[0]["text"]
 
 
+def test_address_of_single_digits(spark):
+    df = spark.createDataFrame([(1, "ask 8.8.8.8"), (2, "ask 8.8.8.8 or a@b.org, 2001-02-03"), (3, "no 8.8 here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    new = got[1]["found"]
+    assert len(new) == 1 and new[0]["kind"] == "ip" and new[0]["value"] == got[2]["found"][0]["value"]
+    assert got[1]["text"] == f"ask {new[0]['value']}" and got[3]["text"] == "no 8.8 here" and got[3]["found"] == []
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(7 * 9).select(pii.feistel(F.col("id"), 7, 9, F.lit("k"), False).alias("y"))
     assert sorted(r["y"] for r in df.collect()) == list(range(63))
