@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds at least 1/HOT_SHARE of all rows is "hot"; at most HOT_SHARE keys can, so a table of them is bounded.
 HOT_SHARE = 1000
+#: Copies of a hot row that is too large to broadcast.
+SALTS = 64
 #: Up to so many ids are broadcast to find their rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
@@ -63,19 +65,17 @@ def keep(name: str, drop: Callable[[], None]) -> None:
 
 
 def drop_kept(but: str = "") -> None:
-    """Drops what other operators keep in this Python worker, which later stages use as well, and gives the memory back.
+    """Drops what other operators keep in this Python worker, which later stages use as well, and gives free memory back.
 
     Called as a task begins.
     """
-    others = [n for n in _kept if n != but]
-    for name in others:
+    for name in [n for n in _kept if n != but]:
         _kept.pop(name)()
-    if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def fresh() -> str:
@@ -83,16 +83,24 @@ def fresh() -> str:
     return f"_{uuid.uuid4().hex}"
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total: int, salt: str = "") -> DataFrame:
     """Join ``rows`` with ``table``, which has one row per ``key`` and in column ``n`` how many of the ``total`` rows have that key.
 
     Keys of at least total/HOT_SHARE rows (at most HOT_SHARE keys) are joined by broadcast, so that no task gets all
-    rows of a hot key; the others by a shuffle in which no key exceeds that share. ``how`` is inner or left; null keys
-    match nothing. ``table`` should be a stashed table, as it is read three times.
+    rows of a hot key; the others by a shuffle in which no key exceeds that share. Where rows of the table have no bound
+    of size, ``salt`` names a column of ``rows``: hot keys are then joined by a shuffle too, dealt by it to SALTS copies
+    of the table's row. ``how`` is inner or left; null keys match nothing. ``table`` should be stashed, as it is read
+    three times.
     """
     least = max(total // HOT_SHARE, 2)
-    hot, cold = F.broadcast(table.filter(F.col(n) >= least)), table.filter(F.col(n) < least)
-    return rows.join(hot, key, "inner").unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    hot, cold = table.filter(F.col(n) >= least), table.filter(F.col(n) < least)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    if not salt:
+        return rows.join(F.broadcast(hot), key, "inner").unionByName(others)
+    s = fresh()
+    copies = hot.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = rows.join(F.broadcast(hot.select(key)), key, "left_semi").withColumn(s, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return some.join(copies, [key, s], "inner").drop(s).unionByName(others)
 
 
 def rows_with(docs: DataFrame, id_col: str, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:

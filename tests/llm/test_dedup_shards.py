@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -211,6 +212,57 @@ def test_packing_follows_targets(spark):
     assert n["a"] == pytest.approx(3 * n["b"], rel=0.1)
 
 
+def round_robin(tokens, weights, quantum):
+    """The sources of all quanta in their order, by counters: deficits grow by weight until one is half a quantum, which pays one."""
+    left, deficit, out = [-(-n // quantum) for n in tokens], [Fraction(0)] * len(tokens), []
+    while any(left):
+        active = [s for s in range(len(left)) if left[s] and weights[s]] or [s for s in range(len(left)) if left[s]]
+        w = [weights[s] if any(weights[x] for x in active) else Fraction(tokens[s]) for s in range(len(left))]
+        wait = {s: (Fraction(1, 2) - deficit[s]) / w[s] for s in active}
+        first = min(active, key=lambda s: (wait[s], s))
+        for s in active:
+            deficit[s] += wait[first] * w[s]
+        deficit[first] -= 1
+        left[first] -= 1
+        out.append(first)
+    return out
+
+
+@pytest.mark.parametrize(("tokens", "weights"), [([900, 900], [3, 1]), ([40, 1000, 300], [4, 2, 2]), ([500, 7, 3, 1], [1, 1, 1, 1]), ([100, 0, 300, 200], [1, 2, 0, 5]), ([33, 90], [0, 0]), ([1], [1])])
+def test_schedule_is_deficit_round_robin(tokens, weights):
+    if not any(weights):
+        weights = tokens
+    s = packing.Schedule(tokens, weights, quantum=4, window=16)
+    places = {int(p): k for k in range(len(tokens)) for p in s.place(k, np.arange(s.n[k]))}
+    shares = [Fraction(int(w), packing.SCALE) * (not idle) for w, idle in zip(s.w, s.idle)]
+    assert [places[p] for p in range(len(places))] == round_robin(tokens, shares, 4)
+
+
+def test_targets_of_zero_and_dry_sources(spark):
+    rows = [(k, "one two three four five " * 40, "abc"[k % 3]) for k in range(90)]
+    got = packing.mixture_packed(frame(spark, rows), targets={"a": 0, "b": 3, "c": 1})
+    first = {r["source"]: (r["lo"], r["hi"]) for r in got.groupBy("source").agg(F.min("sequence_id").alias("lo"), F.max("sequence_id").alias("hi")).collect()}
+    assert first["b"][0] == first["c"][0] == 0 and first["b"][1] < first["c"][1] <= first["a"][0]
+    assert packing.mixture_packed(frame(spark, rows), targets=dict.fromkeys("abc", 0)).agg(F.sum("length")).head()[0] == got.agg(F.sum("length")).head()[0]
+    for bad in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            packing.mixture_packed(frame(spark, rows), targets={"a": bad})
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(packing.vocabulary())
+    tok.encode_special_tokens = True
+    ids, rng = packing.Ids(packing.vocabulary()), random.Random(8)
+    points = [*range(0x250), 0x3A9, 0x4E2D, 0x1F600, 0x2028, 0x3000, 0xFEFF, 0x661]
+    texts = ["".join(chr(rng.choice(points)) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["<|endoftext|> it's  we'LL\n\n x", "a" * 100_000, " " * 1_200_000 + "x", "\n" * 600_000, "12 " * 1000]
+    assert ids.ranked is not None
+    for t in texts:
+        assert np.frombuffer(ids.encode(t), np.uint16).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_workers_drop_what_others_keep(monkeypatch):
     monkeypatch.setattr(_common, "_kept", {})
     mine, theirs = {1: 1}, {2: 2}
