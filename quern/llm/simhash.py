@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm._common import connected_components, drop_kept, lookup, rows_with, stash, table
@@ -25,6 +25,8 @@ BLOCK = 2048
 HELD = 250_000
 #: About so many texts are read for shingles that many texts share; one in at least HOT of them is a hot one.
 SAMPLE, HOT = 20_000, 5
+#: Cells to which the rows of a hot shingle are dealt.
+CELLS = 64
 #: Bits of a set's parity.
 PARITY = 1024
 #: Guards products of a similarity and a count against rounding.
@@ -208,11 +210,14 @@ def set_node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) if len(s) else 0
 
 
-def prefix(s: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
-    """The first elements of a set in the order of all sets, hot ones last: as many as two sets of that Jaccard share one of."""
+def prefix(s: np.ndarray, similarity: float, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first elements of a set in the order of all sets, hot ones last: as many as two sets of that Jaccard share one of.
+
+    And how many of these are not hot.
+    """
     n = len(s) - int(np.ceil(similarity * len(s) - EPS)) + 1 if len(s) else 0
     common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
-    return s[np.argsort(common, kind="stable")[:n]]
+    return s[np.argsort(common, kind="stable")[:n]], min(n, int(len(s) - common.sum()))
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -236,14 +241,16 @@ def _prefixes(k: int, similarity: float, hot):
         drop_kept()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                node, size, keys, odd = [], [], [], []
+                node, size, keys, cold, odd = [], [], [], [], []
                 for t in b.column("t")[at : at + 256]:
                     s = shingle_set(t.as_py(), k)
                     node.append(set_node(s))
                     size.append(len(s))
-                    keys.append(prefix(s, similarity, hot.value).view(np.int64))
+                    first, n = prefix(s, similarity, hot.value)
+                    keys.append(first.view(np.int64))
+                    cold.append(n)
                     odd.append(parity(s))
-                yield pa.record_batch([b.column("id")[at : at + 256], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["id", "fp", "size", "keys", "odd"])
+                yield pa.record_batch([b.column("id")[at : at + 256], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(odd, pa.binary())], ["id", "fp", "size", "keys", "cold", "odd"])
 
     return run
 
@@ -254,23 +261,44 @@ def _sets(k: int):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 sets = [shingle_set(t.as_py(), k) for t in b.column("t")[at : at + 256]]
-                yield pa.record_batch([pa.array(np.array([set_node(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "elements"])
+                yield pa.record_batch([pa.array(np.array([set_node(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "elements"])
 
     return run
 
 
-def bucket_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, rank: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs (greater, smaller) of nodes of equal key (sorted) that sizes and places of the key do not rule out."""
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def cross_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, rank: np.ndarray, comp: np.ndarray, odd: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs (greater, smaller) of nodes of equal key (sorted) and different components that sizes, places of the key and
+    parities do not rule out. Rows of a bucket's largest component are compared with the others only."""
+    order = np.lexsort((comp, key))
+    key, fp, size, rank, comp, odd = (x[order] for x in (key, fp, size, rank, comp, odd))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
+    run = np.cumsum(new) - 1
+    count = np.bincount(run)
+    most = np.lexsort((-count, key[new]))
+    first = np.ones(len(most), bool)
+    first[1:] = key[new][most][1:] != key[new][most][:-1]
+    largest = np.zeros(len(count), bool)
+    largest[most[first]] = True
+    order = np.lexsort((largest[run], key))  # of each bucket the largest component last
+    key, fp, size, rank, comp, odd = (x[order] for x in (key, fp, size, rank, comp, odd))
     ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
     last = np.repeat(ends, np.diff(ends, prepend=0))
-    at, d, held, n = np.arange(len(key)), 0, [], 0
+    at, d, held, n = np.flatnonzero(~largest[run][order]), 0, [], 0
     while True:
         d += 1
         at = at[at + d < last[at]]
-        if len(at):
-            a, b = at, at + d
+        for lo in range(0, len(at), 100_000):
+            a = at[lo : lo + 100_000]
+            b = a + d
             least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - EPS)
-            ok = (fp[a] != fp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - EPS) & (np.minimum(size[a] - rank[a], size[b] - rank[b]) >= least)
+            ok = (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - EPS) & (np.minimum(size[a] - rank[a], size[b] - rank[b]) >= least)
+            a, b = a[ok], b[ok]
+            ok = _differing(odd[a], odd[b]) <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + EPS
             a, b = fp[a[ok]], fp[b[ok]]
             held.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
             n += len(a)
@@ -282,9 +310,10 @@ def bucket_pairs(key: np.ndarray, fp: np.ndarray, size: np.ndarray, rank: np.nda
             return
 
 
-def _pairs(similarity: float):
+def _cross(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (key, cell), as in _links."""
+        drop_kept()
         held: list[list[np.ndarray]] = []
 
         def done(final: bool) -> Iterator[pa.RecordBatch]:
@@ -292,12 +321,13 @@ def _pairs(similarity: float):
             new = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
             end = len(key) if final else int(np.searchsorted(new, new[-1]))
             held[:] = [[x[end:] for x in (key, cell, *rest)]]
-            for p in bucket_pairs(new[:end], *(x[:end] for x in rest), similarity) if end else ():
+            for p in cross_pairs(new[:end], *(x[:end] for x in rest), similarity) if end else ():
                 yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], ["src", "dst"])
 
         n = 0
         for b in batches:
-            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp", "size", "rank")])
+            odd = np.frombuffer(b"".join(b.column("odd").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            held.append([*(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "fp", "size", "rank", "c")), odd])
             n += b.num_rows
             if n >= HELD:
                 yield from done(False)
@@ -313,21 +343,7 @@ def _possible(similarity: float):
         for b in batches:
             a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("odd_a", "odd_b"))
             size = b.column("size_a").to_numpy().astype(np.int64) + b.column("size_b").to_numpy()
-            ok = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * size + EPS
-            yield b.select(["src", "dst"]).filter(pa.array(ok))
-
-    return run
-
-
-def _similar(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - EPS)
-            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["src", "dst"]).filter(pa.array(_differing(a, c) <= (1 - similarity) / (1 + similarity) * size + EPS))
 
     return run
 
@@ -337,42 +353,71 @@ def _ends(pairs: DataFrame) -> tuple[DataFrame, int]:
     return stash(pairs.select(F.explode(F.array("src", "dst")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))), 2 * pairs.count()
 
 
+def _buckets(base: DataFrame) -> DataFrame:
+    """Rows (key, cell, fp, size, rank, center) of the prefix elements (keys) that two or more nodes have.
+
+    Rows are dealt once, by key. A key that many texts have, as found in the sample, is dealt to CELLS cells, so that no
+    task gets all its rows. center is a node of the cell, the one whose number is least when mixed with the key: cells
+    of the same nodes have different ones.
+    """
+    rows = base.select("fp", "size", "cold", F.posexplode("keys").alias("rank", "key"))
+    rows = rows.withColumn("cell", F.when(F.col("rank") < F.col("cold"), 0).otherwise(F.pmod(F.xxhash64("fp"), F.lit(CELLS)).cast("int") + 1)).drop("cold")
+    mixed, cell = F.col("fp").bitwiseXOR(F.col("key")), Window.partitionBy("key", "cell")
+    rows = rows.withColumn("lo", F.min(mixed).over(cell)).withColumn("hi", F.max(mixed).over(cell))
+    return rows.filter("lo <> hi or cell > 0").select("key", "cell", "fp", "size", "rank", F.col("lo").bitwiseXOR(F.col("key")).alias("center"))
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (src, dst): each node with the center of its cell, and centers of cells of a key with one of them."""
+    of_key = Window.partitionBy("key")  # at most CELLS rows each
+    centers = buckets.filter("cell > 0").select("key", "cell", "center").distinct().withColumn("first", F.min(F.col("center").bitwiseXOR(F.col("key"))).over(of_key).bitwiseXOR(F.col("key")))
+    both = buckets.select("fp", "center").unionByName(centers.select(F.col("center").alias("fp"), F.col("first").alias("center")))
+    return both.filter("fp <> center").select(F.greatest("fp", "center").alias("src"), F.least("fp", "center").alias("dst")).distinct()
+
+
 def similar_links(base: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (src, dst) that connect all nodes whose shingle sets have that Jaccard similarity or more, and no others.
 
-    ``base`` has id, node (fp), size and prefix of each row of ``src``. Two such sets share an element of their prefixes,
-    so the pairs that share one are all there can be; each that sizes, places and parities allow is compared by its sets.
-    First each node is compared with the least of its partners; pairs that this has connected are not compared again.
+    ``base`` has id, node (fp), size and prefix of each row of ``src``. Two such sets share an element of their prefixes.
+    First each node is paired with the centers of its cells, as many pairs as rows; those that parities allow are tried,
+    two for each node, and verified ones give components. A key whose nodes are all in one component is done. In
+    the others, nodes of different components are compared, and those that sizes, places and parities allow verified. So
+    no link between components is lost, and a group of copies makes no pairs of all its members.
     """
-    spark = src.sparkSession
-    nodes = base.groupBy("fp").agg(F.first(F.struct("size", "keys")).alias("x"))
-    keys = stash(nodes.select("fp", "x.size", F.posexplode("x.keys").alias("rank", "key")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = stash(_dealt(keys).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_pairs(similarity), "src long, dst long").distinct())
-    ends, total = _ends(pairs)
-    odd = stash(lookup(base.select("fp", "size", "odd"), ends, "fp", "inner", "n", total).groupBy("fp").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.first("odd").alias("odd")))
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = stash(_buckets(base))
+    known = buckets.select("fp").distinct()
+    sketch = stash(base.select("id", "fp", "size", "odd").join(known, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("odd").alias("odd")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends, total = _ends(pairs)
+        ids = stash(sketch.join(ends, "fp").select("id"))
+        sets = rows_with(src, "id", ids, ids.count()).mapInArrow(_sets(k), "fp long, elements array<long>").groupBy("fp").agg(F.first("elements").alias("elements"))
+        sets = stash(sets.join(ends, "fp").select("fp", "elements", "n"))
+        one = lookup(pairs, sets.withColumnsRenamed({"fp": "src", "elements": "a"}), "src", "inner", "n", total, salt="dst").drop("n")
+        two = lookup(one, sets.withColumnsRenamed({"fp": "dst", "elements": "b"}), "dst", "inner", "n", total, salt="src").drop("n")
+        both = F.size(F.array_intersect("a", "b"))
+        return stash(two.filter(both >= similarity * (F.size("a") + F.size("b") - both) - EPS).select("src", "dst"))
+
+    stars = stash(_stars(buckets))
+    ends, total = _ends(stars)
+    odd = stash(sketch.select("fp", "size", "odd").join(ends, "fp"))
     for end, x in (("src", "a"), ("dst", "b")):
-        pairs = lookup(pairs, odd.withColumnsRenamed({"fp": end, "size": f"size_{x}", "odd": f"odd_{x}"}), end, "inner", "n", total).drop("n")
-    pairs = stash(pairs.select("src", "dst", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(_possible(similarity), "src long, dst long"))
-    ends, total = _ends(pairs)
-    ids = stash(lookup(base.select("id", "fp"), ends, "fp", "inner", "n", total).groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct())
-    sets = rows_with(src, "id", ids, ids.count()).mapInArrow(_sets(k), "fp long, elements binary").groupBy("fp").agg(F.first("elements").alias("elements"))
-    sets = stash(sets.join(ends, "fp", "inner").select("fp", "elements", "n"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        one = lookup(some, sets.withColumnsRenamed({"fp": "src", "elements": "a"}), "src", "inner", "n", total).drop("n")
-        two = lookup(one, sets.withColumnsRenamed({"fp": "dst", "elements": "b"}), "dst", "inner", "n", total).drop("n")
-        return stash(two.select("src", "dst", "a", "b").mapInArrow(_similar(similarity), "src long, dst long"))
-
-    first = stash(pairs.groupBy("src").agg(F.min("dst").alias("dst")))
-    links = verified(first)
-    comp = stash(connected_components(links).withColumnRenamed("component", "c"))
-    of = stash(comp.join(ends, comp["node"] == ends["fp"]).select("node", "c", "n"))
-    rest = pairs.join(first, ["src", "dst"], "left_anti")
-    for end in ("src", "dst"):
-        rest = lookup(rest, of.withColumnsRenamed({"node": end, "c": f"c_{end}"}), end, "left", "n", total).drop("n")
-    rest = stash(rest.filter(~F.coalesce(F.col("c_src") == F.col("c_dst"), F.lit(False))).select("src", "dst"))
-    return links.unionByName(verified(rest))
+        stars = lookup(stars, odd.withColumnsRenamed({"fp": end, "size": f"size_{x}", "odd": f"odd_{x}"}), end, "inner", "n", total).drop("n")
+    stars = stash(stars.select("src", "dst", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(_possible(similarity), "src long, dst long"))
+    other = F.struct(F.xxhash64("src", "dst").alias("h"), "src", "dst")
+    picked = stars.select(F.explode(F.array("src", "dst")).alias("fp"), other.alias("p")).groupBy("fp").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+    near = verified(stash(picked.select(F.explode(F.array("p", "q")).alias("p")).select("p.src", "p.dst").distinct()))
+    comp = stash(connected_components(near).withColumnRenamed("component", "c"))
+    joined = stash(buckets.join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "rank", F.coalesce("c", "fp").alias("c")))
+    open_ = stash(joined.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "n"))
+    links = comp.select(F.col("node").alias("src"), F.col("c").alias("dst")).filter("src <> dst")
+    if open_.isEmpty():
+        return links
+    rows = lookup(joined, open_, "key", "inner", "n", joined.count()).drop("n")
+    rows = stash(rows.dropDuplicates(["key", "fp"]).join(sketch.select("fp", "odd"), "fp").select("key", "fp", "size", "rank", "c", "odd"))
+    cross = _dealt(rows).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cross(similarity), "src long, dst long")
+    return links.unionByName(verified(stash(cross.distinct())))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +448,7 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, id_col: str
     # at most a HOT-th of the sampled shingles
     hot = some.mapInArrow(_shingles(shingle), "key long").groupBy("key").count().filter(F.col("count") >= HOT).select("key").collect()
     hot = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot), np.int64).view(np.uint64))
-    base = stash(src.mapInArrow(_prefixes(shingle, similarity, hot), "id long, fp long, size int, keys array<long>, odd binary"))
+    base = stash(src.mapInArrow(_prefixes(shingle, similarity, hot), "id long, fp long, size int, keys array<long>, cold int, odd binary"))
     fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     out = _components(base.select("id", "fp"), fps, similar_links(base, src, shingle, similarity))
     return out.select(F.col("id").alias(id_col), "component_id")
