@@ -58,6 +58,10 @@ def test_other_languages():
         ("true", "boolean", None, True), ("-123", "integer", None, -123), ("3.14f", "float", None, 3.14), ("3e3F", "float", None, 3e3), ("3.14e-2", "double", None, 3.14e-2), ("123L", "long", None, 123), ("a", "char", None, "a"),
         ("abc", "String", None, "abc"), ("123", "any", None, "123"), ("12x", "integer", None, "12x"), ("new int[]{1, 2, 3}", "Array", None, [1, 2, 3]), ('new Object[]{1, "abc", true}', "Array", None, [1, "abc", True]),
         ('new ArrayList<>(Arrays.asList("a", "b"))', "ArrayList", None, ["a", "b"]), ("new ArrayList<>() {{ add(1); add(2); }}", "ArrayList", "integer", [1, 2]), ("new ArrayList<>()", "ArrayList", None, []),
+        ("new int[] { }", "Array", None, []), ("new HashMap<>() {{}}", "HashMap", None, {}), ("new HashMap<>() {}", "HashMap", None, {}), ('new HashMap<String, String>() { {put("key", "value");} }', "HashMap", None, {"key": "value"}),
+        ("new long[]{1L, 2.0, 3L}", "Array", "long", [1, "2.0", 3]), ("new ArrayList<Character>() {{ add('a'); add('b'); }}", "ArrayList", "char", ["a", "b"]), ("new ArrayList<Float>() {{ add(1.0f); }}", "ArrayList", "float", [1.0]),
+        ("-9223372036854775808L", "long", None, -9223372036854775808), ("3.14", "float", None, "3.14"), ("3.14f", "double", None, "3.14f"), ("yes", "boolean", None, "yes"), ("new ArrayList<>(", "ArrayList", None, "new ArrayList<>("),
+        ('new HashMap<String, List<Map<String, Integer>>>() {{ put("a, (b", new ArrayList<>(Arrays.asList("x;y", 2))); put("c", new int[]{1}); put("d", f(1, "}")); }}', "HashMap", None, {"a, (b": ["x;y", 2], "c": [1], "d": 'f(1, "}")'}),
         ('new HashMap<String, String>() {{ put("key", "value"); }}', "HashMap", None, {"key": "value"}), ("new HashMap<>()", "HashMap", None, {}), ("x", "HashMap", None, "x"),
     ],
 )
@@ -65,6 +69,37 @@ def test_java_literals(text, kind, nested, want):
     assert L.java(text, kind, nested) == want
 
 
+PLAIN = st.integers(-99, 99) | st.booleans() | st.text("ab ,;(){}[]:é", max_size=6) | st.floats(-9, 9).map(lambda x: round(x, 3) + 0.0005)
+
+
+@given(st.recursive(PLAIN, lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab, :", min_size=1, max_size=4), x, max_size=3), max_leaves=8).filter(lambda x: isinstance(x, list | dict)))
+@settings(max_examples=150, deadline=None)
+def test_literals_round_trip(value):
+    quoted = lambda x: f'"{x}"' if isinstance(x, str) else str(x).lower()
+
+    def js(x):
+        if isinstance(x, list):
+            return "[" + ", ".join(map(js, x)) + "]"
+        return "{" + ",".join(f"'{k}': {js(v)}" for k, v in x.items()) + "}" if isinstance(x, dict) else quoted(x)
+
+    def java(x):
+        if isinstance(x, list):
+            return "new ArrayList<Map<String, Object>>(Arrays.asList(" + ", ".join(map(java, x)) + "))"
+        return "new HashMap<>() {{ " + "".join(f'put("{k}", {java(v)}); ' for k, v in x.items()) + "}}" if isinstance(x, dict) else quoted(x)
+
+    assert L.javascript(js(value), "array" if isinstance(value, list) else "dict") == value
+    assert L.java(java(value), "ArrayList" if isinstance(value, list) else "HashMap") == value
+
+
+@given(st.text("[]{}()<>,;:\"'\\ab1 ", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_literals_never_fail(text):
+    for convert, kinds in ((L.java, ("Array", "ArrayList", "HashMap")), (L.javascript, ("array", "dict"))):
+        for kind in kinds:
+            convert("new " + text, kind)
+            convert(text, kind)
+
+
 def test_java_sets_have_no_conversion():
     with pytest.raises(ValueError):
         L.java("x", "Set")
@@ -72,7 +107,8 @@ def test_java_sets_have_no_conversion():
 
 @pytest.mark.parametrize(
     ("text", "kind", "want"),
-    [("true", "Boolean", True), ("123n", "Bigint", 123), ("1.5", "float", 1.5), ("'x'", "String", "x"), ("[1, 'a', true]", "array", [1, "a", True]), ("[[1, 2], [3]]", "array", [[1, 2], [3]]), ("{a: 1, 'b': 'x'}", "dict", {"a": 1, "b": "x"}), ("{}", "dict", {}), ("new Array(1, 2)", "array", [1, 2]), ("q", "array", "q")],
+    [("true", "Boolean", True), ("123n", "Bigint", 123), ("1.5", "float", 1.5), ("'x'", "String", "x"), ("[1, 'a', true]", "array", [1, "a", True]), ("[[1, 2], [3]]", "array", [[1, 2], [3]]), (" [ [ 1, 2 ], [ 3,   4]]", "array", [[1, 2], [3, 4]]), ("new Array([1], {'k, l': [true, 'a]']})", "array", [[1], {"k, l": [True, "a]"]}]), ("123", "Bigint", "123"), ("1e3", "float", "1e3"),
+     ('{"a": stateObject, "m": ["x", f(1, 2)], c: {d: -1.5}}', "dict", {"a": "stateObject", "m": ["x", "f(1, 2)"], "c": {"d": -1.5}}), ("[1, 2", "array", "[1, 2"), ("{a}", "dict", "{a}"), ("[1, 2,]", "array", [1, 2]), ("{a: 1, 'b': 'x'}", "dict", {"a": 1, "b": "x"}), ("{}", "dict", {}), ("new Array(1, 2)", "array", [1, 2]), ("q", "array", "q")],
 )
 def test_javascript_literals(text, kind, want):
     assert L.javascript(text, kind) == want
