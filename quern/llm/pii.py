@@ -1,6 +1,7 @@
 """PII: numbers, dates, addresses of the net and of mail get pseudonyms of the same format from a keyed Feistel network.
 
-DataFrame functions only: a text is cut at its findings, each is replaced, and the text is put together again.
+DataFrame functions only: a text is cut at its findings, each is replaced, and the text is put together again. The key
+comes from a table of one row by a scalar subquery, so it stands in no plan, explain output or event log.
 """
 
 from __future__ import annotations
@@ -13,15 +14,24 @@ from pyspark.sql import functions as F
 from quern.llm._common import fresh, table
 
 ROUNDS = 8
-#: Used where no key is given; a real run passes its own.
-DEMO_KEY = "demo key"
+#: The setting that holds the key, and what is used where it is unset: a real run sets its own.
+KEY_CONF, DEMO_KEY = "spark.quern.pii.key", "demo key"
+# Lengths of account numbers (IBAN) by country, and country codes of one and two digits.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+COUNTRY_CODES = "7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IBAN = "|".join(rf"(?:{names.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_LENGTHS.items())
 #: kind -> pattern; the order is that of the alternation. A finding must also be valid, see KINDS below.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:(?:\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])|\(\d{3}\)[ .-]?)\d{3}|[2-9]\d\d[ .-][2-9]\d\d)[ .-]\d{4}(?!\d|-\d)",
-    "card": r"(?<![\d.+-])[3-6]\d{3}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{5})(?!\d|-\d|\.\d)",
+    "abroad": r"(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12})){1,6}(?!\d)",
+    "iban": rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])",
+    "card": r"(?<![\d.+-])[2-6]\d{3}(?:(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[ -]\d{6}[ -]\d{5})(?!\d|-\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
     "date": r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?!\d|[/-]\d)",
 }
@@ -52,7 +62,7 @@ def feistel(x: Column, a: int, b: int, tweak: Column, back: bool) -> Column:
 
 
 def feistel_text(x: Column, tweak: Column, back: bool) -> Column:
-    """A keyed permutation of strings of the same shape: ASCII digits stay digits, letters letters of their case."""
+    """A keyed permutation of strings of the same shape: ASCII digits stay digits, capital letters capital ones."""
 
     def shift(half: Column, other: Column, k: Column) -> Column:
         digest = F.sha2(F.concat_ws("|", tweak, k.cast("string"), other), 256)
@@ -80,12 +90,12 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
-def _fill(shape: Column, digits: Column) -> Column:
-    """``digits`` in the places of the digits of ``shape``."""
+def _fill(shape: Column, digits: Column, place: str = r"\d") -> Column:
+    """``digits`` in the places of the digits of ``shape``, or of other characters."""
     zero = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        d = c.rlike(r"^\d$")
+        d = c.rlike(f"^{place}$")
         return F.struct(F.concat(s["out"], F.when(d, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), F.when(d, s["at"] + 1).otherwise(s["at"]).alias("at"))
 
     return F.aggregate(F.split(shape, ""), zero, step, lambda s: s["out"])
@@ -160,9 +170,41 @@ def _date(m: Column, tweak: Column, back: bool) -> Column:
 
 
 def _email(m: Column, tweak: Column, back: bool) -> Column:
-    """The part before the @ is permuted by its shape; the domain stays, and enters the hash."""
+    """The part before the @ is permuted by its shape; the domain stays, and enters the hash. Capital and small letters are one to both."""
     name, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
-    return F.concat(feistel_text(name, F.concat(tweak, domain), back), F.lit("@"), domain)
+    new = feistel_text(F.lower(name), F.concat(tweak, F.lower(domain)), back)
+    cased = F.zip_with(F.split(new, ""), F.split(name, ""), lambda n, old: F.when(old.rlike("^[A-Z]$"), F.upper(n)).otherwise(n))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
+
+
+def mod97(account: Column) -> Column:
+    """The number that an account's characters spell, letters as 10 to 35, modulo 97."""
+
+    def add(s: Column, c: Column) -> Column:
+        n = F.ascii(c)
+        return F.pmod(F.when(n >= 65, s * 100 + n - 55).otherwise(s * 10 + n - 48), F.lit(97)).cast("int")
+
+    return F.aggregate(F.split(account, ""), F.lit(0), add)
+
+
+def _plain_iban(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
+def _iban(m: Column, tweak: Column, back: bool) -> Column:
+    """The country stays, the account is permuted by its shape, the check digits are computed."""
+    plain = _plain_iban(m)
+    country = F.substring(plain, 1, 2)
+    account = feistel_text(F.substr(plain, F.lit(5)), F.concat(tweak, country), back)
+    check = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return _fill(m, F.concat(country, check, account), "[^ ]")
+
+
+def _abroad(m: Column, tweak: Column, back: bool) -> Column:
+    """The country code stays, the other digits are permuted."""
+    d = _digits(m)
+    code = F.regexp_extract(d, rf"^(?:{COUNTRY_CODES.replace(' ', '|')}|\d\d\d)", 0)
+    return _fill(m, F.concat(code, feistel_text(F.substr(d, F.length(code) + 1), F.concat(tweak, code), back)))
 
 
 #: kind -> (test of a finding that matches the pattern, pseudonym)
@@ -170,35 +212,44 @@ KINDS = {
     "email": (lambda m: F.lit(True), _email),
     "ip": (lambda m: F.lit(True), _ip),
     "phone": (lambda m: F.lit(True), _phone),
+    "abroad": (lambda m: F.length(_digits(m)).between(8, 15), _abroad),
+    "iban": (lambda m: (mod97(F.concat(F.substr(_plain_iban(m), F.lit(5)), F.substring(_plain_iban(m), 1, 4))) == 1) & F.substring(_plain_iban(m), 3, 2).between("02", "98"), _iban),
     "card": (lambda m: F.length(_digits(m)).between(13, 19) & (luhn_sum(_digits(m)) % 10 == 0), _card),
     "ssn": (lambda m: ~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), _ssn),
     "date": (lambda m: F.try_to_date(_iso(m), "yyyy-MM-dd").isNotNull(), _date),
 }
 
 
-def pseudonym(m: Column, key: str, back: bool = False) -> Column:
+def pseudonym(m: Column, key: Column, back: bool = False) -> Column:
     """struct(kind, value) of what one finding becomes; kind is null and value the finding itself if it isn't valid."""
-    kinds = [F.when(m.rlike(f"^(?:{PATTERNS[k]})$") & ok(m), F.struct(F.lit(k).alias("kind"), new(m, F.lit(f"{key}|{k}"), back).alias("value"))) for k, (ok, new) in KINDS.items()]
+    kinds = [F.when(m.rlike(f"^(?:{PATTERNS[k]})$") & ok(m), F.struct(F.lit(k).alias("kind"), new(m, F.concat(key, F.lit(f"|{k}")), back).alias("value"))) for k, (ok, new) in KINDS.items()]
     return F.coalesce(*kinds, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
 
-def pseudonymize(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str | None = None, text_col: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with its text replaced, and ``found``: array of struct(kind, value), the pseudonyms in their order.
 
-    E-mail addresses, IPv4 addresses, North American phone numbers, card numbers (Luhn), social security numbers and
-    dates (ISO, and day first with dots or slashes) that are valid become others that are, of the same format: equal
-    values have equal pseudonyms in all documents, different ones different. ``back`` undoes it. Each row is changed
-    where it is: no shuffle, and only rows with a digit or an @ are searched. A null text stays null with nothing found,
-    repeated rows are changed alike, other columns stay (a column named found is replaced); no rows give no rows.
+    E-mail addresses (capital and small letters are one), IPv4 addresses, phone numbers of the North American form or
+    with a + and a country code (abroad), account numbers (IBAN, check digits), card numbers (Luhn), social security
+    numbers and dates (ISO, and day first with dots or slashes) that are valid become others that are, of the same
+    format: equal values have equal pseudonyms in all documents, different ones different. Where findings could overlap
+    the first to begin counts, and of those that begin together the one that comes first in PATTERNS.
+
+    ``key`` is what the spark.quern.pii.key setting says, by default. ``back`` undoes it. Each row is changed where it
+    is: no shuffle, and only rows with a digit or an @ are searched. A very long text is searched whole, in a row's
+    memory. A null text stays null with nothing found, repeated rows are changed alike, other columns stay (a column
+    named found is replaced); no rows give no rows.
     """
+    spark = docs.sparkSession
+    secret = spark.createDataFrame([(key if key is not None else spark.conf.get(KEY_CONF, DEMO_KEY),)], "secret string")
     t = F.col(text_col)
     maybe = t.rlike(r"\d|@")
-    found, new = fresh(), fresh()
-    out = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), 0)))
-    out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, back))))
+    found, new, k = fresh(), fresh(), fresh()
+    out = docs.withColumn(k, secret.scalar()).withColumn(found, F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), 0)))
+    out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, F.col(k), back))))
     parts = F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit(""))))
     empty = F.array().cast("array<struct<kind:string,value:string>>")
-    return out.withColumn(text_col, F.when(F.col(new).isNotNull(), F.array_join(parts, "")).otherwise(t)).withColumn("found", F.coalesce(F.filter(new, lambda x: x["kind"].isNotNull()), empty)).drop(found, new)
+    return out.withColumn(text_col, F.when(F.col(new).isNotNull(), F.array_join(parts, "")).otherwise(t)).withColumn("found", F.coalesce(F.filter(new, lambda x: x["kind"].isNotNull()), empty)).drop(found, new, k)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
