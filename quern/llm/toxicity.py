@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._common import drop_kept, stash, table
 
-#: The chain. Only ``toxic`` is labelled; the two before it are graded from it: a toxic text with two or more distinct
-#: telling words, and one in which telling words are at least half as frequent as in the median toxic text's.
-CATEGORIES = ("toxic_repeated", "toxic_dense", "toxic")
-#: Labelled rows used at most (the ones with the smallest hash of their id), and features of a model at most.
-MAX_TRAIN, MAX_FEATURES = 20_000, 512
-#: Features, most evidence first, that the driver gets of the labelled rows.
-MAX_CANDIDATES = 4096
+#: The chain and the label of each: a text of low quality (quality is 0), then a toxic one, which is told by its words and
+#: by how likely it is to be of low quality.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+#: Labelled rows used at most: the ones with the smallest hash of their id.
+MAX_TRAIN = 20_000
 FOLDS, STEPS, PENALTY, THRESHOLD = 3, 25, 0.1, 0.4
 #: Evidence (nats) and ratio of odds that a feature needs to be in a model.
 LEAST_EVIDENCE, LEAST_ODDS = 9.0, 3.0
 #: Letters of a stem.
 STEMS = (4, 5, 6, 7, 8)
+MARKS, CAPITALS = re.compile(r"[\w\s]+"), re.compile(r"[A-Z]")
 STRIP = ".,;:!?\"'()[]{}<>*#%&$_-–—…«»“”‘’/\\|"
 
 
@@ -41,10 +41,25 @@ def words_of(text: str | None) -> set[str]:
     return out
 
 
+def shape(text: str | None) -> set[str]:
+    """In eighths: words that are distinct, words that repeat the one before, characters that are marks, and capitals."""
+    text = text or ""
+    words = text.split()
+    if not words:
+        return {"#empty"}
+    share = {
+        "distinct": len(set(words)) / len(words),
+        "again": sum(map(operator.eq, words, words[1:])) / len(words),
+        "marks": len(MARKS.sub("", text)) / len(text),
+        "capitals": len(CAPITALS.findall(text)) / len(text),
+    }
+    return {f"#{name}{math.ceil(8 * x)}" for name, x in share.items()}
+
+
 def features(text: str | None) -> set[str]:
-    """Words, stems of longer words as ``stem*``, and ``stem**`` for a stem of two or more distinct words."""
+    """Words, stems of longer words as ``stem*``, ``stem**`` for a stem of two or more distinct words, and the shape."""
     words = words_of(text)
-    out = set(words)
+    out = words | shape(text)
     for n in STEMS:
         for w in words:
             if len(w) > n:
@@ -76,10 +91,13 @@ class Chain:
         self.stems = {x.rstrip("*") for x in names if x[-1] == "*"}
         self.sizes = sorted({len(x) for x in self.stems})
         self.starts = {x[: STEMS[0]] for x in self.stems}
+        self.shaped = any(x[0] == "#" for x in names)
 
     def found(self, text: str | None) -> set[str]:
         words = words_of(text)
         out = words & self.words
+        if self.shaped:
+            out |= shape(text) & self.words
         for w in words:
             if w[: STEMS[0]] in self.starts:
                 for n in self.sizes:
@@ -96,15 +114,14 @@ class Chain:
 
 
 class Rows:
-    """Labelled rows as a sparse matrix of feature numbers; ``size`` is how many features each row has in all."""
+    """Labelled rows as a sparse matrix: the numbers of row and feature of each of its ones."""
 
-    def __init__(self, words: list[list[str]], size: list[int] | None = None):
+    def __init__(self, words: list[list[str]]):
         number: dict[str, int] = {}
         self.cols = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
         self.names = np.array(list(number), object)
         self.n = len(words)
         self.row = np.repeat(np.arange(self.n), [len(w) for w in words]) if words else np.zeros(0, np.int64)
-        self.size = np.array(size if size is not None else [len(w) for w in words], float)
 
     def telling(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Numbers of the features that tell the classes apart among the rows in use, most evidence first.
@@ -117,130 +134,150 @@ class Rows:
         kept = use[self.row]
         both = np.bincount(self.cols[kept], minlength=len(self.names))
         pos = np.bincount(self.cols[kept], weights=y[self.row[kept]], minlength=len(self.names))
-        p = (pos + base) / (both + 1)
-        odds = np.abs(np.log(p / (1 - p)) - np.log(base / (1 - base)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            q = pos / both
-            gain = np.nan_to_num(pos * np.log(q / base)) + np.nan_to_num((both - pos) * np.log((1 - q) / (1 - base)))
+        gain, odds = evidence(pos, both, base)
         good = np.flatnonzero((gain >= LEAST_EVIDENCE) & (odds >= np.log(LEAST_ODDS)))
         general = [(-gain[k], self.names[k].endswith("*"), -len(self.names[k]), self.names[k]) for k in good]
         good = good[sorted(range(len(good)), key=general.__getitem__)]
         marks = np.random.default_rng(0).integers(1, 1 << 62, self.n)
         mark = np.zeros(len(self.names), np.int64)
         np.add.at(mark, self.cols[kept], marks[self.row[kept]])
-        return good[np.sort(np.unique(mark[good], return_index=True)[1])][:MAX_FEATURES]
+        return good[np.sort(np.unique(mark[good], return_index=True)[1])]
 
-    def matrix(self, cols: np.ndarray) -> np.ndarray:
-        at = np.full(len(self.names), -1)
-        at[cols] = np.arange(len(cols))
-        hit = at[self.cols] >= 0
-        x = np.zeros((self.n, len(cols)), bool)
-        x[self.row[hit], at[self.cols[hit]]] = True
-        return x
 
-
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w of a matrix of bits, by blocks."""
-    return np.concatenate([x[k : k + 2048].astype(float) @ w for k in range(0, len(x), 2048)] or [np.zeros(0)])
+def evidence(pos: np.ndarray, both: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of features with so many rows of the class, and rows at all: log likelihood gained over the base rate, log ratio of odds."""
+    p = (pos + base) / (both + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = pos / both
+        gain = np.nan_to_num(pos * np.log(q / base)) + np.nan_to_num((both - pos) * np.log((1 - q) / (1 - base)))
+    return gain, np.abs(np.log(p / (1 - p)) - np.log(base / (1 - base)))
 
 
 def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) -> tuple[Linear, np.ndarray]:
-    """The model fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps.
-
-    Equal rows count as one with their number as weight; most rows have no feature at all.
-    """
+    """The model fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps, each solved
+    by conjugate gradients, so that memory grows with the ones of the matrix and not with rows times features."""
     pos, of = y[use].sum(), use.sum()
     base = (pos + 0.5) / (of + 1) if 0 < pos < of else min(max(pos / (of + 1), 1e-9), 1 - 1e-9)  # nothing known: not toxic
     prior = float(np.log(base / (1 - base)))
     if not 0 < pos < of:
         return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, base)
     cols = rows.telling(y, use)
-    x = rows.matrix(cols)
+    at = np.full(len(rows.names), -1)
+    at[cols] = np.arange(len(cols))
+    hit = at[rows.cols] >= 0
+    r, c, k = rows.row[hit], at[rows.cols[hit]], len(cols)
     rest = np.column_stack([earlier, np.ones(rows.n)])
-    packed = np.column_stack([np.packbits(x[use], axis=1), np.ascontiguousarray(rest[use]).view(np.uint8)])
-    _, first, group = np.unique(np.ascontiguousarray(packed).view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    a = np.column_stack([x[use][first], rest[use][first]]).astype(float)
-    n = np.bincount(group.ravel())
-    t = np.bincount(group.ravel(), weights=y[use])
-    ridge = np.append(np.full(a.shape[1] - 1, PENALTY), 1e-6)
-    w = np.append(np.zeros(a.shape[1] - 1), prior)
+    times = lambda v: np.bincount(r, weights=v[c], minlength=rows.n) + rest @ v[k:]
+    back = lambda u: np.append(np.bincount(c, weights=u[r], minlength=k)[:k], u @ rest)
+    ridge = np.append(np.full(k + earlier.shape[1], PENALTY), 1e-6)
+    w = np.append(np.zeros(k + earlier.shape[1]), prior)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (t - n * p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        d = np.where(use, p * (1 - p), 0.0)
+        diagonal = np.append(np.bincount(c, weights=d[r], minlength=k)[:k], d @ rest**2) + ridge
+        step = conjugate_gradients(lambda v: back(d * times(v)) + ridge * v, back(np.where(use, y - p, 0.0)) - ridge * w, diagonal)
         w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
+            break
+    probability = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), probability
+
+
+def conjugate_gradients(matrix, b: np.ndarray, diagonal: np.ndarray, most: int = 200) -> np.ndarray:
+    """x where matrix(x) = b, for a positive definite matrix; its diagonal scales the steps."""
+    x, left = np.zeros(len(b)), b.copy()
+    z = left / diagonal
+    way, now = z.copy(), left @ z
+    for _ in range(most):
+        if now <= 1e-14 * max(1.0, b @ (b / diagonal)):
             break
-    k = len(cols)
-    z = _times(x, w[:k]) + rest @ w[k:]
-    return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
-    """The label of each category of the chain."""
-    telling = rows.telling(toxic, np.ones(rows.n, bool))
-    count = rows.matrix(telling[np.isin(telling, _positive(rows, toxic, telling))]).sum(axis=1)
-    share = count / np.maximum(1, rows.size)
-    usual = np.median(share[toxic == 1]) if toxic.any() else 0
-    return np.stack([toxic * (count >= 2), toxic * ((share >= usual / 2) & (count > 0)), toxic], axis=1)
-
-
-def _positive(rows: Rows, y: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    x = rows.matrix(cols)
-    return cols[x[y > 0].sum(axis=0) > y.sum() / max(1, len(y)) * x.sum(axis=0)]
-
-
-def fit_chain(words: list[list[str]], toxic: list[int], size: list[int] | None = None) -> Chain:
-    """One model per category. A model learns from earlier categories' probabilities for rows that their models didn't see."""
-    rows, y0 = Rows(words, size), np.array(toxic, float)
-    y = grades(rows, y0)
-    fold = np.arange(rows.n) % FOLDS
-    everything = np.ones(rows.n, bool)
-    held = np.zeros((rows.n, 0))
-    models = []
-    for c in range(y.shape[1]):
-        models.append(fit_linear(rows, y[:, c], held, everything)[0])
-        out = np.zeros(rows.n)
-        if c + 1 < y.shape[1]:
-            for f in range(FOLDS):
-                out[fold == f] = fit_linear(rows, y[:, c], held, fold != f)[1][fold == f]
-        held = np.column_stack([held, out])
+        ahead = matrix(way)
+        far = now / (way @ ahead)
+        x, left = x + far * way, left - far * ahead
+        z = left / diagonal
+        now, before = left @ z, now
+        way = z + now / before * way
+    return x
+
+
+def out_of_fold(rows: Rows, y: np.ndarray, earlier: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """For each row the probability from a model that saw no row of its fold: not to choose features, nor to fit."""
+    out = np.zeros(rows.n)
+    for f in np.unique(fold):
+        out[fold == f] = fit_linear(rows, y, earlier, fold != f)[1][fold == f]
+    return out
+
+
+def fit_chain(words: list[list[str]], labels: np.ndarray, fold: np.ndarray) -> Chain:
+    """One model per category, a column of ``labels``. A later one learns from the earlier ones' out-of-fold probabilities."""
+    rows, held, models = Rows(words), np.zeros((len(words), 0)), []
+    for c in range(labels.shape[1]):
+        y = labels[:, c].astype(float)
+        models.append(fit_linear(rows, y, held, np.ones(rows.n, bool))[0])
+        if c + 1 < labels.shape[1]:
+            held = np.column_stack([held, out_of_fold(rows, y, held, fold)])
     return Chain(models)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     drop_kept()
     for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):  # a text has thousands of features
-        yield pa.record_batch([b.column("id"), b.column("toxic"), pa.array([sorted(features(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "toxic", "words"])
+        yield pa.record_batch([b.column("id"), b.column("fold"), b.column("y"), pa.array([sorted(features(t)) for t in b.column("t").to_pylist()], pa.list_(pa.string()))], ["id", "fold", "y", "words"])
+
+
+def _gain(pos: Column, both: Column, base: float) -> Column:
+    other = both - pos
+    return F.when(pos > 0, pos * F.log(pos / both / base)).otherwise(0.0) + F.when(other > 0, other * F.log(other / both / (1 - base))).otherwise(0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain:
-    """The chain for at most ``max_train`` labelled documents. Words are counted on the cluster; the driver gets, for
-    each of these documents, which of the MAX_CANDIDATES most telling words it has.
+    """The chain for at most ``max_train`` labelled documents. Features are counted on the cluster, by fold and label; the
+    driver gets, for each of these documents, which it has of the features that are evidence enough for one of the
+    models. How many these are is bounded by the labelled rows: each needs several of them.
 
-    Labels without an id or without ``toxic`` are left out; of several for an id the worst counts; a document without
-    text has no words; without rows of both classes the chain gives every text the same low probability.
+    Labels without an id or without one of the categories are left out; of several for an id the worst counts; a
+    document without text has no words; without rows of both classes the chain gives every text the same low
+    probability. Ties of evidence go to words before stems, longer ones first, then by name.
     """
-    lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    y = F.array(*[F.max(F.expr(e)).cast("int") for e in CATEGORIES.values()])
+    lab = labels.filter("toxic is not null and quality is not null and doc_id is not null").groupBy("doc_id").agg(y.alias("y"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).withColumnRenamed("doc_id", "label_id")
-    src = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(lab), F.col("id") == F.col("label_id")).select("id", "t", "toxic")
-    rows = stash(src.mapInArrow(_words, "id long, toxic int, words array<string>"))
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
-    base = min(max(pos / max(n, 1), 1e-9), 1 - 1e-9)
-    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).filter("n >= 3")
-    q, other = F.col("p") / F.col("n"), F.col("n") - F.col("p")
-    gain = F.when(F.col("p") > 0, F.col("p") * F.log(q / base)).otherwise(0.0) + F.when(other > 0, other * F.log((1 - q) / (1 - base))).otherwise(0.0)
-    best = counts.withColumn("gain", gain).filter(F.col("gain") >= LEAST_EVIDENCE / 2).orderBy(F.desc("gain"), "word").limit(MAX_CANDIDATES)
-    names = [r["word"] for r in best.select("word").collect()]
-    known = F.array_sort(F.array_intersect("words", F.array(*map(F.lit, names)).cast("array<string>")))
-    got = rows.select("id", "toxic", F.size("words").alias("size"), known.alias("words")).toArrow().sort_by("id")
-    return fit_chain(got.column("words").to_pylist(), got.column("toxic").to_pylist(), got.column("size").to_pylist())
+    src = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(lab), F.col("id") == F.col("label_id"))
+    src = src.select("id", "t", "y", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = stash(src.mapInArrow(_words, "id long, fold int, y array<int>, words array<string>"))
+    classes = range(len(CATEGORIES))
+    of = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col("y")[c]).alias(f"p{c}") for c in classes]).collect()
+    one = lambda of_fold, x: F.sum(F.when(F.col("fold") != of_fold, x).otherwise(0))
+    uses = [-1, *range(FOLDS)]  # all rows, and all but a fold
+    counts = rows.select("fold", "y", F.explode("words").alias("word")).groupBy("word").agg(
+        *[one(f, F.lit(1)).alias(f"n_{k}") for k, f in enumerate(uses)], *[one(f, F.col("y")[c]).alias(f"p{c}_{k}") for k, f in enumerate(uses) for c in classes]
+    )
+    enough = F.lit(False)
+    for k, f in enumerate(uses):
+        n = sum(r["n"] for r in of if r["fold"] != f)
+        for c in classes:
+            pos = sum(r[f"p{c}"] for r in of if r["fold"] != f)
+            if 0 < pos < n:
+                enough |= F.coalesce((F.col(f"n_{k}") > 0) & (_gain(F.col(f"p{c}_{k}"), F.col(f"n_{k}"), pos / n) >= LEAST_EVIDENCE - 1e-6), F.lit(False))
+    names = {r["word"] for r in counts.filter(enough).select("word").toLocalIterator()}
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(names)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("id"), b.column("fold"), b.column("y"), pa.array([[w for w in ws if w in known.value] for ws in b.column("words").to_pylist()], pa.list_(pa.string()))], ["id", "fold", "y", "words"])
+
+    got = rows.mapInArrow(some, rows.schema).toArrow().sort_by("id")
+    y = np.array(got.column("y").to_pylist(), int).reshape(-1, len(CATEGORIES))
+    return fit_chain(got.column("words").to_pylist(), y, got.column("fold").to_numpy())
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, a probability p_<category> for each category, and rejected (toxic at THRESHOLD or more), for each row.
 
-    One pass over whole texts without a shuffle. Null and empty texts have no words; null ids and repeated rows are
-    passed through; other columns are ignored; without labelled rows of both classes all texts get the same score.
+    One pass over whole texts without a shuffle; a very long text is one set of words. Null and empty texts have no
+    words; null ids and repeated rows are passed through; other columns are ignored; without labelled rows of both
+    classes all texts get the same score. A probability of THRESHOLD itself is rejected.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
