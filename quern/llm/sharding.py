@@ -4,58 +4,63 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._common import stash, table
 
 #: Bits of the key that one round of probes resolves: 2**BITS candidate boundaries inside each open interval.
 BITS = 12
-#: Rows that one task of the final exchange should sort, and the fewest tasks for each shard.
-ROWS_PER_TASK, LEAST_TASKS = 2_000_000, 4
+#: Rows that one task of the exchange should sort, and the fewest tasks.
+ROWS_PER_TASK, LEAST_TASKS = 2_000_000, 32
+PLACES = ("_size", "_shard", "_slot")
 
 
 def histogram_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.0, columns: dict[str, Column] | None = None) -> DataFrame:
     """Rows of ``docs`` with _size (UTF-8 bytes of the text and 1), _shard and _slot (place in the shard, from 0).
 
     Rows are ordered by (60 bits of the text's MD5, id, row), so copies of a text are neighbours and only a group on a
-    boundary is cut. Splitters stand where the bytes before them reach k/n of the total, within ``tolerance`` times a
-    shard's bytes (0: to the row). Each round counts bytes between candidate boundaries over all partitions; the driver
-    gets at most (number of splitters) * 2**BITS counts, whatever the input. Rows then move once, to a task for each
-    range between splitters; each shard has several ranges, split by bytes even inside a group of equal texts.
+    boundary is cut. The n_shards - 1 splitters stand where the bytes before them reach k/n of the total, within
+    ``tolerance`` times a shard's bytes (0: to the row). Each round counts bytes between candidate boundaries over all
+    partitions; the driver gets at most (number of splitters) * 2**BITS counts, however many rows there are. Rows then
+    move once, to ranges of the same order, where they are sorted and written with their place; a group of equal texts
+    has as many ranges as its rows need. Slots are those places and counted prefixes: one row of counts for each range
+    and shard, which the driver adds up, so it gets as many as there are tasks, and n_shards.
 
     ``columns`` are the output columns as expressions over ``docs`` (default: all its own columns). A null text has
-    size 1 and is ordered as the empty text; a null id comes first among equal texts; repeated rows are placed each; other
-    columns are kept, and their names don't matter unless they are _size, _shard or _slot; an empty table gives no rows.
+    size 1 and is ordered as the empty text, a very long one is read for its size and hash only; a null id comes first
+    among equal texts, any other long may be an id; repeated rows are placed each, in the order of the scan. Other
+    columns are kept whatever their names, but _size, _shard and _slot are replaced; an empty table gives no rows.
     """
-    t, i = F.col(text_col), F.col(id_col)
-    out = columns or {c: F.col(f"`{c}`") for c in docs.columns}
+    t, i = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    out = {c: e for c, e in (columns or {c: F.col(f"`{c}`") for c in docs.columns}).items() if c not in PLACES}
+    unsigned = i.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))  # its bits are in the order of ids
     base = stash(
         docs.select(
             *[e.alias(f"o{k}") for k, e in enumerate(out.values())],
             (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
             F.conv(F.substring(F.md5(F.coalesce(t, F.lit(""))), 1, 15), 16, 10).cast("long").alias("k0"),
-            i.cast("long").alias("id"),
-            F.monotonically_increasing_id().alias("k2"),
+            F.coalesce(F.shiftrightunsigned(unsigned, 32) + 1, F.lit(0)).cast("long").alias("k1"),
+            F.coalesce(unsigned.bitwiseAND((1 << 32) - 1), F.lit(0)).cast("long").alias("k2"),
+            F.monotonically_increasing_id().alias("k3"),
         )
     )
-    seen = base.agg(F.count("*"), F.sum("size"), F.min("id"), F.max("id"), F.max("k2")).head()
-    rows, total, low, high, last = (x or 0 for x in seen)
-    base = base.withColumn("k1", F.coalesce(F.col("id") - low, F.lit(-1)) + 1)
-    digits = _digits([("k0", 60), ("k1", (high - low + 1).bit_length()), ("k2", last.bit_length())])
-    tasks = max(LEAST_TASKS, -(-rows // (ROWS_PER_TASK * n_shards)))
-    ranges = n_shards * tasks
-    splitters = _splitters(base, digits, [total * k // ranges for k in range(1, ranges)], tolerance * total / n_shards)
-    placed = base.withColumn("range", reduce(lambda a, b: a + b, [_at_or_after(s).cast("int") for s in splitters], F.lit(0)))
-    counts = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect()}
-    before = [sum(counts.get(x, 0) for x in range(k - k % tasks, k)) for k in range(ranges)]
-    order = Window.partitionBy("range").orderBy("k0", "k1", "k2")
-    offsets = F.array(*[F.lit(x).cast("long") for x in before])
-    return placed.select(
-        *[F.col(f"o{k}").alias(name) for k, name in enumerate(out)],
-        F.col("size").alias("_size"),
-        F.floor(F.col("range") / tasks).cast("int").alias("_shard"),
-        (F.element_at(offsets, F.col("range") + 1) + F.row_number().over(order) - 1).cast("long").alias("_slot"),
+    seen = base.agg(F.count("*"), F.sum("size"), F.max("k1"), F.max("k2"), F.max("k3")).head()
+    rows, total, *most = (x or 0 for x in seen)
+    digits = _digits([("k0", 60), *((f"k{k}", x.bit_length()) for k, x in enumerate(most, 1))])
+    splitters = _splitters(base, digits, [total * k // n_shards for k in range(1, n_shards)], tolerance * total / n_shards)
+    shard = reduce(lambda a, b: a + b, [_at_or_after(s).cast("int") for s in splitters], F.lit(0))
+    ranges = base.repartitionByRange(max(LEAST_TASKS, -(-rows // ROWS_PER_TASK)), "k0", "k1", "k2", "k3").sortWithinPartitions("k0", "k1", "k2", "k3")
+    # the number of a row in its task is in the lower bits
+    placed = stash(ranges.select(*[f"o{k}" for k in range(len(out))], "size", shard.alias("shard"), F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")))
+    counts = placed.groupBy("shard", "range").agg(F.count("*").alias("n"), F.min("nth").alias("first")).orderBy("shard", "range").collect()
+    before, offsets = {}, []
+    for r in counts:
+        offsets.append((r["shard"], r["range"], before.get(r["shard"], 0) - r["first"]))
+        before[r["shard"]] = before.get(r["shard"], 0) + r["n"]
+    offsets = docs.sparkSession.createDataFrame(offsets, "shard int, range int, offset long")
+    return placed.join(F.broadcast(offsets), ["shard", "range"]).select(
+        *[F.col(f"o{k}").alias(name) for k, name in enumerate(out)], F.col("size").alias("_size"), F.col("shard").alias("_shard"), (F.col("nth") + F.col("offset")).alias("_slot")
     )
 
 
