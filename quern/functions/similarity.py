@@ -10,7 +10,10 @@ import sys
 import tokenize
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+#: Programs whose trees and flows a worker remembers.
+MEMO = 4096
 Pair = tuple[float, float]  # numerator, denominator
 
 
@@ -177,6 +180,26 @@ def _parse(source: str) -> ast.AST | None:
         return None
 
 
+def _shapes(node: ast.AST, out: list[str]) -> str:
+    """The shape of a node; those of it and of all below that have parts go to ``out``."""
+    parts = _parts(node)
+    shape = f"({' '.join([type(node).__name__, *(_shapes(c, out) for c in parts)])})"
+    if parts:
+        out.append(shape)
+    return shape
+
+
+@lru_cache(MEMO)
+def tree_shapes(source: str) -> tuple[str, ...]:
+    """The shapes of all subtrees of Python code, comments aside; none for code that can't be read."""
+    root = _parse(without_comments(source, "python"))
+    out: list[str] = []
+    if root:
+        whole = _shapes(root, out)
+        out = out or [whole]
+    return tuple(out)
+
+
 def subtrees(source: str) -> list[tuple[str, int, str]]:
     """(shape, depth, code of the first part) of each node with parts, the root and its last branches first."""
     root = _parse(source)
@@ -191,8 +214,8 @@ def subtrees(source: str) -> list[tuple[str, int, str]]:
 
 def syntax_match(references: Sequence[str], candidate: str) -> float:
     """Share of the references' subtrees that the candidate has."""
-    own = {s for s, _, _ in subtrees(without_comments(candidate, "python"))}
-    theirs = [s for r in references for s, _, _ in subtrees(without_comments(r, "python"))]
+    own = set(tree_shapes(candidate))
+    theirs = [s for r in references for s in tree_shapes(r)]
     return sum(s in own for s in theirs) / len(theirs) if theirs else 0.0
 
 
@@ -294,17 +317,17 @@ def normal_flow(flow: list[Flow]) -> list[Flow]:
     return [(kind, tuple(map(name, sources)), name(to)) for to, kind, sources in flow]
 
 
+@lru_cache(MEMO)
+def flow_counts(source: str) -> Counter:
+    """How often each edge of the normalised data flow of Python code occurs."""
+    return Counter(normal_flow(data_flow(source)))
+
+
 def flow_match(references: Sequence[str], candidate: str) -> float:
     """Share of the references' data flow that the candidate has, edges counted as often as they occur."""
-    theirs = [normal_flow(data_flow(r)) for r in references]
-    own = Counter(normal_flow(data_flow(candidate)))
-    total = sum(map(len, theirs))
-    found = 0
-    for flow in theirs:
-        both = own & Counter(flow)
-        found += sum(both.values())
-        own = Counter(normal_flow(data_flow(candidate)))
-    return found / total if total else 0.0
+    own, theirs = flow_counts(candidate), [flow_counts(r) for r in references]
+    total = sum(flow.total() for flow in theirs)
+    return sum((own & flow).total() for flow in theirs) / total if total else 0.0
 
 
 # --- programs that call an API

@@ -222,15 +222,19 @@ def imported(source: Column, packages: bool = False) -> Column:
     return rowwise(S.packages if packages else S.imports, "array<string>", pa.list_(pa.string()))(source)
 
 
-def code_scores(df: DataFrame, candidate: str, reference: str) -> DataFrame:
-    """``df`` with syntax_match, syntax_errors and flow_match of Python code."""
+def syntax_matched(candidate: Column, reference: Column) -> Column:
+    """Share of the subtrees of a reference (Python) that the candidate has. Trees of recent programs are remembered."""
+    return rowwise(lambda c, r: S.syntax_match([r], c), "double", pa.float64())(candidate, reference)
 
-    def one(c: str, r: str) -> dict:
-        return {"syntax_match": S.syntax_match([r], c), "syntax_errors": S.syntax_errors(c), "flow_match": S.flow_match([r], c)}
 
-    kind = pa.struct([("syntax_match", pa.float64()), ("syntax_errors", pa.int32()), ("flow_match", pa.float64())])
-    scored = df.withColumn("_scores", rowwise(one, "struct<syntax_match:double,syntax_errors:int,flow_match:double>", kind)(F.col(candidate), F.col(reference)))
-    return scored.select(*df.columns, "_scores.*")
+def syntax_checked(candidate: Column) -> Column:
+    """0 for Python code that can be read, -1 for other code."""
+    return rowwise(S.syntax_errors, "int", pa.int32())(candidate)
+
+
+def flow_matched(candidate: Column, reference: Column) -> Column:
+    """Share of the data flow of a reference (Python) that the candidate has. Flows of recent programs are remembered."""
+    return rowwise(lambda c, r: S.flow_match([r], c), "double", pa.float64())(candidate, reference)
 
 
 def subtree_rows(df: DataFrame, key: str, source: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,27 +65,53 @@ class Versions:
 class Database:
     """Tables with a working state: statements change it, commit keeps it, rollback drops it.
 
-    Statements: SELECT ..., INSERT INTO t SELECT or VALUES ..., DELETE FROM t [WHERE c], UPDATE t SET a = e, ... [WHERE c].
+    Statements: SELECT ..., INSERT INTO t SELECT or VALUES ..., DELETE FROM t [WHERE c], UPDATE t SET a = e, ... [WHERE c];
+    their queries can read all tables as they are at that moment. A commit writes the changed tables as new versions and
+    then one log file that names them all, so that either all of a commit is seen or nothing of it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.work = spark, path, {}
+        # a session of its own, so that its views hide no one else's
+        self.spark, self.path, self.work = spark.newSession(), path, {}
+
+    def _kept(self) -> tuple[int, dict[str, str]]:
+        """The number of the next commit, and the folder of each table that the last one of it wrote."""
+        try:
+            rows = self.spark.read.schema("seq long, name string, folder string").json(f"{self.path}/commits").collect()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return max([-1, *(r["seq"] for r in rows)]) + 1, {r["name"]: r["folder"] for r in sorted(rows, key=lambda r: r["seq"])}
+
+    def _keep(self, tables: dict[str, DataFrame]) -> None:
+        seq, _ = self._kept()
+        rows = []
+        for name, df in tables.items():
+            folder = f"{name}/v{seq}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(f"{self.path}/{folder}")
+            rows.append((seq, name, folder))
+        if rows:
+            self.spark.createDataFrame(rows, "seq long, name string, folder string").coalesce(1).write.mode("append").json(f"{self.path}/commits")
 
     def table(self, name: str) -> DataFrame:
-        return self.work[name] if name in self.work else Versions(self.spark, f"{self.path}/{name}").read()
+        return self.work[name] if name in self.work else self.spark.read.parquet(f"{self.path}/{self._kept()[1][name]}")
 
     def create(self, name: str, df: DataFrame) -> None:
-        Versions(self.spark, f"{self.path}/{name}").commit(df)
+        self._keep({name: df})
 
-    def fetch(self, sql: str, *tables: str) -> DataFrame | None:
+    def fetch(self, sql: str) -> DataFrame | None:
         """The rows of a SELECT; None if it fails."""
         try:
-            return self._select(sql, *tables)
+            return self._query(sql)
         except Exception:
             return None
 
-    def _select(self, sql: str, *tables: str) -> DataFrame:
-        return self.spark.sql(sql, **{t: self.table(t) for t in tables}) if tables else self.spark.sql(sql)
+    def _query(self, sql: str) -> DataFrame:
+        """The rows of a query, to which each table is a view as it is now."""
+        for name in {*self._kept()[1], *self.work}:
+            self.table(name).createOrReplaceTempView(name)
+        return self.spark.sql(sql)
 
     def execute(self, statements: str) -> int:
         """0 if all statements, separated by semicolons, went through, else 1; lines that open with -- are left out."""
@@ -98,11 +126,9 @@ class Database:
             return 1
 
     def _one(self, s: str) -> None:
-        import re
-
         if m := re.match(r"(?is)insert\s+into\s+(\w+)\s+(.*)", s):
             old = self.table(m[1])
-            new = self.spark.sql(m[2].strip() if m[2].strip().lower().startswith(("select", "values")) else "select " + m[2])
+            new = self._query(m[2].strip() if m[2].strip().lower().startswith(("select", "values", "with")) else "select " + m[2])
             self.work[m[1]] = old.union(new.toDF(*old.columns))
         elif m := re.match(r"(?is)delete\s+from\s+(\w+)(?:\s+where\s+(.*))?$", s):
             keep = ~F.coalesce(F.expr(m[2]), F.lit(False)) if m[2] else F.lit(False)
@@ -112,14 +138,13 @@ class Database:
             hit = F.coalesce(F.expr(m[3]), F.lit(False)) if m[3] else F.lit(True)
             new = {k.strip(): F.expr(e) for k, e in (a.split("=", 1) for a in re.split(r",(?![^()]*\))", m[2]))}
             self.work[m[1]] = old.select(*[F.when(hit, new[c].cast(t)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c, t in old.dtypes])
-        elif re.match(r"(?is)\s*select\b", s):
-            self.spark.sql(s)
+        elif re.match(r"(?is)\s*(select|with)\b", s):
+            self._query(s)
         else:
             raise ValueError(f"no such statement: {s[:40]}")
 
     def commit(self) -> None:
-        for name, df in self.work.items():
-            Versions(self.spark, f"{self.path}/{name}").commit(df)
+        self._keep(self.work)
         self.work = {}
 
     def rollback(self) -> None:

@@ -69,11 +69,11 @@ def folder(t) -> str:
     return f"{shared_folder(t.spark)}/tx-{uuid.uuid4().hex}"
 
 
-@query("tx_sql", "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, 0 AS status FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT -1, 0.5, 0")
+@query("tx_sql", "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal, 0 AS status FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT -1, 0.5, 0 UNION ALL SELECT s_suppkey + 1000000, s_acctbal, 0 FROM supplier WHERE s_nationkey = 7 AND s_suppkey <> 3")
 def tx_sql(t):
     db = transactions.Database(t.spark, folder(t))
     db.create("supplier", t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"))
-    status = db.execute("UPDATE supplier SET s_acctbal = s_acctbal + 1 WHERE s_nationkey < 5; DELETE FROM supplier WHERE s_suppkey = 3; INSERT INTO supplier VALUES (-1, 0, 0.5)")
+    status = db.execute("UPDATE supplier SET s_acctbal = s_acctbal + 1 WHERE s_nationkey < 5; DELETE FROM supplier WHERE s_suppkey = 3; INSERT INTO supplier VALUES (-1, 0, 0.5); SELECT count(*) FROM supplier; INSERT INTO supplier SELECT s_suppkey + 1000000, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey = 7 AND s_suppkey <> 3")
     db.commit()
     db.execute("DELETE FROM supplier")
     db.rollback()

@@ -11,21 +11,28 @@ OKAPI_WORDS = "string_split(text, ' ')"
 PLUS_WORDS = r"list_filter(regexp_split_to_array(replace(lower(text), '_', ' '), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 
 
+#: The test items, one of them with an unknown word, and a question of unknown words only.
+ASKED = "SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1, 'zyzzyva zyzzyva' UNION ALL SELECT -2, (SELECT min(text) FROM benchmark) || ' zyzzyva'"
+
+
 def bm25_sql(words: str, plus: bool, k: int) -> str:
     idf = "ln((n + 1) / df)" if plus else "CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END"
-    add = "+ (SELECT sum(qtf * i2.idf) FROM q q2 JOIN i i2 USING (term) WHERE q2.query_id = s.query_id)" if plus else ""
+    add = "+ coalesce((SELECT sum(qtf * i2.idf) FROM q q2 JOIN i i2 USING (term) WHERE q2.query_id = s.query_id), 0)" if plus else ""
     return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({words}) AS term FROM benchmark) GROUP BY ALL),
+b AS ({ASKED}), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({words}) AS term FROM b) GROUP BY ALL),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term), mn AS (SELECT avg(raw) AS mean FROM df),
 i AS (SELECT term, {idf} AS idf FROM df, st, mn),
 s AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN i USING (term) JOIN q USING (term), st GROUP BY ALL),
-r AS (SELECT query_id, doc_id, round(score {add}, 6) AS score FROM s)
+r AS (SELECT s.query_id, s.doc_id, round(coalesce(p.score, 0) {add}, 6) AS score FROM (SELECT query_id, doc_id FROM b, d) s LEFT JOIN s p USING (query_id, doc_id))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= {k}"""
 
 
 def asked(t):
-    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    b = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    least = t.benchmark.agg(F.lit(-2).cast("long").alias("query_id"), F.concat(F.min("text"), F.lit(" zyzzyva")).alias("text"))
+    more = t.spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit("zyzzyva zyzzyva").alias("text")).unionByName(least)
+    return b.unionByName(more)
 
 
 def hits(t, plus: bool, k: int):
@@ -42,7 +49,7 @@ def bm25_plus(t):
     return hits(t, True, 5)
 
 
-@query("ret_augment", f"SELECT b.item_id AS query_id, md5(b.text || coalesce(string_agg(chr(10) || 'API ' || (rank - 1) || ': ' || d.text, '' ORDER BY rank), '')) AS prompt FROM benchmark b LEFT JOIN ({bm25_sql(PLUS_WORDS, True, 3)}) h ON h.query_id = b.item_id LEFT JOIN documents d USING (doc_id) GROUP BY b.item_id, b.text")
+@query("ret_augment", f"SELECT b.query_id, md5(b.text || coalesce(string_agg(chr(10) || 'API ' || (rank - 1) || ': ' || d.text, '' ORDER BY rank), '')) AS prompt FROM ({ASKED}) b LEFT JOIN ({bm25_sql(PLUS_WORDS, True, 3)}) h USING (query_id) LEFT JOIN documents d USING (doc_id) GROUP BY b.query_id, b.text")
 def ret_augment(t):
     return R.augmented(asked(t), hits(t, True, 3), t.documents.select("doc_id", "text")).withColumn("prompt", F.md5("prompt"))
 

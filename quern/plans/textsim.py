@@ -9,7 +9,7 @@ from quern.operators import textsim as T
 from quern.plans.registry import query
 
 # hypothesis: the item's words; references: the item without its first words, and the document
-PAIRS = "p AS (SELECT item_id AS pair_id, string_split(b.text, ' ') AS hyp, [list_slice(string_split(b.text, ' '), 3, 100000) || ['end'], string_split(d.text, ' ')] AS refs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
+PAIRS = "p AS (SELECT item_id AS pair_id, string_split(b.text, ' ') AS hyp, [(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')] AS refs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
 GRAMS = "g AS (SELECT pair_id, n, array_to_string(hyp[i:i + n - 1], ' ') AS gram FROM p, range(1, 5) r(n), unnest(range(1, len(hyp) - n + 2)) q(i)), gr AS (SELECT pair_id, ref, n, array_to_string(t[i:i + n - 1], ' ') AS gram FROM (SELECT pair_id, unnest([1, 2]) AS ref, unnest(refs) AS t FROM p), range(1, 5) r(n), unnest(range(1, len(t) - n + 2)) q(i))"
 COUNTS = f"""{PAIRS}, {GRAMS}, own AS (SELECT pair_id, n, gram, count(*) AS c FROM g GROUP BY ALL), best AS (SELECT pair_id, n, gram, max(c) AS r FROM (SELECT pair_id, ref, n, gram, count(*) AS c FROM gr GROUP BY ALL) GROUP BY ALL),
 prec AS (SELECT p.pair_id, n.n, coalesce(sum(least(c, coalesce(r, 0))), 0)::BIGINT AS matched, greatest(coalesce(sum(c), 0), 1)::BIGINT AS total FROM p CROSS JOIN range(1, 5) n(n) LEFT JOIN own ON own.pair_id = p.pair_id AND own.n = n.n LEFT JOIN best ON best.pair_id = own.pair_id AND best.n = own.n AND best.gram = own.gram GROUP BY ALL),
@@ -31,7 +31,7 @@ def bleu_sql(method: int, corpus: bool = False) -> str:
 def pairs(t):
     b = t.benchmark.select("item_id", F.split("text", " ").alias("hyp"))
     d = t.documents.select(F.col("doc_id").alias("item_id"), F.split("text", " ").alias("doc"))
-    short = F.concat(F.slice("hyp", 3, 100000), F.array(F.lit("end")))
+    short = F.concat(F.expr("slice(hyp, 3, greatest(size(hyp), 1))"), F.array(F.lit("end")))
     return b.join(d, "item_id").select(F.col("item_id").alias("pair_id"), "hyp", F.array(short, F.col("doc")).alias("refs"))
 
 
@@ -80,7 +80,7 @@ for _m in (0, 1, 2, 3, 4, 5, 7):
 def bleu_smooth6(t):
     """Defined only where three tokens in a row match: the items against themselves without their first words."""
     x = t.benchmark.select(F.col("item_id").alias("pair_id"), F.split("text", " ").alias("hyp"))
-    return T.bleu(x.withColumn("refs", F.array(F.slice("hyp", 3, 100000))), 6).withColumn("bleu", F.round("bleu", 8))
+    return T.bleu(x.withColumn("refs", F.array(F.expr("slice(hyp, 3, greatest(size(hyp), 1))"))), 6).withColumn("bleu", F.round("bleu", 8))
 
 
 @query("wrecall", f"""WITH {PAIRS}, {GRAMS}, own AS (SELECT pair_id, n, gram, count(*) AS h FROM g GROUP BY ALL), ref AS (SELECT pair_id, n, gram, count(*) AS c FROM gr WHERE ref = 1 GROUP BY ALL), kinds AS (SELECT pair_id, count(*) AS kinds FROM ref WHERE n = 1 GROUP BY 1),
@@ -97,18 +97,15 @@ def programs(t):
     return t.events.select("event_id", candidate.alias("candidate"), reference.alias("reference"))
 
 
-def scored(t):
-    return D.code_scores(programs(t), "candidate", "reference")
-
-
 @query("syn_match", "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0 END >= 0.2 AS some, user_id % 3 = 0 AS full_ FROM events")
 def syn_match(t):
-    return scored(t).select("event_id", (F.col("syntax_match") >= 0.1).alias("some"), (F.col("syntax_match") == 1).alias("full_"))
+    scored = programs(t).select("event_id", D.syntax_matched(F.col("candidate"), F.col("reference")).alias("m"))
+    return scored.select("event_id", (F.col("m") >= 0.1).alias("some"), (F.col("m") == 1).alias("full_"))
 
 
 @query("syn_check", "SELECT event_id, CASE WHEN user_id % 3 = 2 THEN -1 ELSE 0 END AS syntax_errors FROM events")
 def syn_check(t):
-    return scored(t).select("event_id", "syntax_errors")
+    return programs(t).select("event_id", D.syntax_checked(F.col("candidate")).alias("syntax_errors"))
 
 
 @query("dfg", "SELECT event_id, unnest(['x', 'x', 'y', 'y']) AS name, unnest(['comesFrom', 'comesFrom', 'computedFrom', 'comesFrom']) AS kind, unnest([[], ['x'], ['x'], ['y']]) AS sources, unnest([0, 1, 2, 3])::BIGINT AS pos FROM events")
@@ -118,4 +115,4 @@ def dfg(t):
 
 @query("dfg_match", "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS flow_match FROM events")
 def dfg_match(t):
-    return scored(t).select("event_id", F.round("flow_match", 6).alias("flow_match"))
+    return programs(t).select("event_id", F.round(D.flow_matched(F.col("candidate"), F.col("reference")), 6).alias("flow_match"))

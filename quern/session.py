@@ -36,5 +36,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:" + os.path.join(tempfile.gettempdir(), f"quern-tables-{os.getpid()}")
+    """The folder that all executors share: spark.checkpoint.dir. Only where all runs on one machine can it be unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where or "file:" + os.path.join(tempfile.gettempdir(), f"quern-tables-{os.getpid()}")

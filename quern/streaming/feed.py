@@ -17,6 +17,8 @@ from quern.session import shared_folder
 
 LATE, WINDOW, SLIDE = "10 minutes", "30 minutes", "5 minutes"
 TIMEOUT_MS = 90_000
+#: How long, in event time, a job that was closed stays known, so that a later chunk of it opens no second one.
+CLOSED_MS = 86_400_000
 
 
 def files(spark: SparkSession, folder: str, name: str, schema: str, per_batch: int = 1000) -> DataFrame:
@@ -73,16 +75,30 @@ def newest(rows: DataFrame, n: int = 50, at: str = "ts", tie: str = "event_id",
     return x.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
-def timed_out(chunks: DataFrame, key: str = "job", text: str = "text", at: str = "ts", timeout_ms: int = TIMEOUT_MS, late: str = "0 seconds") -> DataFrame:
+def timed_out(chunks: DataFrame, key: str = "job", text: str = "text", at: str = "ts", timeout_ms: int = TIMEOUT_MS, late: str = "0 seconds", closed_ms: int = CLOSED_MS) -> DataFrame:
     """(job, text, n, complete): the text that each job streamed, closed by an empty chunk or when event time says that
-    ``timeout_ms`` went by since its first chunk; what had come by then is kept, and what comes later is not."""
+    ``timeout_ms`` went by since its first chunk; what had come by then is kept, and what comes later is not.
+
+    A job gives one row. That it was closed is kept until the watermark has passed its first chunk by ``timeout_ms`` and
+    ``closed_ms``; an id that comes again after that is a new job.
+    """
+
+    def closed(state: GroupState, start: int) -> None:
+        state.update(("", start, -1))
+        state.setTimeoutTimestamp(max(start + timeout_ms + closed_ms, state.getCurrentWatermarkMs() + 1))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts, start, n = state.get if state.exists else ("", -1, 0)
-        if state.hasTimedOut:
+        if state.hasTimedOut and n < 0:
             state.remove()
+            return
+        if state.hasTimedOut:
+            closed(state, start)
             yield pd.DataFrame([(k[0], parts, n, False)], columns=["job", "text", "n", "complete"])
             return
+        if n < 0:
+            closed(state, start)
+            return
         rows = sorted((r for b in batches for r in zip(b[at].astype("datetime64[ms]").astype("int64"), b["seq"], b[text])), key=lambda r: (r[0], r[1]))
         ended = False
         for ms, _, t in rows:
@@ -95,8 +111,7 @@ def timed_out(chunks: DataFrame, key: str = "job", text: str = "text", at: str =
                 break
             parts, n = parts + t, n + 1
         if ended is not False:
-            if state.exists:
-                state.remove()
+            closed(state, start)
             yield pd.DataFrame([(k[0], parts, n, ended is None)], columns=["job", "text", "n", "complete"])
             return
         state.update((parts, start, n))

@@ -26,7 +26,7 @@ def test_database_errors(spark, tmp_path):
     assert db.execute("UPDATE t SET s = concat(s, 'x') WHERE k < 5") == 0
     assert [r["s"] for r in db.table("t").orderBy("k").collect()] == ["ax", None]
     db.rollback()
-    assert db.fetch("SELECT count(*) AS n FROM {t}", "t").head()["n"] == 2 and db.fetch("SELECT nope") is None
+    assert db.fetch("SELECT count(*) AS n FROM t").head()["n"] == 2 and db.fetch("SELECT nope") is None
 
 
 def test_retries():
@@ -120,3 +120,63 @@ def test_reading_needs_fields(spark, tmp_path):
 def test_unknown_column(spark):
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         joins.keep_columns(spark.range(1), ["nope"])
+
+
+def test_statements_read_tables_as_they_are(spark, tmp_path):
+    db = transactions.Database(spark, f"file:{tmp_path}")
+    db.create("t", spark.createDataFrame([(1, "a"), (2, None)], "k int, s string"))
+    db.create("u", spark.createDataFrame([(2, "b")], "k int, s string"))
+    assert db.execute("SELECT * FROM t") == 0 and db.execute("SELECT * FROM nope") == 1
+    assert db.execute("DELETE FROM t WHERE k = 1; INSERT INTO t SELECT k + 10, (SELECT max(s) FROM u) FROM t; INSERT INTO u SELECT t.k, 'from t' FROM t JOIN u ON t.k = u.k") == 0
+    assert sorted(map(tuple, db.table("t").collect())) == [(2, None), (12, "b")] and db.table("u").count() == 2
+    assert transactions.Database(spark, f"file:{tmp_path}").table("t").count() == 2  # not committed yet: the old rows
+    assert transactions.Database(spark, f"file:{tmp_path}").table("u").count() == 1
+    db.commit()
+    assert transactions.Database(spark, f"file:{tmp_path}").table("u").count() == 2
+    log = spark.read.json(f"file:{tmp_path}/commits").filter("seq = 2")
+    assert sorted(r["name"] for r in log.collect()) == ["t", "u"] and len(log.inputFiles()) == 3
+    assert not [x for x in spark.catalog.listTables() if x.name in "tu"]
+
+
+def test_late_chunk_opens_no_second_job(spark, tmp_path):
+    from quern.streaming import feed
+
+    schema, at = "job long, seq int, text string, ts timestamp", "2024-01-01 00:{:02d}:00"
+    batches = [[(1, 0, "x", 0), (2, 0, "y", 0)], [(9, 0, "", 5)], [(9, 1, "", 6)], [(1, 1, "late", 7), (2, 1, "", 7)], [(9, 2, "", 20)], [(1, 2, "later", 21)], [(9, 3, "", 40)]]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(j, s, t, at.format(m)) for j, s, t, m in rows], "job long, seq int, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"file:{tmp_path}/in{k}")
+    import glob
+    import os
+    import shutil
+
+    os.makedirs(tmp_path / "all")
+    for k in range(len(batches)):
+        part = glob.glob(f"{tmp_path}/in{k}/part*")[0]
+        shutil.copy(part, tmp_path / "all" / f"{k}.parquet")
+        os.utime(tmp_path / "all" / f"{k}.parquet", (1e9 + k, 1e9 + k))
+    got = feed.drained(feed.timed_out(feed.files(spark, f"file:{tmp_path}/all", "*.parquet", schema, per_batch=1)))
+    assert sorted((r["job"], r["text"], r["complete"]) for r in got.filter("job < 9").collect()) == [(1, "x", False), (2, "y", False)]
+
+
+def test_bm25_plus_answers_unknown_words(spark):
+    from quern.operators import retrieval
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a b", "b c", "d"])], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "b"), (2, "nope")], "query_id long, text string")
+    for plus in (True, False):
+        got = retrieval.bm25(docs, asked, 2, plus).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["doc_id"]) for r in got if r["query_id"] == 2] == [(2, 0), (2, 1)] and len(got) == 4
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quern import session
+
+    class Elsewhere:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(Elsewhere)
+    assert session.shared_folder(spark)
