@@ -24,12 +24,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Only where all runs on one machine can it be unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file:" + os.path.join(tempfile.gettempdir(), f"quern-checkpoints-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where or "file:" + os.path.join(tempfile.gettempdir(), f"quern-checkpoints-{os.getpid()}")
 
 
 def stash(df: DataFrame) -> DataFrame:
