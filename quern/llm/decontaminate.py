@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._common import drop_kept, rows_with, stash, table
+from quern.llm._common import BROADCAST_IDS, drop_kept, rows_with, stash, table
 
-#: Words of a seed; a seed in more than this share of the documents (and more than LEAST_DF of them) is common.
-SEED, COMMON_SHARE, LEAST_DF = 4, 0.001, 20
-#: Words of all items that one broadcast index holds; a larger benchmark is taken in blocks of items.
-BLOCK_WORDS = 2_000_000
+#: Words of a seed. A seed that at least 1/COMMON of all candidates have is common; there are at most COMMON such seeds a candidate word.
+SEED, COMMON = 3, 1000
+#: Bits of the filter of seeds: FILTER for each seed, within these bounds; a gram is looked up at PROBES places.
+FILTER, LEAST_BITS, MOST_BITS, PROBES = 64, 1 << 16, 1 << 28, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated if so much of an item's words are matched, and of the aligned columns are matches.
 COVERAGE, IDENTITY = 0.6, 0.6
+#: Cells of an alignment that a task holds; a larger one is done in a band of BAND words at both sides of a seed's diagonal.
+CELLS, BAND = 4_000_000, 512
 WORD = re.compile(r"[^\W_]+")
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -28,189 +32,249 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Index:
-    """The seeds of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.word: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for i, t in items:
-            w = np.array([self.word.setdefault(x, len(self.word) + 1) for x in words_of(t)], np.int64)
-            if len(w):
-                self.items.append((i, w))
-        where: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(self.items):
-            # an item that is shorter than a seed is found by its first word, and must be matched whole
-            grams = self.hashes(w) if len(w) >= SEED else w[:1] * -1
-            for p, g in enumerate(grams.tolist()):
-                where.setdefault(g, []).append((k, p))
-        self.where = where
-        self.seeds = np.array(sorted(where), np.int64)
-
-    @staticmethod
-    def hashes(w: np.ndarray) -> np.ndarray:
-        """A number for each run of SEED words that are all in the index, 0 for others; equal runs have equal numbers.
-
-        Numbers of different runs may be equal too: such a seed is found in vain, and alignment refuses it.
-        """
-        h = np.zeros(max(0, len(w) - SEED + 1), np.uint64)
-        known = np.ones(len(h), bool)
-        for k in range(SEED):
-            x = w[k : len(w) - SEED + 1 + k]
-            known &= x > 0
-            h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return np.where(known, (h >> np.uint64(2)).astype(np.int64) + 1, 0)
-
-    def windows(self, text: str | None) -> list[tuple[int, list[int], int, list[int]]]:
-        """(number of the item, seeds found, first word of the window, its words; 0 for a word that no item has)."""
-        get = self.word.get
-        w = np.fromiter((get(x, 0) for x in words_of(text)), np.int64)
-        if not w.any():
-            return []
-        h = self.hashes(w)
-        at = np.flatnonzero(h)
-        if len(at):
-            pos = np.minimum(np.searchsorted(self.seeds, h[at]), len(self.seeds) - 1)
-            at = at[self.seeds[pos] == h[at]]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for p in at.tolist():
-            for k, q in self.where[int(h[p])]:
-                found.setdefault(k, []).append((p - q, p, int(h[p])))
-        if self.seeds[0] < 0:
-            for p in np.flatnonzero(np.isin(-w, self.seeds)).tolist():
-                for k, q in self.where[int(-w[p])]:
-                    found.setdefault(k, []).append((p - q, p, int(-w[p])))
-        out = []
-        for k, hits in found.items():
-            n = len(self.items[k][1])
-            slack = max(8, n // 2)
-            hits.sort()
-            group = [hits[0]]
-            for hit in [*hits[1:], None]:
-                if hit is not None and hit[0] - group[-1][0] <= slack:
-                    group.append(hit)
+def word_numbers(text: str | None) -> np.ndarray:
+    """A number of 63 bits for each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words_of(text)), np.uint64) >> np.uint64(1)
+
+
+def grams(w: np.ndarray, n: int) -> np.ndarray:
+    """A number of 63 bits for each run of n words; runs of other words could have it too: they are refused by alignment."""
+    h = np.full(max(0, len(w) - n + 1), n, np.uint64)
+    for k in range(n):
+        h = (h ^ w[k : len(w) - n + 1 + k]) * np.uint64(MIX[0])
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(1)
+
+
+def seeds_of(w: np.ndarray) -> np.ndarray:
+    """The seeds of an item: all its runs of SEED words, or the whole of a shorter one, which must be matched whole."""
+    return grams(w, min(SEED, len(w)))
+
+
+class Filter:
+    """Which grams can be seeds: a bitmap that all seeds are in, and few others."""
+
+    def __init__(self, seeds: int):
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(1, FILTER * seeds - 1).bit_length()))
+        self.shift, self.bits = np.uint64(64 - bits.bit_length() + 1), np.zeros(bits // 8, np.uint8)
+
+    def _places(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        for m in MIX[:PROBES]:
+            yield (h * np.uint64(m)) >> self.shift
+
+    def add(self, h: np.ndarray) -> None:
+        for at in self._places(h):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.arange(len(h))
+        for at in self._places(h):
+            at = at[found] if len(found) < len(h) else at
+            found = found[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return found
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        w = [word_numbers(t.as_py()) for t in b.column("t")]
+        longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
+        yield pa.record_batch([b.column("item_id"), b.column("item"), longs(w), longs([seeds_of(x) if len(x) else x for x in w])], ["item_id", "item", "item_words", "seeds"])
+
+
+def _passages(seeds, lengths: list[int], reach: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of words around grams that can be seeds; stretches that touch are one."""
+        drop_kept()
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            row, start, words, hits = [], [], [], []
+            for r, t in enumerate(b.column("t")):
+                w = word_numbers(t.as_py())
+                found = [(g[at], at) for n in lengths if len(at := seeds.value.has(g := grams(w, n)))]
+                if not found:
                     continue
-                lo = max(0, group[0][0] - slack)
-                hi = min(len(w), group[-1][0] + n + slack)
-                out.append((k, sorted({g[2] for g in group}), lo, w[lo:hi].tolist()))
-                group = [hit]
-        return out
+                h, at = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(at, kind="stable")
+                h, at = h[order], at[order]
+                cut = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+                for h_, at_ in zip(np.split(h, cut), np.split(at, cut)):
+                    lo, hi = max(0, int(at_[0]) - reach), min(len(w), int(at_[-1]) + SEED + reach)
+                    row.append(r)
+                    start.append(lo)
+                    words.append(w[lo:hi].view(np.int64))
+                    hits.append([{"h": x, "at": p} for x, p in zip(h_.view(np.int64).tolist(), (at_ - lo).tolist())])
+            if row:
+                take = pa.array(row)
+                kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
+                yield pa.record_batch([b.column("id").take(take), b.column("row").take(take), pa.array(start, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(hits, kind)], ["id", "row", "start", "words", "hits"])
+
+    return run
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman: (score, matched words, aligned columns, first and end of the span in ``window``)."""
+    return banded(item, window, -len(item), len(window))
+
+
+def banded(item: np.ndarray, window: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """Smith-Waterman where word i of the item stands at words i + low to i + high - 1 of the window, if at all.
+
+    One row of scores is held at a time, and two bits of each cell (in a byte): where its best alignment comes from.
+    """
     n, m = len(item), len(window)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    step = np.arange(m + 1, dtype=np.int32) * GAP
-    for i in range(1, n + 1):
-        best = np.maximum(h[i - 1, 1:] + GAP, h[i - 1, :-1] + np.where(window == item[i - 1], MATCH, MISMATCH))
-        row = np.concatenate(([0], np.maximum(best, 0)))
-        h[i] = np.maximum.accumulate(row - step) + step  # gaps along the row
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end, matched, columns = int(h[i, j]), int(j), 0, 0
-    while i > 0 and j > 0 and h[i, j] > 0:
-        same = window[j - 1] == item[i - 1]
+    low, high = max(low, -n), min(high, m)
+    width = high - low + 1
+    before, best = np.zeros(width + 1, np.int32), (0, 0, 0)
+    came, step = np.zeros((n, width), np.uint8), np.arange(width, dtype=np.int32) * GAP
+    padded = np.zeros(n + width, item.dtype)
+    inside = np.zeros(n + width, bool)
+    a, b = max(0, low), min(m, low + n + width)
+    padded[a - low : b - low], inside[a - low : b - low] = window[a:b], True
+    for i in range(n):
+        same = (padded[i : i + width] == item[i]) & inside[i : i + width]
+        across, down = before[:width] + np.where(same, MATCH, MISMATCH), before[1:] + GAP
+        row = np.where(inside[i : i + width], np.maximum(np.maximum(across, down), 0), 0).astype(np.int32)
+        along = np.maximum.accumulate(row - step) + step  # gaps along the row
+        along = np.where(inside[i : i + width], along, 0)
+        came[i] = np.where(along == 0, 0, np.where(along == across, 1, np.where(along == down, 2, 3)))
+        top = int(along.argmax())
+        if along[top] > best[0]:
+            best = int(along[top]), i, top
+        before[:width], before[width] = along, 0
+    score, i, d = best
+    if not score:
+        return 0, 0, 0, 0, 0
+    end, matched, columns = i + d + low + 1, 0, 0
+    first = end
+    while i >= 0 and 0 <= d < width and came[i, d]:
+        way = came[i, d]
         columns += 1
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
+        first = i + d + low if way != 2 else first
+        if way == 1:
+            matched += int(padded[i + d] == item[i])
             i -= 1
+        elif way == 2:
+            i, d = i - 1, d + 1
         else:
-            j -= 1
-    return score, matched, columns, int(j), end
+            d -= 1
+    return score, matched, columns, first, end
+
 
+def copies(item: np.ndarray, window: np.ndarray, diagonals: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """The alignments that make a copy, best first: after each one what stands before and after it is aligned again.
 
-def shared(item: np.ndarray, words: list[int]) -> int:
-    """The most words that any alignment of ``words`` with the item can match: those of both, as often as both have them."""
-    has = Counter(item.tolist())
-    return (Counter(x for x in words if x in has) & has).total()
+    ``diagonals`` are the differences of place of the seeds that both have: a stretch without one is not looked at.
+    """
+    n, kinds = len(item), np.unique(item, return_counts=True)
+    todo = [(0, len(window))]
+    while todo:
+        lo, hi = todo.pop()
+        part, mine = window[lo:hi], diagonals[(diagonals >= lo - n) & (diagonals < hi)]
+        if not len(mine) or shared(kinds, part) < COVERAGE * n:
+            continue
+        if n * len(part) <= CELLS:
+            got = align(item, part)
+        else:
+            got = max(banded(item, part, d - BAND - lo, d + BAND - lo) for d in _spread(mine))
+        score, matched, columns, a, b = got
+        if not score:
+            continue
+        if matched >= COVERAGE * n and matched >= IDENTITY * columns and (n >= SEED or matched == n):
+            yield score, matched, columns, lo + a, lo + b
+            todo += [(lo, lo + a), (lo + b, hi)]
+        elif matched < COVERAGE * n and (lo, hi) != (lo + a, lo + b):  # the best is no copy, another one could be
+            todo += [x for x in ((lo, lo + a), (lo + b, hi)) if x[1] - x[0] >= COVERAGE * n]
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_WORDS words, or one item if it has more."""
-    block, n = [], 0
-    for r in items.toLocalIterator():
-        size = len(words_of(r["text"]))
-        if block and n + size > BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-        block.append((r["item_id"], r["text"]))
-        n += size
-    if block:
-        yield block
+def _spread(diagonals: np.ndarray) -> list[int]:
+    """Diagonals of which each given one is within BAND / 2 of one."""
+    out: list[int] = []
+    for d in np.unique(diagonals).tolist():
+        if not out or d - out[-1] > BAND // 2:
+            out.append(d)
+    return out
+
+
+def shared(kinds: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> int:
+    """The most words that any alignment can match: those of both, as often as both have them."""
+    values, counts = kinds
+    at = np.minimum(np.searchsorted(values, words), len(values) - 1)
+    return int(np.minimum(np.bincount(at[values[at] == words], minlength=len(values)), counts).sum())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of a document that copies an item: id, item_id, score, matched, coverage, identity, start, end.
 
-    start and end are word numbers in the document. Documents are read once for each block of items (one, unless the
-    benchmark has over BLOCK_WORDS words); what their seeds find is written as windows of word numbers, so texts are
-    not shuffled. Seeds are counted over all documents. A window whose only seed is common is aligned if it shares enough
-    words with the item for a copy, in whatever order; all others are aligned. So counts save time and change no result.
-
-    Null and empty texts and items match nothing; items shorter than a seed must be matched whole; null ids and
-    repeated rows have rows of their own; other columns are ignored; an empty table on either side gives no rows.
+    start and end are word numbers in the document. Documents are read once: grams that a bitmap of all seeds has (of
+    bounded size, broadcast) go on with the words around them, and are joined to the items by seed. Common seeds,
+    which many candidates have, are joined by broadcast apart from the rare ones, so that no task gets all rows of one.
+    A passage and an item that share a seed are aligned if they share enough words for a copy, in whatever order.
+    A passage that holds several copies has a row for each, which don't overlap; of alignments with equal scores the
+    one that ends first counts.
+
+    Null and empty texts and items match nothing; items shorter than a seed must be matched whole; an item whose
+    alignment with a passage has over CELLS cells is aligned in bands around its seeds, so that memory grows with its
+    length only; null ids and repeated rows have rows of their own; other columns are ignored; an empty table on either
+    side gives no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("row"))
-    out = None
-    for block in _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id")):
-        index = spark.sparkContext.broadcast(Index(block))
-        if not index.value.items:
-            continue
-        hits = stash(src.mapInArrow(_find(index), "id long, row long, item int, seeds array<long>, start int, words array<int>"))
-        seen = hits.select("row", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("df"))
-        least = max(LEAST_DF, int(COMMON_SHARE * docs.count()))
-        # at most as many as the block has seeds
-        common = {r["seed"] for r in seen.filter(F.col("df") > least).select("seed").collect()}
-        part = hits.mapInArrow(_score(index, common), "id long, item_id long, score int, matched int, coverage double, identity double, start int, end int")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "id long, item_id long, score int, matched int, coverage double, identity double, start int, end int")
-    return out.withColumnRenamed("id", id_col)
-
-
-def _find(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_kept()
-        find = index.value.windows
-        for b in batches:
-            got = [(r, *x) for r, t in enumerate(b.column("t")) for x in find(t.as_py())]
-            if got:
-                row, item, seeds, start, words = zip(*got)
-                yield pa.record_batch(
-                    [b.column("id").take(pa.array(row)), b.column("row").take(pa.array(row)), pa.array(item, pa.int32()), pa.array(seeds, pa.list_(pa.int64())), pa.array(start, pa.int32()), pa.array(words, pa.list_(pa.int32()))],
-                    ["id", "row", "item", "seeds", "start", "words"],
-                )
-
-    return run
-
-
-def _score(index, common: set[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known = index.value.items, {}
-        for b in batches:
-            out = []
-            for r, (k, seeds, start, words) in enumerate(zip(*(b.column(c).to_pylist() for c in ("item", "seeds", "start", "words")))):
-                i, w = items[k]
-                if len(seeds) < min(2, max(1, len(w) - SEED + 1)) and seeds[0] in common and shared(w, words) < COVERAGE * len(w):
-                    continue
-                key = (k, tuple(words))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = align(w, np.array(words))
-                score, matched, columns, lo, hi = known[key]
-                if matched >= COVERAGE * len(w) and matched >= IDENTITY * columns and (len(w) >= SEED or matched == len(w)):
-                    out.append((r, i, score, matched, matched / len(w), matched / columns, start + lo, start + hi))
-            if out:
-                row, *cols = zip(*out)
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.record_batch([b.column("id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", "item_id", "score", "matched", "coverage", "identity", "start", "end"])
-
-    return run
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t"), F.monotonically_increasing_id().alias("item"))
+    items = stash(items.mapInArrow(_words, "item_id long, item long, item_words array<long>, seeds array<long>").filter("size(item_words) > 0"))
+    seeds = stash(items.select("item", F.posexplode("seeds").alias("place", "h")))
+    n_items, n_seeds = items.count(), seeds.count()
+    longest, lengths = items.agg(F.max(F.size("item_words")), F.collect_set(F.least(F.size("item_words"), F.lit(SEED)))).head()
+    bitmap = Filter(n_seeds)
+    block: list[int] = []
+    for r in seeds.select("h").distinct().toLocalIterator():
+        block.append(r["h"])
+        if len(block) == 100_000:
+            bitmap.add(np.array(block, np.uint64))
+            block.clear()
+    bitmap.add(np.array(block, np.uint64))
+    longest = longest or 1
+    found = _passages(spark.sparkContext.broadcast(bitmap), sorted(lengths or []), longest + max(8, longest // 2))
+    passages = stash(src.mapInArrow(found, "id long, row long, start int, words array<long>, hits array<struct<h:long,at:int>>"))
+    hits = passages.select("row", "start", F.explode("hits").alias("x")).select("row", "start", "x.h", "x.at")
+    if n_seeds <= BROADCAST_IDS:
+        both = hits.join(F.broadcast(seeds), "h")
+    else:
+        total = hits.count()
+        common = F.broadcast(stash(hits.groupBy("h").count().filter(F.col("count") >= max(2, total // COMMON)).select("h")))
+        apart = seeds.join(common, "h", "left_semi")
+        apart = F.broadcast(apart) if apart.count() <= BROADCAST_IDS else apart
+        both = hits.join(common, "h", "left_semi").join(apart, "h").unionByName(hits.join(common, "h", "left_anti").join(seeds, "h"))
+    pairs = both.groupBy("row", "start", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    words = items.select("item", "item_id", "item_words")
+    few = n_items <= BROADCAST_IDS and n_seeds <= 4 * BROADCAST_IDS  # 8 bytes a word
+    pairs = pairs.join(F.broadcast(words) if few else words, "item").join(passages.drop("hits"), ["row", "start"])
+    out = "id long, item_id long, score int, matched int, coverage double, identity double, start int, end int"
+    return pairs.select("id", "item_id", "start", "words", "item_words", "diagonals").mapInArrow(_score, out).withColumnRenamed("id", id_col)
+
+
+@cache
+def _remembered() -> dict:
+    return {}
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _remembered()  # passages that many documents have
+    known.clear()
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        out = []
+        for r in range(b.num_rows):
+            start = b.column("start")[r].as_py()
+            item, window, diagonals = (b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("item_words", "words", "diagonals"))
+            key = (xxhash.xxh3_128_digest(item.tobytes()), xxhash.xxh3_128_digest(window.tobytes()))
+            if key not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = list(copies(item, window, diagonals))
+            i = b.column("item_id")[r].as_py()
+            out += [(r, i, score, matched, matched / len(item), matched / columns, start + lo, start + hi) for score, matched, columns, lo, hi in known[key]]
+        if out:
+            row, *cols = zip(*out)
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.record_batch([b.column("id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", "item_id", "score", "matched", "coverage", "identity", "start", "end"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
