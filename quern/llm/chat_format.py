@@ -47,43 +47,77 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = H
     first = F.col("t")[0]
     conv = conv.withColumn("sys", (first["role"] == "system").cast("int"))
     room = F.lit(budget - history_tokens) - F.when(F.col("sys") == 1, first["cost"]).otherwise(0)
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"))
-
-    def step(a: Column, t: Column) -> Column:
-        new = (a["i"] == 0) | (a["used"] + t["cost"] > F.col("room"))
-        own = F.when((a["i"] == 0) & (F.col("sys") == 1), 0).otherwise(t["cost"])  # the system turn is paid for already
-        return F.struct((a["i"] + 1).alias("i"), F.when(new, own).otherwise(a["used"] + own).alias("used"), F.when(new, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"))
-
-    conv = conv.withColumn("room", room).withColumn("starts", F.aggregate("t", zero, step, lambda a: a["starts"]))
+    conv = conv.withColumn("room", room).withColumn("starts", F.filter(_starts(F.col("t"), F.col("sys"), F.col("room")), lambda x: x >= 0))
     ends = F.concat(F.expr("slice(starts, 2, size(starts))"), F.array(F.size("t")))
-    win = conv.select("conv_id", "t", "sys", F.posexplode(F.arrays_zip(F.col("starts").alias("from"), ends.alias("to"))).alias("window", "w")).select("*", F.col("w.from").alias("from"), F.col("w.to").alias("to"))
-    cost = lambda k: F.get("t", F.col("from") - k)["cost"]
-    back = lambda k: F.col("from") - k >= F.col("sys")
-    hist = F.when(back(2) & (cost(1) + cost(2) <= history_tokens), 2).when(back(1) & (cost(1) <= history_tokens), 1).otherwise(0)
-    win = win.withColumn("hist", F.when(F.col("window") == 0, 0).otherwise(hist))
-    win = win.withColumn("head", F.when((F.col("window") > 0) & (F.col("sys") == 1), F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0)))
-    win = win.withColumn("all", F.concat("head", F.slice("t", F.col("from") - F.col("hist") + 1, F.col("to") - F.col("from") + F.col("hist"))))
-    win = win.withColumn("n_repeated", F.size("head") + F.col("hist")).withColumn("chars", F.transform("all", lambda t: t["chars"]))
-    # starts of the turns in the window by prefix sums of their lengths
-    span0 = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,length:int>>").alias("out"))
-
-    def mark(a: Column, t: Column) -> Column:
-        lead = F.lit(len(START) + len(SEP)) + F.length(escape(t["role"]))
-        span = F.struct((a["at"] + lead + 1).alias("start"), (t["chars"] - lead - len(END)).alias("length"))
-        loss = (a["i"] >= F.col("n_repeated")) & (t["role"] == "assistant")
-        return F.struct((a["at"] + t["chars"]).alias("at"), (a["i"] + 1).alias("i"), F.when(loss, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
+    def window(start: Column, end: Column) -> Column:
+        """What a window holds: the turns of its own, and of those before it the ones that are repeated."""
+        cost = lambda k: F.get("t", start - k)["cost"]
+        back = lambda k: start - k >= F.col("sys")
+        two = back(2) & (cost(1) + cost(2) <= history_tokens)
+        hist = F.when(start == 0, 0).when(two, 2).when(back(1) & (cost(1) <= history_tokens), 1).otherwise(0)
+        head = F.when((start > 0) & (F.col("sys") == 1), F.slice("t", 1, 1)).otherwise(F.slice("t", 1, 0))
+        return F.struct((F.size(head) + hist).alias("n_repeated"), (end - start).alias("n"), F.concat(head, F.slice("t", start - hist + 1, end - start + hist)).alias("all"))
+
+    # a window's turns are cut out before the windows become rows, so no row carries the whole conversation
+    cut = conv.select("conv_id", F.zip_with("starts", ends, window).alias("w"))
+    win = cut.select("conv_id", F.posexplode("w").alias("window", "w")).select("conv_id", "window", F.col("w.n_repeated").alias("n_repeated"), F.col("w.n").alias("n"), F.col("w.all").alias("all"))
+    lead = lambda t: F.lit(len(START) + len(SEP)) + F.length(escape(t["role"]))
+    # starts of the turns in the window: prefix sums of their lengths
+    sums = _prefix_sums(F.transform("all", lambda t: t["chars"]))
+    marked = F.zip_with(F.zip_with("all", sums, lambda t, at: F.struct(t.alias("t"), at.alias("at"))), F.sequence(F.lit(0), F.size("all")), lambda x, i: F.struct(x["t"].alias("t"), x["at"].alias("at"), i.alias("i")))
+    new = F.filter(marked, lambda x: x["t"].isNotNull() & (x["i"] >= F.col("n_repeated")) & (x["t"]["role"] == "assistant"))
     return win.select(
         "conv_id",
         F.col("window").cast("long").alias("window"),
-        (F.col("to") - F.col("from")).cast("long").alias("n_turns"),
+        F.col("n").cast("long").alias("n_turns"),
         "n_repeated",
         F.array_join(F.transform("all", lambda t: t["shown"]), "").alias("formatted"),
-        F.aggregate("all", span0, mark, lambda a: a["out"]).alias("loss_spans"),
+        F.transform(new, lambda x: F.struct((x["at"] + lead(x["t"]) + 1).alias("start"), (x["t"]["chars"] - lead(x["t"]) - len(END)).alias("length"))).alias("loss_spans"),
         F.aggregate("all", F.lit(0), lambda a, t: a + t["cost"]).alias("tokens"),
     )
 
 
+#: Turns of a block: within one the numbers are gathered one by one, blocks are then joined at once.
+STEP = 64
+
+
+def _folded(items: Column, zero: Column, step, kind: str) -> Column:
+    """One value for each item from a fold that hands a state on: an array is built for each block of STEP items and these
+    are joined at the end, so that the cost grows with items * STEP and not with their square.
+
+    ``step`` gives (next state, value) of a state and an item.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int")), lambda k: F.slice(items, k * STEP + 1, F.least(F.lit(STEP), F.size(items) - k * STEP)))
+    none, no_blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def inner(a: Column, x: Column) -> Column:
+        state, value = step(a["s"], x)
+        return F.struct(state.alias("s"), F.concat(a["out"], F.array(value)).alias("out"))
+
+    def outer(a: Column, block: Column) -> Column:
+        got = F.aggregate(block, F.struct(a["s"].alias("s"), none.alias("out")), inner)
+        return F.struct(got["s"].alias("s"), F.concat(a["out"], F.array(got["out"])).alias("out"))
+
+    return F.flatten(F.aggregate(blocks, F.struct(zero.alias("s"), no_blocks.alias("out")), outer)["out"])
+
+
+def _starts(turns: Column, sys: Column, room: Column) -> Column:
+    """For each turn its number if a window begins with it, else -1. The system turn is paid for already."""
+
+    def step(s: Column, t: Column) -> tuple[Column, Column]:
+        begins = (s["i"] == 0) | (s["used"] + t["cost"] > room)
+        own = F.when((s["i"] == 0) & (sys == 1), 0).otherwise(t["cost"])
+        return F.struct((s["i"] + 1).alias("i"), F.when(begins, own).otherwise(s["used"] + own).alias("used")), F.when(begins, s["i"]).otherwise(-1)
+
+    return _folded(turns, F.struct(F.lit(0).alias("i"), F.lit(0).alias("used")), step, "int")
+
+
+def _prefix_sums(x: Column) -> Column:
+    """What stands before each number of an array, added up."""
+    return _folded(x, F.lit(0), lambda s, n: (s + n, s), "int")
+
+
 def digests(windows: DataFrame) -> DataFrame:
     """Per conversation what can be read back from its windows' ``formatted`` and ``loss_spans``; no windows, no rows."""
     said = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda x: x != "")
