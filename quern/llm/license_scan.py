@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._common import table
-from quern.llm.decontaminate import WORD, words_of
+from quern.llm.decontaminate import WORD, grams, words_of
 
-#: Words of a fingerprint, and of neighbours of which the least is taken: runs of GRAM + WINDOW - 1 words are found.
-GRAM, WINDOW = 3, 3
+#: Words of a fingerprint at most.
+GRAM = 3
 #: Share of a template's words that must match; width of the alignment's band at each side of the diagonal.
 COVERAGE, BAND_SHARE, LEAST_BAND = 0.8, 0.15, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -39,63 +39,89 @@ TEMPLATES: dict[str, str] = {
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-3-Clause-third": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0-statement": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
     "Public-domain-notice": "This work is released into the public domain.",
     "All-rights-reserved": "Copyright. All rights reserved. No part of this publication may be reproduced without written permission.",
 }
 
 
-def gram_hash(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words)) >> 1
+def run_left(n: int, coverage: float) -> int:
+    """Words of the longest run that is left at least of n words, wherever as many of them are edited as coverage allows."""
+    edits = n - math.ceil(coverage * n - 1e-9)
+    return max(1, -(-(n - edits) // (edits + 1)))
 
 
-def winnow(words: list[str]) -> list[tuple[int, int]]:
-    """(hash, position) of the least gram of each WINDOW neighbours, the last one of equals; of shorter texts the least."""
-    h = [gram_hash(words[k : k + GRAM]) for k in range(max(1, len(words) - GRAM + 1))]
-    out = {}
-    for k in range(max(1, len(h) - WINDOW + 1)):
-        near = h[k : k + WINDOW]
-        p = k + max(i for i, x in enumerate(near) if x == min(near))
-        out[p] = h[p]
-    return [(x, p) for p, x in sorted(out.items())]
+def winnow(h: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the least gram of each ``window`` neighbours, the last one of equals; of fewer grams the least."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    window = min(window, len(h))
+    near = np.lib.stride_tricks.sliding_window_view(h[::-1], window)
+    return np.unique(len(h) - 1 - (np.arange(len(near)) + near.argmin(axis=1)))
 
 
 class Templates:
-    """The inverted index: fingerprint -> (template, position)."""
+    """The inverted index: fingerprint -> (template, position), one for each number of words of a fingerprint.
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
+    A template's fingerprints are so long, and taken of so many neighbours, that any run has one which is as long as the
+    longest run that edits can leave; so a short notice has more of them, and shorter ones, than a long text.
+    """
+
+    def __init__(self, templates: dict[str, str], coverage: float):
+        self.names, self.coverage = list(templates), coverage
         self.number: dict[str, int] = {}
-        self.words = [words_of(t) for t in templates.values()]
-        self.coded = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64) for ws in self.words]
-        self.where: dict[int, list[tuple[int, int]]] = {}
-        for k, ws in enumerate(self.words):
-            for h, p in winnow(ws) if ws else []:
-                self.where.setdefault(h, []).append((k, p))
-
-    def spans(self, text: str | None, coverage: float = COVERAGE) -> list[tuple]:
+        self.coded = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(t)], np.uint64) for t in templates.values()]
+        self.where: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for k, w in enumerate(self.coded):
+            run = run_left(len(w), coverage)
+            size = min(GRAM, run)
+            h = grams(w, size)
+            for p in winnow(h, run - size + 1).tolist():
+                self.where.setdefault(size, {}).setdefault(int(h[p]), []).append((k, p))
+        self.keys = {size: np.sort(np.fromiter(where, np.uint64)) for size, where in self.where.items()}
+
+    def _starts(self, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, position in it, position in the text) of each fingerprint that both have."""
+        known = w > 0
+        for size, keys in self.keys.items():
+            full = known[: max(0, len(w) - size + 1)].copy()
+            for k in range(1, size):
+                full &= known[k : len(w) - size + 1 + k]
+            if not full.any():
+                continue
+            h = grams(w, size)
+            at = np.flatnonzero(full)
+            at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+            for p in at.tolist():
+                for k, q in self.where[size][int(h[p])]:
+                    yield k, q, p
+
+    def spans(self, text: str | None) -> list[tuple]:
         """(template, matched words, coverage, identity, first and end character), best first where spans overlap."""
-        words = words_of(text)
+        words, coverage = words_of(text), self.coverage
         get = self.number.get
-        w = np.fromiter((get(x, 0) for x in words), np.int64, len(words))
-        known = w > 0
-        full = known[: len(w) - GRAM + 1].copy() if len(w) >= GRAM else known[:0]
-        for k in range(1, GRAM):
-            full &= known[k : len(w) - GRAM + 1 + k]
-        starts = np.flatnonzero(full).tolist() if len(w) >= GRAM else [0] if len(w) and known.all() else []
+        w = np.fromiter((get(x, 0) for x in words), np.uint64, len(words))
         diagonals: dict[int, list[int]] = {}
-        for p in starts:
-            for k, q in self.where.get(gram_hash(words[p : p + GRAM]), ()):
-                diagonals.setdefault(k, []).append(p - q)
+        for k, q, p in self._starts(w):
+            diagonals.setdefault(k, []).append(p - q)
         found = []
         for k, ds in diagonals.items():
-            n = len(self.words[k])
+            n = len(self.coded[k])
             band = max(LEAST_BAND, int(BAND_SHARE * n))
             ds.sort()
             first = ds[0]
             for a, b in zip(ds, [*ds[1:], None]):
                 if b is not None and b - first <= band:
                     continue
-                matched, columns, lo, hi = banded(self.coded[k], w, (first + a) // 2, band)
+                matched, columns, lo, hi = banded(self.coded[k].astype(np.int64), w.astype(np.int64), (first + a) // 2, band)
                 if matched >= coverage * n:
                     found.append((matched, matched / n, matched / columns, lo, hi, k))
                 first = b
@@ -145,8 +171,8 @@ def banded(item: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tup
 
 
 @cache
-def _templates(items: tuple) -> Templates:
-    return Templates(dict(items))
+def _templates(items: tuple, coverage: float) -> Templates:
+    return Templates(dict(items), coverage)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,15 +181,18 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     matched counts words, coverage is their share of the template's, identity their share of the alignment's columns;
     start and end are code points in the text. Of overlapping spans the one with most matched words is reported. All
     grams of whole texts are looked up, in one pass without a shuffle; the index of templates is part of the program.
+    Every statement with ``coverage`` of a template's words is found if what differs are words left out or replaced; words
+    put between can break all runs, and an alignment that leaves its band (15 % of the template, 4 words at least).
+    Of spans with as many matched words the one of greater coverage is reported, then the first, then by name.
     Null and empty texts have no rows; a null id is passed through; repeated rows are reported each; other columns are
     ignored; no rows give no rows.
     """
     items = tuple((templates or TEMPLATES).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _templates(items)
+        index = _templates(items, coverage)
         for b in batches:
-            got = [(r, *x) for r, t in enumerate(b.column("t")) for x in index.spans(t.as_py(), coverage)]
+            got = [(r, *x) for r, t in enumerate(b.column("t")) for x in index.spans(t.as_py())]
             if got:
                 row, *cols = zip(*got)
                 types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
