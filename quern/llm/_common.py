@@ -37,16 +37,37 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
-def drop_stash() -> None:
-    """Delete every stashed table of this process; call it once results are saved."""
-    while _written:
-        spark, path = _written.pop()
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for t in tables:
+        spark, path = t.sparkSession, t.stashed_at
+        _delete(spark, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+def stashed_now() -> int:
+    """A mark: tables stashed after it can be dropped together."""
+    return len(_written)
+
+
+def drop_stash(since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete every stashed table of this process, or those after a mark but one; call it once results are saved."""
+    rest = [x for x in _written[since:] if but is not None and x[1] == but.stashed_at]
+    mine = [x for x in _written[since:] if x not in rest]
+    _written[since:] = rest
+    for spark, path in mine:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
@@ -120,19 +141,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour of u points to the least of u and its neighbours
-        large = stash(_star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        s, least = _star(both)
+        large = stash(s.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        release(least)
         # small star: u and its smaller neighbours point to the least of them
-        s = _star(large)
+        s, least = _star(large)
         nxt = stash(s.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        if _same(e, nxt):
+        done = _same(e, nxt)
+        release(least, large, e)
+        if done:
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         e = nxt
 
 
-def _star(e: DataFrame) -> DataFrame:
-    """Each edge (u, v) with m, the least of u and u's neighbours."""
+def _star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each edge (u, v) with m, the least of u and u's neighbours; and the stashed table of these."""
     m = stash(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("deg")))
-    return lookup(e, m, "u", "inner", "deg", m.agg(F.sum("deg")).head()[0] or 0)
+    return lookup(e, m, "u", "inner", "deg", m.agg(F.sum("deg")).head()[0] or 0), m
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:

@@ -19,8 +19,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are, after white space is normalised; null counts as empty. The row with the
-    smallest id is kept; a null id comes after all others, and of rows with the same id one is kept. Columns other
-    than id and text are ignored, whatever their names. An empty table gives an empty result.
+    smallest id is kept; a null id comes after all others, and of rows with the same id one is kept. A very long text is
+    one value of the grouping, in a row's memory. Columns other than id and text are ignored, whatever their names. An
+    empty table gives an empty result.
 
     Hashes and ids only are shuffled for rows that are alone with their hash. The texts of the others are grouped by
     (hash, text) with partial aggregation: a group of copies is one row per task, however large. If a hash has more
@@ -66,11 +67,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if groups.groupBy(id_col).count().filter("count > 1").isEmpty():
         gone = stash(groups.filter("not kept").select(id_col))
         return rows_with(docs, id_col, gone, gone.count(), "left_anti")
-    sha, nth, kept_id, kept_sha = (fresh() for _ in range(4))
+    sha, kept_id, kept_sha = (fresh() for _ in range(3))
     kept = groups.filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha))
-    told = docs.withColumn(sha, F.sha2(normalized(F.col(text_col)), 256))
-    told = told.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, sha).orderBy(F.lit(0)))).filter(F.col(nth) == 1)
-    return told.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi").drop(sha, nth)
+    told = docs.withColumn(sha, F.sha2(normalized(F.col(text_col)), 256)).dropDuplicates([id_col, sha])
+    return told.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi").drop(sha)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
