@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm._common import stash, table
+from quern.llm._common import drop_stash, release, stash, stashed_now, table
 from quern.llm.decontaminate import drop_contaminated
 from quern.llm.exact_dedup import drop_copies
 from quern.llm.packing import mixture_packed
@@ -43,9 +43,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of the packed windows of ``documents``.
+
+    Each stage's result is written, and what it wrote on the way is deleted then. Null and empty texts pass all filters
+    but that of copies, which keeps one of them; so do null ids, but where a copy has an id. Repeated rows are copies.
+    Without documents there are no pieces; without labels no document is rejected, without items none is contaminated.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        mark = stashed_now()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs)
+            drop_stash(mark, docs)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
