@@ -172,6 +172,13 @@ def as_eval(df: DataFrame) -> DataFrame:
 FORMATS: dict[str, Callable[..., DataFrame]] = {"hf": lambda df: df, "completion": as_completion, "chat": as_chat, "eval": as_eval}
 
 
+def formatted(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows in a format; ``FORMATS[name] = function of a table`` adds one."""
+    if name not in FORMATS:
+        raise ValueError(f"no format {name}; there are {', '.join(FORMATS)}")
+    return FORMATS[name](df, **options)
+
+
 def final_answer(text: Column) -> Column:
     """What follows the last mark; null for no text."""
     return F.when(text != "", F.element_at(F.split(text, ANSWER), -1))

@@ -14,6 +14,7 @@ from quern.functions import calls as C
 from quern.functions import docs as D
 from quern.functions import match as M
 from quern.functions import similarity as S
+from quern.functions import wires as W
 
 CALLS = "struct<ok:boolean,error:string,calls:array<struct<name:string,args:map<string,string>>>>"
 CALLS_ARROW = pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("calls", pa.list_(pa.struct([("name", pa.string()), ("args", pa.map_(pa.string(), pa.string()))])))])
@@ -56,8 +57,13 @@ def decoded_style(text: Column, style: str) -> Column:
     return rowwise(_calls(lambda t: C.decode_style(t, style)), CALLS, CALLS_ARROW)(text)
 
 
+def decoded_wire(text: Column, wire: Column) -> Column:
+    """struct(ok, error, calls) of a model's text, in the wire format that a column names."""
+    return rowwise(_calls(W.decode_wire), CALLS, CALLS_ARROW)(text, wire)
+
+
 #: Decoders of model families by name; ``HANDLERS[name] = function of a text`` adds one.
-HANDLERS: dict[str, Callable[[str], C.Calls]] = {**C.LANGUAGES, **{name: style.decode for name, style in C.STYLES.items()}}
+HANDLERS: dict[str, Callable[[str], C.Calls]] = {**C.LANGUAGES, **{name: style.decode for name, style in C.STYLES.items()}, **{name: wire.decode for name, wire in W.WIRES.items()}}
 
 
 def handled(text: Column, name: str) -> Column:

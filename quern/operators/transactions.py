@@ -62,6 +62,71 @@ class Versions:
         return True
 
 
+class Folder:
+    """A folder of files with versions: commit takes the files as they are, undo puts back what was before.
+
+    A version is a table of (path, content); files are read and written by the tasks, through the file system that the
+    folder's address names, so the folder must be one that all executors see.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, versions: str):
+        self.spark, self.folder, self.versions = spark, folder.rstrip("/"), Versions(spark, versions)
+
+    def files(self) -> DataFrame:
+        """(path, content) of the files as they are now; the path is that below the folder."""
+        try:
+            got = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.folder)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "path string, content binary")
+        base = self.folder.split(":", 1)[-1].lstrip("/")
+        return got.select(F.regexp_replace("path", rf"^[a-z0-9]*:?/*{re.escape(base)}/", "").alias("path"), "content")
+
+    def write(self, files: DataFrame) -> int:
+        """Writes files (path, content); how many there were."""
+        folder = self.folder
+
+        def put(batches):
+            import pyarrow as pa
+            from pyarrow import fs
+
+            system, base = fs.FileSystem.from_uri(folder)
+            for b in batches:
+                for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                    system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(f"{base}/{path}") as f:
+                        f.write(content)
+                yield pa.record_batch([b.column("path")], ["path"])
+
+        return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(put, "path string").count()
+
+    def commit(self) -> int:
+        return self.versions.commit(self.files())
+
+    def changes(self) -> DataFrame:
+        """(path, change) since the last commit: added, removed or changed."""
+        now = self.files().select("path", F.sha2("content", 256).alias("now"))
+        old = self.versions.read().select("path", F.sha2("content", 256).alias("old"))
+        both = now.join(old, "path", "full").filter(~F.col("now").eqNullSafe(F.col("old")))
+        return both.select("path", F.when(F.col("old").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("change"))
+
+    def restore(self) -> None:
+        """The files of the version that holds; others go."""
+        gone = self.changes().filter("change = 'added'").select("path")
+        for r in gone.toLocalIterator():
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{r['path']}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, False)
+        self.write(self.versions.read())
+
+    def undo(self) -> bool:
+        """Back to the version before; False at the first one."""
+        if not self.versions.undo():
+            return False
+        self.restore()
+        return True
+
+
 class Database:
     """Tables with a working state: statements change it, commit keeps it, rollback drops it.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -100,6 +101,43 @@ def dec_toolcall(t):
     return x.select("event_id", c.alias("c")).select("event_id", F.col("c.ok").alias("ok"), F.get("c.calls", F.lit(0))["name"].alias("name"))
 
 
+WIRE_TEXTS = {
+    "map_of_json_text": '[{"<e>": <quoted>}]', "map_of_arguments": "[{'<e>': <python>}]", "nested_function": '[{"type": "function", "function": {"name": "<e>", "arguments": <quoted>}}]',
+    "tool_name_parameters": '[{"tool_name": "<e>", "parameters": <json>}]', "name_arguments": '{"name": "<e>", "arguments": <json>}', "name_arguments_or_nothing": '```[{"name": "<e>", "arguments": <json>}]```',
+    "objects_by_semicolon": '{"name": "<e>", "arguments": <json>}; {"name": "second", "arguments": {}}', "tagged_parameters": "<|python_tag|>[{'name': '<e>', 'parameters': <python>}]",
+    "tagged_json_parameters": '<|python_tag|>{"name": "<e>", "parameters": <json>};{"name": "second", "parameters": {}}', "function_call_marks": '<function_call> {"name": "<e>", "arguments": <json>} <function_call> {"name": "no_function"} <function_call> sorry',
+    "name_line": "<e>\n<json>", "toolcall_block": "so <TOOLCALL>[<e>(<plain>)]</TOOLCALL>", "fenced_code": "here:\n```tool_code\n[<e>(<plain>)]\n```", "open_fence": "```json\n[<e>(<plain>)]", "chained_calls": "<e>(<plain>); second()",
+    "tool_call_tag": 'x <tool_call>```json\n[{"name": "<e>", "arguments": <json>}]```</tool_call> y <tool_call>{"name": "second", "arguments": {}}', "thought_then_list": "I'd call [{'name': '<e>', 'arguments': <json>}] now",
+    "thought_then_code": "<|thought_start|>no(x=1)<|thought_end|><|tool_call_start|>\n```python\n<e>(<plain>)\n```\n<|tool_call_end|>", "after_thinking": "<think>no(x=1)</think>\n[<e>(<plain>), second()]",
+    "bracket_tag": '[TOOL_CALLS] [{"name": "<e>", "arguments": <json>}]', "function_tag": "<function=<e>><json></function> <function=second>{}</function>", "not_json": "name_arguments",
+}
+
+
+@query("dec_wires", f"""SELECT event_id, wire, unnest(CASE WHEN wire = 'not_json' THEN [NULL] WHEN wire IN ({", ".join(repr(k) for k, v in WIRE_TEXTS.items() if "second" in v)}) THEN [event_type, 'second'] ELSE [event_type] END) AS name,
+unnest(CASE WHEN wire = 'not_json' THEN [NULL] ELSE ['a=' || user_id || '; l=[' || {K} || ', null, {{"x": [' || event_id || ']}}]; s="' || event_type || '; {{x, é"'] || CASE WHEN wire IN ({", ".join(repr(k) for k, v in WIRE_TEXTS.items() if "second" in v)}) THEN [''] ELSE [] END END) AS args
+FROM events, (SELECT unnest([{", ".join(map(repr, WIRE_TEXTS))}]) AS wire)""")
+def dec_wires(t):
+    """Arguments are made of the event: numbers, a text with marks that formats use, a list with null and an object."""
+    e, u, k, i = F.col("event_type"), F.col("user_id").cast("string"), F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    text = F.concat(e, F.lit("; {x, é"))
+    as_json = F.concat(F.lit('{"a": '), u, F.lit(', "l": ['), k, F.lit(', null, {"x": ['), i, F.lit(']}], "s": "'), text, F.lit('"}'))
+    as_python = F.concat(F.lit("{'a': "), u, F.lit(", 'l': ["), k, F.lit(", None, {'x': ["), i, F.lit("]}], 's': '"), text, F.lit("'}"))
+    plain = F.concat(F.lit("a="), u, F.lit(", l=["), k, F.lit(", None, {'x': ["), i, F.lit("]}], s='"), text, F.lit("'"))
+    quoted = F.concat(F.lit('"'), F.replace(as_json, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    holes = {"<e>": e, "<json>": as_json, "<python>": as_python, "<plain>": plain, "<quoted>": quoted}
+
+    def fill(template: str):
+        pieces = re.split("(" + "|".join(holes) + ")", template)
+        return F.concat(*[holes.get(p, F.lit(p)) for p in pieces])
+
+    cases = F.array(*[F.struct(F.lit(w).alias("wire"), fill(x).alias("text")) for w, x in WIRE_TEXTS.items()])
+    x = t.events.select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*")
+    x = x.withColumn("d", D.decoded_wire(F.col("text"), F.when(F.col("wire") == "not_json", "name_arguments").otherwise(F.col("wire"))))
+    calls = F.when(F.col("d.ok"), F.col("d.calls")).otherwise(F.array(F.lit(None)))
+    args = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["args"])), lambda a: F.concat(a["key"], F.lit("="), a["value"])), "; ")
+    return x.select("event_id", "wire", F.explode(calls).alias("c")).select("event_id", "wire", F.col("c.name").alias("name"), args(F.col("c")).alias("args"))
+
+
 @query("dec_vendor", "SELECT event_id, style, unnest(CASE WHEN style IN ('tool_call_lines', 'tool_call_pipes') THEN [event_type, 'second'] ELSE [event_type] END) AS name FROM events, (VALUES ('tool_call_lines'), ('tool_call_pipes'), ('tool_call_rest'), ('tool_calls_block')) v(style)")
 def dec_vendor(t):
     one, two = '{"name": "<e>", "arguments": {"a": <u>}}', '{"name": "second", "arguments": {}}'

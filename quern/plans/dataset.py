@@ -115,6 +115,13 @@ def fmt_chat(t):
     return x.select(F.transform("messages", lambda m: m["role"]).alias("roles"), F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "")).alias("digest"))
 
 
+@query("udf_formatter", f"WITH {ANSWERED} SELECT md5('# ' || question || chr(10) || chr(10) || coalesce(cot_answer, '(none)')) AS page FROM a")
+def udf_formatter(t):
+    """A format that a user adds: each row as a page with the question as its heading."""
+    S.FORMATS["page"] = lambda df, empty="": df.select(F.md5(F.concat(F.lit("# "), "question", F.lit("\n\n"), F.coalesce("cot_answer", F.lit(empty)))).alias("page"))
+    return S.formatted(answered(t), "page", empty="(none)")
+
+
 @query("fmt_eval", f"WITH {ANSWERED} SELECT question, string_split(cot_answer, '<ANSWER>: ')[-1] AS gold_final_answer, md5(substr(instruction, 1, length(instruction) - length(question) - 1)) AS context FROM a WHERE {FULL}")
 def fmt_eval(t):
     return S.FORMATS["eval"](answered(t)).withColumn("context", F.md5("context"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.operators import tools, transactions
+from quern.operators import decoding, tools, transactions
 from quern.plans.registry import query
 from quern.session import shared_folder
 from quern.streaming import feed
@@ -91,6 +92,54 @@ def tx_undo(t):
     return v.read().select("n_nationkey", "n_name")
 
 
+@query("tx_fs", "SELECT 'r' || n_regionkey || '/' || n_name || '.txt' AS path, md5(n_name || chr(10) || n_nationkey) AS content, CASE WHEN n_nationkey % 3 = 0 THEN 'changed' ELSE 'kept' END AS was FROM nation")
+def tx_fs(t):
+    """Files of a first version, after some were changed, some removed and one added, and all that undone."""
+    f = transactions.Folder(t.spark, folder(t), folder(t))
+    first = t.nation.select(F.concat(F.lit("r"), "n_regionkey", F.lit("/"), "n_name", F.lit(".txt")).alias("path"), F.concat("n_name", F.lit("\n"), "n_nationkey").alias("content"), "n_nationkey")
+    f.write(first)
+    f.commit()
+    f.write(first.filter("n_nationkey % 3 = 0").withColumn("content", F.lit("other")))
+    f.write(first.limit(1).select(F.lit("new.txt").alias("path"), "content"))
+    was = f.changes().filter("change = 'changed'").select("path", "change").toLocalIterator()
+    changed = [r["path"] for r in was]  # as many as were written above
+    f.commit()
+    f.undo()
+    now = f.files().select("path", F.md5("content").alias("content"))
+    return now.withColumn("was", F.when(F.col("path").isin(changed), "changed").otherwise("kept"))
+
+
+@query("tx_retry", "SELECT event_id, least(user_id % 5 + 1, 4) AS attempts, user_id % 5 < 4 AS ok FROM events")
+def tx_retry(t):
+    """Calls that fail a number of times before they succeed; four attempts each."""
+
+    def call(user: int) -> dict:
+        tries = []
+
+        def once() -> None:
+            tries.append(1)
+            if len(tries) <= user % 5:
+                raise OSError("not yet")
+
+        try:
+            transactions.retried(once, attempts=4, errors=(OSError,), sleep=lambda s: None)
+        except OSError:
+            return {"attempts": len(tries), "ok": False}
+        return {"attempts": len(tries), "ok": True}
+
+    got = decoding.rowwise(call, "struct<attempts:bigint,ok:boolean>", pa.struct([("attempts", pa.int64()), ("ok", pa.bool_())]))
+    return t.events.select("event_id", got(F.col("user_id")).alias("r")).select("event_id", "r.*")
+
+
+@query("str_tokens", """WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+SELECT doc_id, ceil(len(w) / 2)::BIGINT AS steps, array_to_string(w[1:2], ' ') AS first, CASE WHEN len(w) > 2 THEN ' ' ELSE '' END || array_to_string(w[len(w) - (len(w) + 1) % 2:], ' ') AS last, md5(array_to_string(w, ' ')) AS whole FROM d""")
+def str_tokens(t):
+    docs = feed.files(t.spark, t.sf_dir, "documents.parquet", "doc_id long, text string, lang string, source string, n_chars long")
+    got = feed.drained(feed.token_steps(docs, "doc_id"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "delta"))), lambda x: x["delta"]), "")
+    return got.groupBy("doc_id").agg(F.count("*").alias("steps"), F.min_by("delta", "step").alias("first"), F.max_by("delta", "step").alias("last"), F.md5(whole).alias("whole"))
+
+
 @query("tx_neg", "SELECT event_type AS forward, min_by(user_id::VARCHAR, event_id) FILTER (value >= 50) AS success, md5(string_agg(user_id::VARCHAR, ',' ORDER BY event_id) FILTER (value < 50)) AS failures FROM events GROUP BY event_type")
 def tx_neg(t):
     log = t.events.select(F.col("event_type").alias("forward"), F.col("user_id").cast("string").alias("back"), (F.col("value") >= 50).alias("outcome"), F.col("event_id").alias("seq"))

@@ -54,6 +54,20 @@ def ret_augment(t):
     return R.augmented(asked(t), hits(t, True, 3), t.documents.select("doc_id", "text")).withColumn("prompt", F.md5("prompt"))
 
 
+@query("udf_retriever", """WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents),
+s AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM q JOIN d USING (w) WHERE w <> '' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3""")
+def udf_retriever(t):
+    """A retriever that a user adds: documents by the number of distinct words that they share with the query."""
+
+    def shared_words(docs, queries, k):
+        words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter("w <> ''")
+        scored = words(docs, "doc_id").join(F.broadcast(words(queries, "query_id")), "w").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+        return R.top_k(scored, "query_id", "score", "doc_id", k)
+
+    R.RETRIEVERS["shared_words"] = shared_words
+    return R.retrieved("shared_words", t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 3)
+
+
 NORM_SQL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v)"
 
 

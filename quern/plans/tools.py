@@ -198,22 +198,30 @@ def mem_vec(t):
     return got.select("entity", F.size(F.from_json(F.get_json_object("state", "$.archival_memory"), "map<string,string>")).cast("long").alias("n"), "refused")
 
 
-@query("mem_sum", "SELECT user_id AS entity, string_agg(event_type, '' ORDER BY event_id) AS memory FROM events GROUP BY user_id HAVING sum(length(event_type)) <= 10000")
+MEMORY_SQL = """WITH RECURSIVE e AS (SELECT user_id, repeat(event_type, 300) AS text, length(event_type) * 300 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (
+  SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS used, false AS kept, 0::BIGINT AS refused FROM e WHERE i = 1
+  UNION ALL SELECT r.user_id, e.i, r.used + CASE WHEN r.used + e.n <= 10000 THEN e.n ELSE 0 END, r.used + e.n <= 10000, r.refused + (r.used + e.n > 10000)::BIGINT FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
+) SELECT r.user_id AS entity, md5(coalesce(string_agg(e.text, '' ORDER BY r.i) FILTER (kept), '')) AS memory, max(refused)::BIGINT AS refused FROM r LEFT JOIN e USING (user_id, i) GROUP BY r.user_id"""
+
+
+@query("mem_sum", MEMORY_SQL)
 def mem_sum(t):
-    ops = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.lit("memory_append").alias("op"), F.to_json(F.struct(F.col("event_type").alias("text"))).alias("args"))
-    return T.replay_memory(ops, "summary_memory").filter("refused = 0").select("entity", F.get_json_object("state", "$.memory").alias("memory"))
+    ops = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.lit("memory_append").alias("op"), F.to_json(F.struct(F.repeat("event_type", F.lit(300)).alias("text"))).alias("args"))
+    return T.replay_memory(ops, "summary_memory").select("entity", F.md5(F.get_json_object("state", "$.memory")).alias("memory"), F.col("refused").cast("long").alias("refused"))
 
 
-@query("mem_snap", "SELECT user_id AS entity, string_agg(event_type, '' ORDER BY event_id) AS memory FROM events GROUP BY user_id HAVING sum(length(event_type)) <= 10000")
+@query("mem_snap", MEMORY_SQL)
 def mem_snap(t):
     """The same in two sessions: the second one starts from the snapshots that the first one left."""
     from quern.session import materialize
 
-    ops = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.lit("memory_append").alias("op"), F.to_json(F.struct(F.col("event_type").alias("text"))).alias("args"))
+    ops = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.lit("memory_append").alias("op"), F.to_json(F.struct(F.repeat("event_type", F.lit(300)).alias("text"))).alias("args"))
     half = ops.agg(F.avg("seq")).head()[0] or 0
     first = materialize(T.replay_memory(ops.filter(F.col("seq") <= half), "summary_memory"))
     second = T.replay_memory(ops.filter(F.col("seq") > half), "summary_memory", first)
-    return second.filter("refused = 0").select("entity", F.get_json_object("state", "$.memory").alias("memory"))
+    refused = first.select("entity", F.col("refused").alias("r1")).join(second.select("entity", "state", "refused"), "entity", "full")
+    memory = F.md5(F.get_json_object("state", "$.memory"))
+    return refused.select("entity", memory.alias("memory"), (F.coalesce("r1", F.lit(0)) + F.coalesce("refused", F.lit(0))).cast("long").alias("refused"))
 
 
 @query("web_query", "SELECT page_id, url FROM pages WHERE contains(lower(html), 'ing')")

@@ -57,6 +57,18 @@ def last_batch(*keys: str) -> Callable[[DataFrame], DataFrame]:
     return merge
 
 
+def token_steps(texts: DataFrame, key: str, text: str = "text", every: int = 2) -> DataFrame:
+    """(key, step, delta): what a client that shows a text as it is made gets, ``every`` tokens at a time.
+
+    Tokens are what single spaces divide, with the space before them; the deltas of a key join to its text. A null text
+    has no step.
+    """
+    tokens = F.split(text, " ")
+    steps = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / every).cast("int"))
+    delta = lambda s: F.concat(F.when(s > 0, " ").otherwise(""), F.array_join(F.slice(tokens, s * every + 1, every), " "))
+    return texts.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.transform(steps, delta)).alias("step", "delta"))
+
+
 def rates(events: DataFrame, at: str = "ts", ok: str = "ok", late: str = LATE, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """(start, n, success_rate, fail_rate) in percent of each sliding window."""
     x = events.withWatermark(at, late).groupBy(F.window(at, window, slide).alias("w"))
