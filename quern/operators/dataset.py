@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -30,13 +32,11 @@ def fixed_chunks(df: DataFrame, text: str, size: int, *keep: str) -> DataFrame:
 
 
 def hashed_words(texts: list[str], size: int = 256) -> np.ndarray:
-    """Counts of words in hashed places; stands in where no embedding model is given."""
-    import zlib
-
+    """Counts of words in places by their MD5, which SQL engines have as well; stands in where no embedding model is given."""
     out = np.zeros((len(texts), size))
     for k, t in enumerate(texts):
-        for w in t.lower().split():
-            out[k, zlib.crc32(w.encode()) % size] += 1
+        for w, n in Counter(t.lower().split()).items():
+            out[k, int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % size] += n
     return out
 
 

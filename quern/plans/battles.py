@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quern.operators import arena, joins
@@ -121,7 +123,31 @@ def set_intersect(t):
     return categorised(t).select("seq", F.concat(F.lit("["), F.array_join(shared, ", "), F.lit("]")).alias("shared"))
 
 
-@query("bt_category")
+def ratings_sql(source: str, ridge: float, steps: int = 1500) -> str:
+    """Maximum likelihood by damped Jacobi steps over the list of ratings; ``source`` is SQL of (a, b, w) with w > 0 and a <> b."""
+    p = "1 / (1 + exp(s.z[j] - s.z[i]))"
+    g = f"list_sum(list_transform(range(1, k + 1), lambda j: w[i][j] * (1 - {p}) - w[j][i] * {p}))"
+    h = f"list_sum(list_transform(range(1, k + 1), lambda j: (w[i][j] + w[j][i]) * ({p}) * (1 - {p})))"
+    return f"""x AS ({source}), names AS (SELECT list(a ORDER BY a) AS names, count(*) AS k FROM (SELECT a FROM x UNION SELECT b FROM x)),
+m AS (SELECT names, k, list_transform(range(1, k + 1), lambda i: list_transform(range(1, k + 1), lambda j: coalesce(c[names[i] || ' ' || names[j]], 0.0))) AS w FROM names, (SELECT map(list(a || ' ' || b), list(w::DOUBLE)) AS c FROM x)),
+s AS (SELECT 0 AS n, list_transform(range(k), lambda i: 0.0::DOUBLE) AS z FROM m
+  UNION ALL SELECT n + 1, list_transform(range(1, k + 1), lambda i: s.z[i] + 0.5 * ({g} - {ridge!r} * s.z[i]) / ({h} + {ridge!r})) FROM s, m WHERE n < {steps}),
+f AS (SELECT names, z, list_avg(z) AS mean FROM s, m WHERE n = {steps}),
+r AS (SELECT unnest(names) AS agent, round({arena.SCALE / math.log(arena.BASE)!r} * (unnest(z) - mean) + {arena.INIT}, 4) AS rating FROM f)"""
+
+
+def wins_sql(battles: str, name: str = "battles") -> str:
+    return WINS.replace(BATTLES, battles) if name == "battles" else WINS.replace(BATTLES, battles).replace("FROM battles", f"FROM {name}")
+
+
+def category_sql() -> str:
+    groups = {"math": "a IN ('agent0', 'agent1', 'agent2') AND b IN ('agent0', 'agent1', 'agent2')", "search": "true", "code": "a NOT IN ('agent0', 'agent1', 'agent2') AND b NOT IN ('agent0', 'agent1', 'agent2')"}
+    one = "SELECT '{c}' AS category, agent, rating FROM (WITH RECURSIVE {wins}, {ratings} SELECT agent, rating FROM r)"
+    source, ridge = "SELECT a, b, w FROM wins WHERE a <> b AND w > 0", 1 / (0.7 * math.log(arena.BASE) ** 2)
+    return " UNION ALL ".join(one.format(c=c, wins=wins_sql(BATTLES.replace("battles AS", "every AS") + f", battles AS (SELECT * FROM every WHERE {test})"), ratings=ratings_sql(source, ridge)) for c, test in groups.items())
+
+
+@query("bt_category", category_sql())
 def bt_category(t):
     out = None
     for c in ("math", "search", "code"):
@@ -135,7 +161,9 @@ def components(t, kind: str, k: int):
 
 
 def _bt_component(name: str, k: int) -> None:
-    @query(f"bt_{name}s")
+    parts = f"{BATTLES.replace('battles AS', 'every AS')}, battles AS (SELECT seq, '{name}' || (seq % {k}) AS a, '{name}' || ((seq + 1 + seq % {k - 1}) % {k}) AS b, rating FROM every)"
+
+    @query(f"bt_{name}s", f"WITH RECURSIVE {wins_sql(parts)}, {ratings_sql('SELECT a, b, w FROM wins WHERE a <> b AND w > 0', 1e-9)} SELECT agent, rating FROM r")
     def bt(t):
         return arena.bradley_terry(arena.win_matrix(components(t, name, k))).withColumn("rating", F.round("rating", 4))
 
@@ -144,7 +172,25 @@ for _name, _k in (("model", 4), ("tool", 6), ("framework", 3)):
     _bt_component(_name, _k)
 
 
-@query("bt_combined")
+COMBINED_SQL = f"""WITH RECURSIVE {BATTLES}, b AS (SELECT seq, (rating = '{arena.A_WINS}')::INT AS won FROM battles),
+p AS (SELECT won, list_filter([CASE WHEN (seq % 6) % 2 = ((seq + 1 + seq % 5) % 6) % 2 THEN {{'l': 'tool:t' || seq % 6, 'r': 'tool:t' || (seq + 1 + seq % 5) % 6}} END,
+  CASE WHEN seq % 9 <> 0 THEN {{'l': 'model:m' || seq % 4, 'r': 'model:m' || (seq + 1 + seq % 3) % 4}} END, {{'l': 'framework:f' || seq % 3, 'r': 'framework:f' || (seq + 1) % 3}}], lambda x: x IS NOT NULL) AS p FROM b),
+d AS (SELECT l, r, won, count(*)::DOUBLE AS n FROM (SELECT list_transform(p, lambda x: x.l) AS l, list_transform(p, lambda x: x.r) AS r, won FROM p UNION ALL SELECT list_transform(p, lambda x: x.r), list_transform(p, lambda x: x.l), 1 - won FROM p) GROUP BY ALL),
+names AS (SELECT list(x ORDER BY x) AS names, count(*) AS k FROM (SELECT DISTINCT unnest(l || r) AS x FROM d)),
+m AS (SELECT any_value(names) AS names, any_value(k) AS k, list(list_transform(names, lambda x: CASE WHEN list_contains(r, x) THEN -1.0 WHEN list_contains(l, x) THEN 1.0 ELSE 0.0 END * ln(10)) ORDER BY l, r, won) AS x, list(won ORDER BY l, r, won) AS y, list(n ORDER BY l, r, won) AS n FROM d, names),
+u AS (SELECT *, list_transform(range(1, k + 1), lambda i: list_transform(range(1, k + 1), lambda j: CASE WHEN part[i] = part[j] THEN 1.0 ELSE 0.0 END)) AS same FROM (SELECT *, list_transform(names, lambda x: string_split(x, ':')[1] || CASE WHEN starts_with(x, 'tool') THEN right(x, 1)::INT % 2 ELSE 0 END) AS part FROM m)),
+h AS (SELECT *, list_transform(range(1, k + 1), lambda i: 1 + 6 * 0.25 * list_sum(list_transform(range(1, len(x) + 1), lambda q: n[q] * x[q][i] * x[q][i]))) AS h,
+  list_transform(range(1, k + 1), lambda i: list_sum(same[i]) + 3 * 0.25 * list_sum(list_transform(range(1, len(x) + 1), lambda q: n[q] * pow(list_dot_product(x[q], same[i]), 2)))) AS h2 FROM u),
+s AS (SELECT 0 AS step, list_transform(range(k), lambda i: 0.0::DOUBLE) AS z, NULL::DOUBLE[] AS e, NULL::DOUBLE[] AS g FROM m
+  UNION ALL SELECT step + 1,
+    CASE WHEN step % 3 = 2 THEN list_transform(range(1, k + 1), lambda i: z[i] + 0.5 * (g[i] / h[i] + list_dot_product(g, same[i]) / h2[i])) ELSE z END,
+    CASE WHEN step % 3 = 0 THEN list_transform(range(1, len(x) + 1), lambda q: n[q] * (y[q] - 1 / (1 + exp(-list_dot_product(x[q], z))))) ELSE e END,
+    CASE WHEN step % 3 = 1 THEN list_transform(range(1, k + 1), lambda i: list_sum(list_transform(range(1, len(x) + 1), lambda q: x[q][i] * e[q])) - z[i]) ELSE g END FROM s, h WHERE step < 4500),
+f AS (SELECT names, z FROM s, m WHERE step = 4500)
+SELECT string_split(name, ':')[1] AS kind, string_split(name, ':')[2] AS name, round({arena.SCALE} * z + {arena.INIT}, 4) AS rating FROM (SELECT unnest(names) AS name, unnest(z) AS z FROM f)"""
+
+
+@query("bt_combined", COMBINED_SQL)
 def bt_combined(t):
     s = F.col("seq")
     n = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))

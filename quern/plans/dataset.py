@@ -24,7 +24,17 @@ def chunk_fixed(t):
     return chunks(t).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.md5("chunk").alias("digest"))
 
 
-@query("chunk_semantic")
+SEMANTIC_SQL = r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, ceil(length(text) / 2000)::BIGINT AS parts, unnest(l) AS sentence, unnest(range(len(l))) AS i FROM l),
+w AS (SELECT doc_id, i, ('0x' || substr(md5(word), 1, 7))::BIGINT % 256 AS place, count(*)::DOUBLE AS c FROM (SELECT doc_id, i, unnest(regexp_split_to_array(lower(sentence), '\s+')) AS word FROM s) WHERE word <> '' GROUP BY ALL),
+n AS (SELECT doc_id, i, sqrt(sum(c * c)) AS n FROM w GROUP BY ALL),
+d AS (SELECT a.doc_id, a.i, sum(a.c / x.n * (b.c / y.n)) AS d FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.i = a.i + 1 AND b.place = a.place JOIN n x ON x.doc_id = a.doc_id AND x.i = a.i JOIN n y ON y.doc_id = b.doc_id AND y.i = b.i GROUP BY ALL),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY (i = max_i), round(1 - coalesce(d, 0), 12) DESC, i) < parts AND i < max_i AS cut FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS max_i FROM s) s LEFT JOIN d USING (doc_id, i)),
+c AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_id FROM r)
+SELECT doc_id, chunk_id::INT AS chunk_id, string_agg(sentence, ' ' ORDER BY i) AS chunk FROM c GROUP BY doc_id, chunk_id"""
+
+
+@query("chunk_semantic", SEMANTIC_SQL)
 def chunk_semantic(t):
     return S.semantic_chunks(t.documents, "text", 2000, "doc_id")
 

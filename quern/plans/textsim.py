@@ -28,6 +28,21 @@ def bleu_sql(method: int, corpus: bool = False) -> str:
     return f"WITH {COUNTS}, x AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY pair_id ORDER BY n) AS z FROM {source} JOIN {lens} USING (pair_id)) SELECT {key}round(CASE WHEN max(CASE WHEN n = 1 THEN m END) = 0 THEN 0 ELSE max({BP}) * exp(sum(0.25 * ln({SMOOTH[method]}))) END, 8) AS bleu FROM x GROUP BY pair_id"
 
 
+def bleu_more_sql(method: int) -> str:
+    """Smoothings 5 to 7, which need n-grams of five tokens or the values before: by recurrences over the columns of a pair."""
+    counts = COUNTS.replace("range(1, 5)", "range(1, 6)")
+    if method == 6:  # the items against themselves without their first words
+        counts = counts.replace("[(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')]", "[(string_split(b.text, ' '))[3:]]").replace(" JOIN documents d ON d.doc_id = b.item_id", "").replace("unnest([1, 2]) AS ref", "1 AS ref")
+    value = SMOOTH[4].replace("m / t END", "m / t END") if method == 7 else "m / t"
+    columns = ", ".join(f"max(CASE WHEN n = {k} THEN {value if k < 5 else 'm / t'} END) AS v{k}, max(CASE WHEN n = {k} THEN m END) AS m{k}, max(CASE WHEN n = {k} THEN t END) AS t{k}" for k in range(1, 6))
+    x = f"x AS (SELECT pair_id, max(h) AS h, max(r) AS r, {columns} FROM (SELECT pair_id, n, matched AS m, total AS t FROM prec) JOIN len USING (pair_id) GROUP BY pair_id)"
+    if method == 6:
+        steps = ["a AS (SELECT *, v1 AS s1, v2 AS s2, (m3 + 5 * v2 * v2 / v1) / (greatest(h - 2, 0) + 5) AS s3 FROM x)", "b AS (SELECT *, (m4 + 5 * s3 * s3 / s2) / (greatest(h - 3, 0) + 5) AS s4 FROM a)", "d AS (SELECT * FROM b)"]
+    else:
+        steps = ["a AS (SELECT *, (v1 + 1 + v1 + v2) / 3 AS s1 FROM x)", "b AS (SELECT *, (s1 + v2 + v3) / 3 AS s2 FROM a)", "c AS (SELECT *, (s2 + v3 + v4) / 3 AS s3 FROM b)", "d AS (SELECT *, (s3 + v4 + v5) / 3 AS s4 FROM c)"]
+    return f"WITH {counts}, {x}, {', '.join(steps)} SELECT pair_id, round(CASE WHEN m1 = 0 THEN 0 ELSE {BP} * exp(0.25 * (ln(s1) + ln(s2) + ln(s3) + ln(s4))) END, 8) AS bleu FROM d"
+
+
 def pairs(t):
     b = t.benchmark.select("item_id", F.split("text", " ").alias("hyp"))
     d = t.documents.select(F.col("doc_id").alias("item_id"), F.split("text", " ").alias("doc"))
@@ -67,7 +82,7 @@ def bleu_corpus(t):
 
 
 def _smooth(method: int) -> None:
-    @query(f"bleu_smooth{method}", bleu_sql(method) if method in SMOOTH else None)
+    @query(f"bleu_smooth{method}", bleu_sql(method) if method in SMOOTH else bleu_more_sql(method))
     def one(t):
         return T.bleu(pairs(t), method).withColumn("bleu", F.round("bleu", 8))
 
@@ -76,7 +91,7 @@ for _m in (0, 1, 2, 3, 4, 5, 7):
     _smooth(_m)
 
 
-@query("bleu_smooth6")
+@query("bleu_smooth6", bleu_more_sql(6))
 def bleu_smooth6(t):
     """Defined only where three tokens in a row match: the items against themselves without their first words."""
     x = t.benchmark.select(F.col("item_id").alias("pair_id"), F.split("text", " ").alias("hyp"))
