@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import backends as B
+from quern.functions.journeys import CLASSES, DISTANCES, LITRES_PER_GALLON, RATES, ZIPS
 
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
@@ -119,20 +120,7 @@ def tickets_of(df: DataFrame, user: str, status: str | None = None) -> DataFrame
     return x if status is None else x.filter(F.lower("status") == status.lower())
 
 
-# --- travel and cars: fixed tables
-
-CLASSES = {"economy": 1, "business": 2, "first": 5}
-RATES = {"RMB": 7.0, "EUR": 0.8, "JPY": 110.0, "GBP": 0.7, "CAD": 1.3, "AUD": 1.4, "INR": 70.0, "RUB": 60.0, "BRL": 3.8, "MXN": 20.0}
-ZIPS = {
-    "Rivermist": "83214", "Stonebrook": "74532", "Maplecrest": "56108", "Silverpine": "62947", "Shadowridge": "71354", "Sunset Valley": "83462",
-    "Oakendale": "47329", "Willowbend": "52013", "Crescent Hollow": "69238", "Autumnville": "51479", "San Francisco": "94016",
-}
-DISTANCES = [
-    ("83214", "74532", 750.0), ("56108", "62947", 320.0), ("71354", "83462", 450.0), ("47329", "52013", 290.0), ("69238", "51479", 630.0), ("94016", "83214", 980.0),
-    ("94016", "94704", 600.0), ("94704", "08540", 2550.0), ("94016", "08540", 1950.0), ("62947", "47329", 1053.0), ("94016", "62947", 780.0), ("74532", "94016", 880.0),
-]
-LITRES_PER_GALLON = 3.78541
-
+# --- travel and cars
 
 def flight_cost(base: Column, travel_class: Column, date: Column) -> Column:
     """Base price by class, doubled on dates whose digits sum up to an even number; null for an unknown class."""

@@ -405,6 +405,44 @@ def trd_orders(t):
     return s.select("event_id", get("orders.1.id").isNotNull().alias("placed"), get("orders.1.status").alias("status"), get("account_info.balance").cast("double").alias("balance"), F.from_json(get("watch_list"), "array<string>").alias("watch"))
 
 
+CAR = json.dumps({"vehicle": {"fuelLevel": 5.0}})
+DOORS = "['driver', 'passenger', 'rear_left', 'rear_right']"
+
+
+@query("replay_vehicle", """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '{"engineState": "running", "fuelLevel": 5.0, "batteryVoltage": 12.6}' WHEN user_id % 3 = 1 THEN '{"error": "Must press the brake fully before starting the engine."}' ELSE '{"error": "All doors must be locked before starting the engine. Here are the unlocked doors: passenger"}' END AS engine,
+CASE WHEN user_id % 60 > 45 THEN '{"error": "Cannot fill gas above the tank capacity."}' ELSE '{"fuelLevel": ' || (5 + user_id % 60) || '.0}' END AS fuel, CASE WHEN user_id % 3 = 0 THEN 'active' ELSE 'inactive' END AS cruise, (CASE WHEN user_id % 60 > 45 THEN 5 ELSE 5 + user_id % 60 END) * 20 >= 300 AS far FROM events""")
+def replay_vehicle(t):
+    """Doors, brake, engine, fuel and cruise control of a car; a third of the drivers leave a door open, a third press too weakly."""
+    u = F.col("user_id")
+    calls = F.array(
+        F.lit(f"lockDoors(unlock=False, door={DOORS})"), F.when(u % 3 == 2, "lockDoors(unlock=True, door=['passenger'])").otherwise("releaseBrakePedal()"), F.when(u % 3 == 1, "pressBrakePedal(pedalPosition=0.5)").otherwise("pressBrakePedal(pedalPosition=1)"),
+        F.lit("startEngine(ignitionMode='START')"), F.concat(F.lit("fillFuelTank(fuelAmount="), (u % 60).cast("string"), F.lit(")")), F.lit("setCruiseControl(speed=65, activate=True, distanceToNextVehicle=20)"), F.lit("estimate_drive_feasibility_by_mileage(distance=300)"),
+    )
+    x = t.events.select("event_id", D.replayed(["vehicle"], F.lit(CAR), calls).alias("o"), D.state_after(["vehicle"], F.lit(CAR), calls).alias("s"))
+    return x.select("event_id", F.col("o")[3].alias("engine"), F.col("o")[4].alias("fuel"), F.get_json_object("s", "$.vehicle.cruiseStatus").alias("cruise"), (F.get_json_object(F.col("o")[6], "$.canDrive") == "true").alias("far"))
+
+
+TRIP = json.dumps({"travel": {"access_token": "tok", "token_expires_in": 2, "credit_card_list": {"c": {"balance": 2500.0}}}})
+TRIP_COST = "400.0 * CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 5 END * CASE WHEN (2 + 0 + 2 + 4 + 1 + 1 + (user_id % 9 + 1)) % 2 = 0 THEN 2 ELSE 1 END"
+
+
+@query("replay_travel", f"""SELECT event_id, cost <= 2500 AS booked, 2500 - CASE WHEN cost <= 2500 AND event_id % 2 = 0 THEN cost ELSE 0 END - CASE WHEN cost <= 2500 THEN 30 ELSE 0 END AS balance, CASE WHEN cost <= 2500 AND event_id % 2 = 0 THEN 1 ELSE 0 END AS bookings,
+CASE WHEN cost > 2500 THEN 'Insufficient funds' END AS error FROM (SELECT event_id, {TRIP_COST} AS cost FROM events)""")
+def replay_travel(t):
+    """Flights booked and insured; those of odd events are cancelled. The booking's number is drawn from the seed."""
+    import random
+
+    u, i = F.col("user_id"), F.col("event_id")
+    number = str(random.Random(141053).randint(1000000, 9999999))
+    flight = F.concat(F.lit("book_flight(access_token='tok', card_id='c', travel_date='2024-11-0"), (u % 9 + 1).cast("string"), F.lit("', travel_from='SFO', travel_to='ORD', travel_class='"), F.element_at(F.array(*map(F.lit, ("economy", "business", "first"))), (u % 3 + 1).cast("int")), F.lit("')"))
+    calls = F.array(
+        flight, F.lit(f"purchase_insurance(access_token='tok', insurance_type='all', booking_id='{number}', insurance_cost=30, card_id='c')"),
+        F.when(i % 2 == 1, f"cancel_booking(access_token='tok', booking_id='{number}')").otherwise("get_booking_history(access_token='other')"),
+    )
+    x = t.events.select("event_id", D.replayed(["travel"], F.lit(TRIP), calls).alias("o"), F.from_json(F.get_json_object(D.state_after(["travel"], F.lit(TRIP), calls), "$.travel"), "credit_card_list map<string, struct<balance:double>>, booking_record map<string,string>").alias("s"))
+    return x.select("event_id", (F.get_json_object(F.col("o")[0], "$.booking_status") == "true").alias("booked"), F.col("s.credit_card_list")["c"]["balance"].alias("balance"), F.size("s.booking_record").alias("bookings"), F.get_json_object(F.col("o")[0], "$.error").alias("error"))
+
+
 TURN_CASES = "CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'multi_turn:instance_state_mismatch' WHEN 2 THEN 'multi_turn:empty_turn_model_response' ELSE 'multi_turn:execution_response_mismatch' END"
 
 

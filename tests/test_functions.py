@@ -204,3 +204,43 @@ def test_code():
     assert S.imports("import numpy.linalg, os\nfrom . import x") == ["numpy"] and S.imports("import (") == []
     assert S.api_index("g(f('m'))", [S.api_literals("f('m')", "all")]) == 0 and S.api_index("f(", [("f", ["x"])]) == -1
     assert math.isclose(sum(v * v for v in B.embed("a b a").values()), 1)
+
+
+def test_journeys():
+    car = {"vehicle": B.TOOLS["vehicle"]({"fuelLevel": 10.0})}
+    run = lambda tools, call: B.execute(tools, call)
+    assert "unlocked doors: driver, passenger" in run(car, "startEngine(ignitionMode='START')")
+    run(car, "lockDoors(unlock=False, door=['driver', 'passenger', 'rear_left', 'rear_right'])")
+    assert run(car, "pressBrakePedal(pedalPosition=1.0)") == '{"brakePedalStatus": "pressed", "brakePedalForce": 1000.0}'
+    assert json.loads(run(car, "startEngine(ignitionMode='START')"))["engineState"] == "running"
+    assert run(car, "startEngine(ignitionMode='STOP')") == '{"error": "Invalid ignition mode."}' and car["vehicle"]["engineState"] == "stopped"
+    assert run(car, "activateParkingBrake(mode='engage')") == '{"parkingBrakeStatus": "engaged", "_parkingBrakeForce": 500.0, "_slopeAngle": 10.0}'
+    assert run(car, "displayCarStatus(option='parkingBrake')") == '{"parkingBrakeStatus": "engaged", "parkingBrakeForce": 500.0, "slopeAngle": 10.0}'
+    assert run(car, "adjustClimateControl(temperature=68, unit='fahrenheit')").startswith('{"currentACTemperature": 68') and car["vehicle"]["acTemperature"] == 20
+    assert run(car, "get_zipcode_based_on_city(city='Rivermist')") == '{"zipcode": "83214"}' and run(car, "estimate_distance(cityA='74532', cityB='83214')") == '{"distance": 750.0}'
+    assert json.loads(run(car, "check_tire_pressure()"))["healthy_tire_pressure"] is True
+    trip = {"travel": B.TOOLS["travel"]({})}
+    token = json.loads(run(trip, "authenticate_travel(client_id='i', client_secret='s', refresh_token='r', grant_type='read_write', user_first_name='A', user_last_name='B')"))["access_token"]
+    card = json.loads(run(trip, f"register_credit_card(access_token='{token}', card_number='1', expiration_date='01/2030', cardholder_name='A B', card_verification_number=1)"))["card_id"]
+    before = trip["travel"]["credit_card_list"][card]["balance"]
+    assert len(token) == 6 and len(card) == 12 and 10000 <= before <= 99999
+    booked = json.loads(run(trip, f"book_flight(access_token='{token}', card_id='{card}', travel_date='2024-11-11', travel_from='SFO', travel_to='RMS', travel_class='business')"))
+    assert booked["booking_status"] and trip["travel"]["credit_card_list"][card]["balance"] == before - 1200.0
+    assert json.loads(run(trip, f"retrieve_invoice(access_token='{token}', booking_id='{booked['booking_id']}')"))["invoice"]["travel_cost"] == 1200.0
+    assert run(trip, f"cancel_booking(access_token='{token}', booking_id='0')") == '{"cancel_status": false, "error": "Booking not found"}'
+    assert run(trip, f"cancel_booking(access_token='{token}', booking_id='{booked['booking_id']}')") == '{"cancel_status": true}' and trip["travel"]["credit_card_list"][card]["balance"] == before
+    assert run(trip, "book_flight(access_token='no', card_id='c', travel_date='x', travel_from='SFO', travel_to='RMS', travel_class='first')") == '{"booking_status": false, "error": "Invalid access token"}'
+    assert run(trip, "compute_exchange_rate(base_currency='RMB', target_currency='USD', value=10)") == '{"exchanged_value": 1.43}' and "No available exchange rate" in run(trip, "compute_exchange_rate(base_currency='RMB', target_currency='EUR', value=1)")
+    assert run(trip, "verify_traveler_information(first_name='A', last_name='B', date_of_birth='1990-01-01', passport_number='US1')") == '{"verification_status": true}'
+
+
+def test_wires():
+    from quern.functions import wires as W
+
+    assert len(W.WIRES) >= 15
+    with pytest.raises(ValueError):
+        W.decode_wire("no calls here", "name_arguments")
+    with pytest.raises(ValueError):
+        W.decode_wire('{"name": "f", "arguments": [1]}', "name_arguments")
+    assert W.decode_wire("nothing", "toolcall_block") == [] and W.decode_wire("not json", "name_arguments_or_nothing") == []
+    assert W.decode_wire("[f(a=1)]", "fenced_code") == [{"f": {"a": 1}}] and W.decode_wire("f", "name_line") == [{"f": {}}]
