@@ -89,6 +89,8 @@ def python(text: str) -> Calls:
 
 
 QUOTED = re.compile(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`", re.S)
+#: A pattern between slashes, where a value can begin.
+SLASHED = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 NAME = r"[A-Za-z_$][\w$]*"
 CALL = re.compile(rf"\s*((?:new\s+)?{NAME}(?:\s*\.\s*{NAME})*)\s*\(")
 ASSIGNED = re.compile(rf"\s*({NAME})\s*=(?![=>])")
@@ -107,6 +109,9 @@ def _top_level(text: str, generics: bool) -> Iterator[tuple[int, str]]:
                 raise ValueError("a quote without an end")
             at = m.end()
             continue
+        if c == "/" and not generics and (end := _skipped(text, at)) > at:
+            at = end
+            continue
         if c in "([{":
             stack.append(c)
         elif c in ")]}":
@@ -129,12 +134,21 @@ def split_top(text: str, generics: bool = False) -> list[str]:
     return [p.strip() for p in parts] if text.strip() else []
 
 
+def _skipped(text: str, at: int) -> int:
+    """Where a quoted text or a pattern between slashes that begins here ends; the same place if none does."""
+    if text[at] in "'\"`" and (m := QUOTED.match(text, at)):
+        return m.end()
+    if text[at] == "/" and text[:at].rstrip()[-1:] in ("=", ",", "(", "[", ":", "") and (m := SLASHED.match(text, at)):
+        return m.end()
+    return at
+
+
 def _end_of(text: str, start: int) -> int:
     """Position of the bracket that closes the one at ``start``."""
     depth, at = 0, start
     while at < len(text):
-        if text[at] in "'\"`" and (m := QUOTED.match(text, at)):
-            at = m.end()
+        if (end := _skipped(text, at)) > at:
+            at = end
             continue
         depth += (text[at] in "([{") - (text[at] in ")]}")
         if not depth:

@@ -64,6 +64,50 @@ def dec_js(t):
     return shown(told(t, filled("[app.<e>(s='it, is', o={a: [1, 2], b: 'x'}, big=<u>n)]")), D.decoded(F.col("text"), "javascript"))
 
 
+#: Expressions that hold commas, brackets and quotes of their own, and their text as an argument (SQL): what an event makes of them.
+JAVA_VALUES = (
+    ("new HashMap<String, List<Map<Integer, <e>>>>(<u>, <k>)", "'new HashMap<String,List<Map<Integer,' || event_type || '>>>(' || user_id || ', ' || {K} || ')'"),
+    ("(a, b) -> a.<e>(<u>, b)", "'(a,b)->a.' || event_type || '(' || user_id || ',b)'"),
+    ('builder.append("<e>, (<u>").build( <k> )', "'builder.append(\"' || event_type || ', (' || user_id || '\").build(' || {K} || ')'"),
+    ("new <e>[] { <u>, <k> }", "'new ' || event_type || '[]{{' || user_id || ',' || {K} || '}}'"),
+    ("<u> + <k> * 2", "user_id || '+' || {K} || '*2'"),
+    ('List.<String>of("<e> ]", 1)', "'List.<String>of(\"' || event_type || ' ]\",1)'"),
+    ("flag && !items.contains(<u>)", "'flag&&!items.contains(' || user_id || ')'"),
+)
+JS_VALUES = (
+    ("`<e>, ${g(<u>, 'b')} y`", "'`' || event_type || ', ${{g(' || user_id || ', ''b'')}} y`'"),
+    ("(e, i) => { return [<u>, <k>]; }", "'(e, i) => {{ return [' || user_id || ', ' || {K} || ']; }}'"),
+    ("{k: [<u>, {m: '}<e>'}], n: <k>}", "'{{k: [' || user_id || ', {{m: ''}}' || event_type || '''}}], n: ' || {K} || '}}'"),
+    ("new Map([[<u>, '<e>'], [<k>, 2]])", "'new Map([[' || user_id || ', ''' || event_type || '''], [' || {K} || ', 2]])'"),
+    ("/<e>,[(,/]<u>/gi", "'/' || event_type || ',[(,/]' || user_id || '/gi'"),
+    ("async () => await x(<u>, <k>)", "'async () => await x(' || user_id || ', ' || {K} || ')'"),
+    ("a?.<e>(<u>) ?? b[<k>]", "'a?.' || event_type || '(' || user_id || ') ?? b[' || {K} || ']'"),
+)
+
+
+def values_sql(values) -> str:
+    return " UNION ALL ".join(f"SELECT event_id, {n}::BIGINT AS n, 'm.' || event_type AS name, {want.format(K=K)} AS v, event_type || '; )' AS w FROM events" for n, (_, want) in enumerate(values))
+
+
+def decoded_values(t, values, language: str):
+    """A call with each expression between two plain arguments."""
+    cases = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), text_of(filled(f'[m.<e>(first=1, v={v}, w="<e>; )")]')).alias("text")) for n, (v, _) in enumerate(values)])
+    x = t.events.select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*").withColumn("d", D.decoded(F.col("text"), language))
+    call = F.get("d.calls", F.lit(0))
+    text = lambda name: F.from_json(F.concat(F.lit('{"x": '), call["args"][name], F.lit("}")), "x string")["x"]
+    return x.select("event_id", "n", call["name"].alias("name"), text("v").alias("v"), text("w").alias("w"))
+
+
+@query("dec_java_values", values_sql(JAVA_VALUES))
+def dec_java_values(t):
+    return decoded_values(t, JAVA_VALUES, "java")
+
+
+@query("dec_js_values", values_sql(JS_VALUES))
+def dec_js_values(t):
+    return decoded_values(t, JS_VALUES, "javascript")
+
+
 @query("dec_json", f"SELECT event_id, 0::BIGINT AS pos, event_type AS name, 'a=' || user_id || '; b=[' || {K} || ', null]' AS args FROM events WHERE user_id % 3 <> 0")
 def dec_json(t):
     good = told(t, filled('so: ```json\n[{"function": "<e>", "parameters": {"a": <u>, "b": [<k>, null]}}]\n```'))
