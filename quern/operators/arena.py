@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, SCALE, BASE, INIT = 4.0, 400.0, 10.0, 1000.0
+#: Agents up to which ratings are fitted with a dense matrix, and whose names are broadcast.
+DENSE, BROADCAST_AGENTS = 2000, 1_000_000
 A_WINS, B_WINS, TIE, BAD = "A is better", "B is better", "Tie", "Both are bad"
 
 
@@ -40,7 +42,8 @@ def symmetric_counts(battles: DataFrame, top: int | None = None) -> DataFrame:
     if top:
         agents = agents.orderBy(F.desc("total"), "a").limit(top)
     names = agents.select("a")
-    return names.crossJoin(F.broadcast(names.withColumnRenamed("a", "b"))).join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+    other = names.withColumnRenamed("a", "b")
+    return names.crossJoin(F.broadcast(other) if top or names.count() <= BROADCAST_AGENTS else other).join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def win_matrix(battles: DataFrame) -> DataFrame:
@@ -98,12 +101,11 @@ def bradley_terry(wins: DataFrame, c: float | None = None, steps: int = 50) -> D
 
     Newton steps on the driver over the distinct agents; the sums over battles are made on the cluster, in ``wins``.
     Ratings are centred on 1000: without a penalty they are known only up to a constant. Agents grow with models that
-    exist, not with battles; beyond 5,000 the fit is refused rather than run out of memory.
+    exist, not with battles. Up to DENSE agents the Hessian is solved as a matrix; of more, by conjugate gradients over
+    the pairs that met, so that memory grows with these.
     """
     import numpy as np
 
-    if wins.select(F.explode(F.array("a", "b"))).distinct().count() > 5000:
-        raise ValueError("more than 5,000 agents: fit them with pyspark.ml's LogisticRegression instead")
     rows = [(r["a"], r["b"], r["w"]) for r in wins.filter("a <> b and w > 0").collect()]
     names = sorted({x for a, b, _ in rows for x in (a, b)})
     at = {n: k for k, n in enumerate(names)}
@@ -113,12 +115,16 @@ def bradley_terry(wins: DataFrame, c: float | None = None, steps: int = 50) -> D
     for _ in range(steps if rows else 0):
         p = 1 / (1 + np.exp(-(z[i] - z[j])))
         g = np.bincount(i, w * (1 - p), len(names)) - np.bincount(j, w * (1 - p), len(names)) - ridge * z
-        q, h = w * p * (1 - p), np.diag(np.full(len(names), ridge))
-        np.add.at(h, (i, i), q)
-        np.add.at(h, (j, j), q)
-        np.add.at(h, (i, j), -q)
-        np.add.at(h, (j, i), -q)
-        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        q = w * p * (1 - p)
+        if len(names) > DENSE:
+            step = _sparse_step(i, j, q, g, ridge)
+        else:
+            h = np.diag(np.full(len(names), ridge))
+            np.add.at(h, (i, i), q)
+            np.add.at(h, (j, j), q)
+            np.add.at(h, (i, j), -q)
+            np.add.at(h, (j, i), -q)
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
         z = z + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-12:
             break
@@ -127,6 +133,28 @@ def bradley_terry(wins: DataFrame, c: float | None = None, steps: int = 50) -> D
     return wins.sparkSession.createDataFrame(out, f"agent {dict(wins.dtypes)['a']}, rating double")
 
 
+def _sparse_step(i, j, q, g, ridge: float):
+    """The Newton step of pairs (i, j) with weights q, by conjugate gradients scaled by the diagonal."""
+    import numpy as np
+
+    n = len(g)
+    diagonal = np.bincount(i, q, n) + np.bincount(j, q, n) + ridge
+    x, left = np.zeros(n), g.copy()
+    way = left / diagonal
+    now = first = left @ way
+    for _ in range(4 * n if first > 0 else 0):
+        d = q * (way[i] - way[j])
+        ahead = np.bincount(i, d, n) - np.bincount(j, d, n) + ridge * way
+        far = now / (way @ ahead)
+        x, left = x + far * way, left - far * ahead
+        z = left / diagonal
+        now, before = left @ z, now
+        if now <= 1e-20 * first:
+            break
+        way = z + now / before * way
+    return x
+
+
 def combined_design(battles: DataFrame) -> DataFrame:
     """Signed parts of each battle and its mirror image, counted: (left, right, won, n); parts are ``kind:name``.
 

@@ -66,6 +66,15 @@ def test_bradley_terry_recovers_strengths(spark):
     assert abs(got["a"] - got["b"] - 400 / np.log(10)) < 25 and got["b"] > got["c"] and abs(np.mean(list(got.values())) - 1000) < 1e-6
 
 
+def test_many_agents_are_fitted_by_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"g{rng.randrange(40)}", f"g{rng.randrange(40)}", rng.randint(1, 9)) for _ in range(600)]
+    wins = spark.createDataFrame(rows, "a string, b string, w long")
+    dense = dict(arena.bradley_terry(wins, c=0.7).collect())
+    monkeypatch.setattr(arena, "DENSE", 5)
+    assert dict(arena.bradley_terry(wins, c=0.7).collect()) == pytest.approx(dense, abs=1e-5)
+
+
 def test_elo_of_unknown_rating_raises(spark):
     bad = spark.createDataFrame([(1, "x", "y", "Won", 0)], "seq long, a string, b string, rating string, pool int")
     with pytest.raises(Exception, match="unexpected rating"):
