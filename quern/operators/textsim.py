@@ -19,8 +19,20 @@ def grams(tokens: Column, n: int, left: str | None = None, right: str | None = N
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int) -> DataFrame:
-    sized = lambda n: F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+#: Tokens of a hypothesis up to which a reference's n-grams are looked up in its own before they are counted.
+SHORT = 100
+
+
+def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int, own: str | None = None) -> DataFrame:
+    """(keys, n, gram, c) of the n-grams up to ``most``; only those of the arrays ``own`` (1, 2, ...), where there is one,
+    so that a long reference's others are not dealt at all."""
+
+    def sized(n: int) -> Column:
+        every = grams(tokens, n)
+        if own:
+            every = F.when(F.col(f"{own}{n}").isNotNull(), F.filter(every, lambda g: F.array_contains(f"{own}{n}", g))).otherwise(every)
+        return F.transform(every, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
     every = F.concat(*[sized(n) for n in range(1, most + 1)])
     return df.select(*keys, F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("c"))
 
@@ -28,8 +40,10 @@ def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int) -> DataF
 def precisions(pairs: DataFrame, key: str = "pair_id", most: int = 4) -> DataFrame:
     """(key, n, matched, total) of pairs (key, refs, hyp): matches clipped to the reference that has a gram most often."""
     own = _counted(pairs.select(key, "hyp"), [key], F.col("hyp"), most)
-    refs = pairs.select(key, F.posexplode("refs").alias("_ref", "_tokens"))
-    best = _counted(refs, [key, "_ref"], F.col("_tokens"), most).groupBy(key, "n", "gram").agg(F.max("c").alias("r"))
+    # the n-grams of a hypothesis are made once, below the row for each reference
+    short = [F.when(F.size("hyp") <= SHORT, F.array_distinct(grams(F.col("hyp"), n))).alias(f"_own{n}") for n in range(1, most + 1)]
+    refs = pairs.select(key, *short, "refs").select(key, *[f"_own{n}" for n in range(1, most + 1)], F.posexplode("refs").alias("_ref", "_tokens"))
+    best = _counted(refs, [key, "_ref"], F.col("_tokens"), most, "_own").groupBy(key, "n", "gram").agg(F.max("c").alias("r"))
     part = own.join(best, [key, "n", "gram"], "left").groupBy(key, "n").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("matched"), F.sum("c").alias("total"))
     full = pairs.select(key, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
     return full.join(part, [key, "n"], "left").select(key, "n", F.coalesce("matched", F.lit(0)).alias("matched"), F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).alias("total"))

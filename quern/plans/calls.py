@@ -11,13 +11,14 @@ from quern.functions import literals
 from quern.operators import decoding as D
 from quern.operators.joins import bag_contains, is_subsequence
 from quern.plans.registry import query
+from quern.session import spread
 
 K = "CAST(props->>'k' AS BIGINT)"
 
 
 def told(t, template: str, *more):
     """events with ``text``: the template with {e} event type, {u} user, {k} and {v} filled in."""
-    return t.events.select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), text_of(template).alias("text"), *more)
+    return spread(t.events).select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), text_of(template).alias("text"), *more)
 
 
 def text_of(template: str):
@@ -92,7 +93,7 @@ def values_sql(values) -> str:
 def decoded_values(t, values, language: str):
     """A call with each expression between two plain arguments."""
     cases = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), text_of(filled(f'[m.<e>(first=1, v={v}, w="<e>; )")]')).alias("text")) for n, (v, _) in enumerate(values)])
-    x = t.events.select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*").withColumn("d", D.decoded(F.col("text"), language))
+    x = spread(t.events).select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*").withColumn("d", D.decoded(F.col("text"), language))
     call = F.get("d.calls", F.lit(0))
     text = lambda name: F.from_json(F.concat(F.lit('{"x": '), call["args"][name], F.lit("}")), "x string")["x"]
     return x.select("event_id", "n", call["name"].alias("name"), text("v").alias("v"), text("w").alias("w"))
@@ -175,7 +176,7 @@ def dec_wires(t):
         return F.concat(*[holes.get(p, F.lit(p)) for p in pieces])
 
     cases = F.array(*[F.struct(F.lit(w).alias("wire"), fill(x).alias("text")) for w, x in WIRE_TEXTS.items()])
-    x = t.events.select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*")
+    x = spread(t.events).select("event_id", F.explode(cases).alias("c")).select("event_id", "c.*")
     x = x.withColumn("d", D.decoded_wire(F.col("text"), F.when(F.col("wire") == "not_json", "name_arguments").otherwise(F.col("wire"))))
     calls = F.when(F.col("d.ok"), F.col("d.calls")).otherwise(F.array(F.lit(None)))
     args = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c["args"])), lambda a: F.concat(a["key"], F.lit("="), a["value"])), "; ")
@@ -318,7 +319,7 @@ def case_sql(cases: dict) -> str:
 def checked(t, cases: dict, category: str, truth: str = TRUTH, **how):
     """All cases of an event in one row, then one row each: events are read once and nothing is joined."""
     texts = F.array(*[F.struct(F.lit(n).alias("n"), text_of(filled(text)).alias("text")) for n, text in enumerate(cases)])
-    x = t.events.select("event_id", text_of(filled(truth)).alias("truth"), F.explode(texts).alias("c")).select("event_id", "truth", "c.*")
+    x = spread(t.events).select("event_id", text_of(filled(truth)).alias("truth"), F.explode(texts).alias("c")).select("event_id", "truth", "c.*")
     return verdicts(x, D.checked(F.col("text"), F.lit(json.dumps(DOCS)), F.col("truth"), F.lit(category), **how), "event_id", "n")
 
 

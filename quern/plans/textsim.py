@@ -1,4 +1,4 @@
-"""Similarity of texts and code; pairs are the test items against the documents of the same number."""
+"""Similarity of texts and code; pairs are all documents, each with a test item by its number."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quern.operators import decoding as D
 from quern.operators import textsim as T
 from quern.plans.registry import query
+from quern.session import spread
 
 # hypothesis: the item's words; references: the item without its first words, and the document
-PAIRS = "p AS (SELECT item_id AS pair_id, string_split(b.text, ' ') AS hyp, [(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')] AS refs FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
+PAIRS = "p AS (SELECT d.doc_id AS pair_id, string_split(b.text, ' ') AS hyp, [(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')] AS refs FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 GRAMS = "g AS (SELECT pair_id, n, array_to_string(hyp[i:i + n - 1], ' ') AS gram FROM p, range(1, 5) r(n), unnest(range(1, len(hyp) - n + 2)) q(i)), gr AS (SELECT pair_id, ref, n, array_to_string(t[i:i + n - 1], ' ') AS gram FROM (SELECT pair_id, unnest([1, 2]) AS ref, unnest(refs) AS t FROM p), range(1, 5) r(n), unnest(range(1, len(t) - n + 2)) q(i))"
 COUNTS = f"""{PAIRS}, {GRAMS}, own AS (SELECT pair_id, n, gram, count(*) AS c FROM g GROUP BY ALL), best AS (SELECT pair_id, n, gram, max(c) AS r FROM (SELECT pair_id, ref, n, gram, count(*) AS c FROM gr GROUP BY ALL) GROUP BY ALL),
 prec AS (SELECT p.pair_id, n.n, coalesce(sum(least(c, coalesce(r, 0))), 0)::BIGINT AS matched, greatest(coalesce(sum(c), 0), 1)::BIGINT AS total FROM p CROSS JOIN range(1, 5) n(n) LEFT JOIN own ON own.pair_id = p.pair_id AND own.n = n.n LEFT JOIN best ON best.pair_id = own.pair_id AND best.n = own.n AND best.gram = own.gram GROUP BY ALL),
@@ -32,7 +33,7 @@ def bleu_more_sql(method: int) -> str:
     """Smoothings 5 to 7, which need n-grams of five tokens or the values before: by recurrences over the columns of a pair."""
     counts = COUNTS.replace("range(1, 5)", "range(1, 6)")
     if method == 6:  # the items against themselves without their first words
-        counts = counts.replace("[(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')]", "[(string_split(b.text, ' '))[3:]]").replace(" JOIN documents d ON d.doc_id = b.item_id", "").replace("unnest([1, 2]) AS ref", "1 AS ref")
+        counts = counts.replace("[(string_split(b.text, ' '))[3:] || ['end'], string_split(d.text, ' ')]", "[(string_split(b.text, ' '))[3:]]").replace(" JOIN documents d ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)", "").replace("d.doc_id AS pair_id", "item_id AS pair_id").replace("unnest([1, 2]) AS ref", "1 AS ref")
     value = SMOOTH[4].replace("m / t END", "m / t END") if method == 7 else "m / t"
     columns = ", ".join(f"max(CASE WHEN n = {k} THEN {value if k < 5 else 'm / t'} END) AS v{k}, max(CASE WHEN n = {k} THEN m END) AS m{k}, max(CASE WHEN n = {k} THEN t END) AS t{k}" for k in range(1, 6))
     x = f"x AS (SELECT pair_id, max(h) AS h, max(r) AS r, {columns} FROM (SELECT pair_id, n, matched AS m, total AS t FROM prec) JOIN len USING (pair_id) GROUP BY pair_id)"
@@ -45,9 +46,9 @@ def bleu_more_sql(method: int) -> str:
 
 def pairs(t):
     b = t.benchmark.select("item_id", F.split("text", " ").alias("hyp"))
-    d = t.documents.select(F.col("doc_id").alias("item_id"), F.split("text", " ").alias("doc"))
+    d = spread(t.documents).select("doc_id", (F.col("doc_id") % max(1, b.count())).alias("item_id"), F.split("text", " ").alias("doc"))
     short = F.concat(F.expr("slice(hyp, 3, greatest(size(hyp), 1))"), F.array(F.lit("end")))
-    return b.join(d, "item_id").select(F.col("item_id").alias("pair_id"), "hyp", F.array(short, F.col("doc")).alias("refs"))
+    return d.join(b, "item_id").select(F.col("doc_id").alias("pair_id"), "hyp", F.array(short, F.col("doc")).alias("refs"))
 
 
 @query("ngrams", "SELECT item_id, array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), '|') AS grams, ['<s> <s> ' || w[1], '<s> ' || w[1] || ' ' || w[2]] AS padded FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
@@ -109,7 +110,7 @@ def programs(t):
     u, e = F.col("user_id") % 3, F.col("event_type")
     reference = F.concat(F.lit("def f(x):\n    y = x + 1\n    return "), e, F.lit("(y)\n"))
     candidate = F.when(u == 0, F.lit("def g(a):\n    b = a + 1\n    return call(b)\n")).when(u == 1, F.lit("def g(a):\n    return a\n")).otherwise(F.lit("def g(:\n"))
-    return t.events.select("event_id", candidate.alias("candidate"), reference.alias("reference"))
+    return spread(t.events).select("event_id", candidate.alias("candidate"), reference.alias("reference"))
 
 
 @query("syn_match", "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0 END >= 0.2 AS some, user_id % 3 = 0 AS full_ FROM events")

@@ -40,10 +40,11 @@ def fs_tail(t):
 L = LINES.replace("text", "{}.text")
 
 
-@query("fs_diff", f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(list_zip({L.format('b', 'b')}, {L.format('d', 'd')})[1:least(len({L.format('b', 'b')}), len({L.format('d', 'd')}))], lambda p: p[1] <> p[2]), lambda p: '- ' || p[1] || chr(10) || '+ ' || p[2]), chr(10))) AS digest FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query("fs_diff", f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(list_zip({L.format('b', 'b')}, {L.format('d', 'd')})[1:least(len({L.format('b', 'b')}), len({L.format('d', 'd')}))], lambda p: p[1] <> p[2]), lambda p: '- ' || p[1] || chr(10) || '+ ' || p[2]), chr(10))) AS digest FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
 def fs_diff(t):
-    b = t.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("a"))
-    return b.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.md5(T.diff(F.col("a"), F.col("text"))).alias("digest"))
+    b = t.benchmark.select("item_id", F.col("text").alias("a"))
+    d = t.documents.select("doc_id", "text", (F.col("doc_id") % max(1, b.count())).alias("item_id"))
+    return d.join(b, "item_id").select("doc_id", F.md5(T.diff(F.col("a"), F.col("text"))).alias("digest"))
 
 
 @query("fs_du", "SELECT source, bytes, CASE WHEN bytes < 1024 THEN printf('%.2f B', bytes::DOUBLE) WHEN bytes < 1048576 THEN printf('%.2f KB', bytes / 1024) ELSE printf('%.2f MB', bytes / 1048576) END AS shown FROM (SELECT source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source)")

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table dealt to all cores, if its files are fewer: for work by row that weighs more than the rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read again: what it holds no longer depends on replanning."""
     spark = df.sparkSession
