@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import drop_kept, stash, table
 
-#: The chain and the label of each: a text of low quality (quality is 0), then a toxic one, which is told by its words and
-#: by how likely it is to be of low quality.
+#: The chain and the label of each: a text of low quality (quality is 0), told by its shape, then a toxic one, told by its
+#: words and by how likely it is to be of low quality.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 #: Labelled rows used at most: the ones with the smallest hash of their id.
 MAX_TRAIN = 20_000
 FOLDS, STEPS, PENALTY, THRESHOLD = 3, 25, 0.1, 0.4
+#: A fit ends when no weight moves by more; a Newton step is solved but for this share.
+LEAST_STEP, CLOSE = 1e-3, 0.02
 #: Evidence (nats) and ratio of odds that a feature needs to be in a model.
 LEAST_EVIDENCE, LEAST_ODDS = 9.0, 3.0
 #: Letters of a stem.
@@ -42,7 +44,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def shape(text: str | None) -> set[str]:
-    """In eighths: words that are distinct, words that repeat the one before, characters that are marks, and capitals."""
+    """In twelfths: words that are distinct, words that repeat the one before, characters that are marks, and capitals."""
     text = text or ""
     words = text.split()
     if not words:
@@ -53,7 +55,7 @@ def shape(text: str | None) -> set[str]:
         "marks": len(MARKS.sub("", text)) / len(text),
         "capitals": len(CAPITALS.findall(text)) / len(text),
     }
-    return {f"#{name}{math.ceil(8 * x)}" for name, x in share.items()}
+    return {f"#{name}{math.ceil(12 * x)}" for name, x in share.items()}
 
 
 def features(text: str | None) -> set[str]:
@@ -116,12 +118,10 @@ class Chain:
 class Rows:
     """Labelled rows as a sparse matrix: the numbers of row and feature of each of its ones."""
 
-    def __init__(self, words: list[list[str]]):
-        number: dict[str, int] = {}
-        self.cols = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
-        self.names = np.array(list(number), object)
-        self.n = len(words)
-        self.row = np.repeat(np.arange(self.n), [len(w) for w in words]) if words else np.zeros(0, np.int64)
+    def __init__(self, names: list[str], cols: np.ndarray, counts: np.ndarray):
+        """``cols`` are the features of all rows, one row after the other; ``counts`` how many each has."""
+        self.names, self.cols, self.n = np.array(names, object), cols, len(counts)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), counts)
 
     def telling(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
         """Numbers of the features that tell the classes apart among the rows in use, most evidence first.
@@ -153,8 +153,8 @@ def evidence(pos: np.ndarray, both: np.ndarray, base: float) -> tuple[np.ndarray
     return gain, np.abs(np.log(p / (1 - p)) - np.log(base / (1 - base)))
 
 
-def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray) -> tuple[Linear, np.ndarray]:
-    """The model fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps, each solved
+def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray, shapes: bool = False) -> tuple[Linear, np.ndarray]:
+    """The model of words (or shapes) fitted to the rows in use, and its probabilities for all rows: ridge-penalised Newton steps, each solved
     by conjugate gradients, so that memory grows with the ones of the matrix and not with rows times features."""
     pos, of = y[use].sum(), use.sum()
     base = (pos + 0.5) / (of + 1) if 0 < pos < of else min(max(pos / (of + 1), 1e-9), 1 - 1e-9)  # nothing known: not toxic
@@ -162,34 +162,55 @@ def fit_linear(rows: Rows, y: np.ndarray, earlier: np.ndarray, use: np.ndarray)
     if not 0 < pos < of:
         return Linear(prior, {}, [0.0] * earlier.shape[1]), np.full(rows.n, base)
     cols = rows.telling(y, use)
+    cols = cols[[(n[0] == "#") == shapes for n in rows.names[cols]]] if len(cols) else cols
     at = np.full(len(rows.names), -1)
     at[cols] = np.arange(len(cols))
     hit = at[rows.cols] >= 0
-    r, c, k = rows.row[hit], at[rows.cols[hit]], len(cols)
+    r, c, k = rows.row[hit], at[rows.cols[hit]].astype(np.int32), len(cols)
     rest = np.column_stack([earlier, np.ones(rows.n)])
-    times = lambda v: np.bincount(r, weights=v[c], minlength=rows.n) + rest @ v[k:]
-    back = lambda u: np.append(np.bincount(c, weights=u[r], minlength=k)[:k], u @ rest)
+    by_col = np.argsort(c, kind="stable")
+    along_row, along_col = _sums(r, rows.n), _sums(c[by_col], k)
+    r_by_col = r[by_col]
+    times = lambda v: along_row(v[c]) + rest @ v[k:]
+    back = lambda u: np.append(along_col(u[r_by_col]), u @ rest)
     ridge = np.append(np.full(k + earlier.shape[1], PENALTY), 1e-6)
     w = np.append(np.zeros(k + earlier.shape[1]), prior)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
         d = np.where(use, p * (1 - p), 0.0)
-        diagonal = np.append(np.bincount(c, weights=d[r], minlength=k)[:k], d @ rest**2) + ridge
+        diagonal = np.append(along_col(d[r_by_col]), d @ rest**2) + ridge
         step = conjugate_gradients(lambda v: back(d * times(v)) + ridge * v, back(np.where(use, y - p, 0.0)) - ridge * w, diagonal)
         w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < LEAST_STEP:
             break
     probability = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
     return Linear(float(w[-1]), dict(zip(rows.names[cols].tolist(), w[:k].tolist())), w[k:-1].tolist()), probability
 
 
+def _sums(group: np.ndarray, n: int):
+    """A function that sums values by their groups, which come in order."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    which = group[starts]
+
+    def run(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(starts):
+            out[which] = np.add.reduceat(values, starts)
+        return out
+
+    return run
+
+
 def conjugate_gradients(matrix, b: np.ndarray, diagonal: np.ndarray, most: int = 200) -> np.ndarray:
-    """x where matrix(x) = b, for a positive definite matrix; its diagonal scales the steps."""
+    """x where matrix(x) is b but for CLOSE of it, for a positive definite matrix; its diagonal scales the steps.
+
+    The next Newton step corrects what is left.
+    """
     x, left = np.zeros(len(b)), b.copy()
     z = left / diagonal
     way, now = z.copy(), left @ z
     for _ in range(most):
-        if now <= 1e-14 * max(1.0, b @ (b / diagonal)):
+        if now <= CLOSE**2 * (b @ (b / diagonal)):
             break
         ahead = matrix(way)
         far = now / (way @ ahead)
@@ -200,22 +221,23 @@ def conjugate_gradients(matrix, b: np.ndarray, diagonal: np.ndarray, most: int =
     return x
 
 
-def out_of_fold(rows: Rows, y: np.ndarray, earlier: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def out_of_fold(rows: Rows, y: np.ndarray, earlier: np.ndarray, fold: np.ndarray, shapes: bool = False) -> np.ndarray:
     """For each row the probability from a model that saw no row of its fold: not to choose features, nor to fit."""
     out = np.zeros(rows.n)
     for f in np.unique(fold):
-        out[fold == f] = fit_linear(rows, y, earlier, fold != f)[1][fold == f]
+        out[fold == f] = fit_linear(rows, y, earlier, fold != f, shapes)[1][fold == f]
     return out
 
 
-def fit_chain(words: list[list[str]], labels: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(rows: Rows, labels: np.ndarray, fold: np.ndarray) -> Chain:
     """One model per category, a column of ``labels``. A later one learns from the earlier ones' out-of-fold probabilities."""
-    rows, held, models = Rows(words), np.zeros((len(words), 0)), []
+    held, models = np.zeros((rows.n, 0)), []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        models.append(fit_linear(rows, y, held, np.ones(rows.n, bool))[0])
-        if c + 1 < labels.shape[1]:
-            held = np.column_stack([held, out_of_fold(rows, y, held, fold)])
+        shapes = c + 1 < labels.shape[1]  # the last one is told by words
+        models.append(fit_linear(rows, y, held, np.ones(rows.n, bool), shapes)[0])
+        if shapes:
+            held = np.column_stack([held, out_of_fold(rows, y, held, fold, shapes)])
     return Chain(models)
 
 
@@ -258,18 +280,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Cha
         for c in classes:
             pos = sum(r[f"p{c}"] for r in of if r["fold"] != f)
             if 0 < pos < n:
-                enough |= F.coalesce((F.col(f"n_{k}") > 0) & (_gain(F.col(f"p{c}_{k}"), F.col(f"n_{k}"), pos / n) >= LEAST_EVIDENCE - 1e-6), F.lit(False))
-    names = {r["word"] for r in counts.filter(enough).select("word").toLocalIterator()}
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(names)
+                mine = F.col("word").startswith("#") == F.lit(c + 1 < len(CATEGORIES))
+                enough |= F.coalesce(mine & (F.col(f"n_{k}") > 0) & (_gain(F.col(f"p{c}_{k}"), F.col(f"n_{k}"), pos / n) >= LEAST_EVIDENCE - 1e-6), F.lit(False))
+    names = sorted(r["word"] for r in counts.filter(enough).select("word").toLocalIterator())
+    known = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = known.value.get
         for b in batches:
-            yield pa.record_batch([b.column("id"), b.column("fold"), b.column("y"), pa.array([[w for w in ws if w in known.value] for ws in b.column("words").to_pylist()], pa.list_(pa.string()))], ["id", "fold", "y", "words"])
+            yield pa.record_batch([b.column("id"), b.column("fold"), b.column("y"), pa.array([[k for w in ws if (k := get(w)) is not None] for ws in b.column("words").to_pylist()], pa.list_(pa.int32()))], ["id", "fold", "y", "cols"])
 
-    got = rows.mapInArrow(some, rows.schema).toArrow().sort_by("id")
-    y = np.array(got.column("y").to_pylist(), int).reshape(-1, len(CATEGORIES))
-    return fit_chain(got.column("words").to_pylist(), y, got.column("fold").to_numpy())
+    got = rows.mapInArrow(some, "id long, fold int, y array<int>, cols array<int>").toArrow().sort_by("id").combine_chunks()
+    of_row = lambda name: pa.chunked_array(got.column(name).chunks, got.column(name).type).combine_chunks()
+    y, cols = of_row("y").flatten().to_numpy().reshape(-1, len(CATEGORIES)), of_row("cols")
+    return fit_chain(Rows(names, cols.flatten().to_numpy(), cols.value_lengths().to_numpy()), y, got.column("fold").to_numpy())
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
