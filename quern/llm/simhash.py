@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm._common import connected_components, drop_kept, lookup, rows_with, stash, table
+from quern.llm._common import BROADCAST_IDS, connected_components, drop_kept, lookup, rows_with, stash, table
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: The 64 bits in three segments, each decoded as a 23-bit word of the Golay code, padded with zeros.
@@ -24,7 +24,7 @@ BLOCK = 2048
 #: Rows of sorted keys that a task holds at a time, besides a bucket that is larger.
 HELD = 250_000
 #: About so many texts are read for shingles that many texts share; one in at least HOT of them is a hot one.
-SAMPLE, HOT = 20_000, 5
+SAMPLE, HOT = 5_000, 3
 #: Cells to which the rows of a hot shingle are dealt.
 CELLS = 64
 #: Bits of a set's parity.
@@ -220,9 +220,22 @@ def prefix(s: np.ndarray, similarity: float, hot: np.ndarray) -> tuple[np.ndarra
     return s[np.argsort(common, kind="stable")[:n]], min(n, int(len(s) - common.sum()))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """PARITY bits, each whether an odd number of elements falls on it: two sets differ in at least as many elements as bits."""
-    return np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bits, in bytes, each whether an odd number of elements falls on it: two sets differ in at least as many elements as bits."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def wide_parity(s: np.ndarray) -> bytes | None:
+    """The parity of a large set, with four to eight bits an element; None where PARITY bits are as many."""
+    bits = 1 << max(4 * len(s) - 1, 1).bit_length()
+    return parity(s, bits).tobytes() if bits > PARITY else None
+
+
+def fold(odd: np.ndarray, size: int) -> np.ndarray:
+    """The parity that half as many bits would have, and so on until there are ``size`` bytes."""
+    while len(odd) > size:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd
 
 
 def _shingles(k: int):
@@ -241,7 +254,7 @@ def _prefixes(k: int, similarity: float, hot):
         drop_kept()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                node, size, keys, cold, odd = [], [], [], [], []
+                node, size, keys, cold, odd, wide = [], [], [], [], [], []
                 for t in b.column("t")[at : at + 256]:
                     s = shingle_set(t.as_py(), k)
                     node.append(set_node(s))
@@ -249,8 +262,9 @@ def _prefixes(k: int, similarity: float, hot):
                     first, n = prefix(s, similarity, hot.value)
                     keys.append(first.view(np.int64))
                     cold.append(n)
-                    odd.append(parity(s))
-                yield pa.record_batch([b.column("id")[at : at + 256], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(odd, pa.binary())], ["id", "fp", "size", "keys", "cold", "odd"])
+                    odd.append(parity(s, PARITY).tobytes())
+                    wide.append(wide_parity(s))
+                yield pa.record_batch([b.column("id")[at : at + 256], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(cold, pa.int32()), pa.array(odd, pa.binary()), pa.array(wide, pa.binary()), b.column("row")[at : at + 256]], ["id", "fp", "size", "keys", "cold", "odd", "wide", "row"])
 
     return run
 
@@ -342,8 +356,15 @@ def _possible(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(b.num_rows, -1) for x in ("odd_a", "odd_b"))
-            size = b.column("size_a").to_numpy().astype(np.int64) + b.column("size_b").to_numpy()
-            yield b.select(["src", "dst"]).filter(pa.array(_differing(a, c) <= (1 - similarity) / (1 + similarity) * size + EPS))
+            most = (1 - similarity) / (1 + similarity) * (b.column("size_a").to_numpy().astype(np.int64) + b.column("size_b").to_numpy()) + EPS
+            ok = _differing(a, c) <= most
+            for k in np.flatnonzero(ok).tolist():
+                x, y = b.column("wide_a")[k], b.column("wide_b")[k]
+                if x.is_valid and y.is_valid:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                    least = min(len(x), len(y))
+                    ok[k] = np.bitwise_count(fold(x, least) ^ fold(y, least)).sum(dtype=np.int64) <= most[k]
+            yield b.select(["src", "dst"]).filter(pa.array(ok))
 
     return run
 
@@ -375,60 +396,77 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return both.filter("fp <> center").select(F.greatest("fp", "center").alias("src"), F.least("fp", "center").alias("dst")).distinct()
 
 
-def similar_links(base: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
+def similar_links(base: DataFrame, fps: DataFrame, src: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (src, dst) that connect all nodes whose shingle sets have that Jaccard similarity or more, and no others.
 
-    ``base`` has id, node (fp), size and prefix of each row of ``src``. Two such sets share an element of their prefixes.
-    First each node is paired with the centers of its cells, as many pairs as rows; those that parities allow are tried,
-    two for each node, and verified ones give components. A key whose nodes are all in one component is done. In
-    the others, nodes of different components are compared, and those that sizes, places and parities allow verified. So
-    no link between components is lost, and a group of copies makes no pairs of all its members.
+    ``base`` has id, node (fp), size and prefix of each row of ``src``, fps one row of it for each node. Two such sets
+    share an element of their prefixes. First each node is paired with the centers of its cells, as many pairs as rows;
+    of those that parities allow, two for each node are verified, which gives components. A key whose nodes are all in
+    one component is done, and of keys with the same nodes one is enough. In the others, nodes of different components
+    are compared, and those that sizes, places and parities allow are verified. So no link between components is lost, and a group of copies makes no pairs of all
+    its members.
     """
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if fps.count() < base.count():
+        base = base.join(fps.select("row"), "row", "left_semi")
     buckets = stash(_buckets(base))
-    known = buckets.select("fp").distinct()
-    sketch = stash(base.select("id", "fp", "size", "odd").join(known, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("odd").alias("odd")))
+    sketch = stash(base.select("id", "fp", "size", "odd", "wide").join(buckets.select("fp").distinct(), "fp", "left_semi"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        ends, total = _ends(pairs)
+        odd = stash(sketch.select("fp", "size", "odd", "wide").join(ends, "fp"))
+        for end, x in (("src", "a"), ("dst", "b")):
+            pairs = lookup(pairs, odd.withColumnsRenamed({"fp": end} | {c: f"{c}_{x}" for c in ("size", "odd", "wide")}), end, "inner", "n", total, salt="dst" if end == "src" else "src").drop("n")
+        return stash(pairs.mapInArrow(_possible(similarity), "src long, dst long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends, total = _ends(pairs)
-        ids = stash(sketch.join(ends, "fp").select("id"))
-        sets = rows_with(src, "id", ids, ids.count()).mapInArrow(_sets(k), "fp long, elements array<long>").groupBy("fp").agg(F.first("elements").alias("elements"))
+        ids = stash(sketch.join(ends, "fp").select("id").distinct())
+        n = ids.count()
+        sets = rows_with(src, "id", ids, n).mapInArrow(_sets(k), "fp long, elements array<long>")
+        if not src.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").groupBy("id").count().filter("count > 1").isEmpty():
+            sets = sets.groupBy("fp").agg(F.first("elements").alias("elements"))
         sets = stash(sets.join(ends, "fp").select("fp", "elements", "n"))
         one = lookup(pairs, sets.withColumnsRenamed({"fp": "src", "elements": "a"}), "src", "inner", "n", total, salt="dst").drop("n")
         two = lookup(one, sets.withColumnsRenamed({"fp": "dst", "elements": "b"}), "dst", "inner", "n", total, salt="src").drop("n")
         both = F.size(F.array_intersect("a", "b"))
         return stash(two.filter(both >= similarity * (F.size("a") + F.size("b") - both) - EPS).select("src", "dst"))
 
-    stars = stash(_stars(buckets))
-    ends, total = _ends(stars)
-    odd = stash(sketch.select("fp", "size", "odd").join(ends, "fp"))
-    for end, x in (("src", "a"), ("dst", "b")):
-        stars = lookup(stars, odd.withColumnsRenamed({"fp": end, "size": f"size_{x}", "odd": f"odd_{x}"}), end, "inner", "n", total).drop("n")
-    stars = stash(stars.select("src", "dst", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(_possible(similarity), "src long, dst long"))
+    stars = possible(stash(_stars(buckets)))
     other = F.struct(F.xxhash64("src", "dst").alias("h"), "src", "dst")
     picked = stars.select(F.explode(F.array("src", "dst")).alias("fp"), other.alias("p")).groupBy("fp").agg(F.min("p").alias("p"), F.max("p").alias("q"))
     near = verified(stash(picked.select(F.explode(F.array("p", "q")).alias("p")).select("p.src", "p.dst").distinct()))
     comp = stash(connected_components(near).withColumnRenamed("component", "c"))
-    joined = stash(buckets.join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "size", "rank", F.coalesce("c", "fp").alias("c")))
-    open_ = stash(joined.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key", "n"))
     links = comp.select(F.col("node").alias("src"), F.col("c").alias("dst")).filter("src <> dst")
+    joined = stash(buckets.join(_few(comp), F.col("fp") == F.col("node"), "left").select("key", "cell", "fp", "size", "rank", F.coalesce("c", "fp").alias("c")))
+    marks = [F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = joined.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *marks, F.max("cell").alias("cell")).filter("lo <> hi")
+    # of keys with the same nodes the first in the order of all sets: two nodes that have one have all
+    order = F.struct(F.col("cell") > 0, F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), "key")
+    open_ = stash(groups.groupBy("n", "lo", "hi", "x1", "x2").agg(F.min(order).alias("first")).select("first.key", "n"))
     if open_.isEmpty():
         return links
-    rows = lookup(joined, open_, "key", "inner", "n", joined.count()).drop("n")
-    rows = stash(rows.dropDuplicates(["key", "fp"]).join(sketch.select("fp", "odd"), "fp").select("key", "fp", "size", "rank", "c", "odd"))
+    rows = joined.drop("cell").join(_few(open_.select("key")), "key") if open_.count() <= BROADCAST_IDS else lookup(joined.drop("cell"), open_, "key", "inner", "n", joined.count()).drop("n")
+    rows = stash(rows.join(sketch.select("fp", "odd"), "fp").select("key", "fp", "size", "rank", "c", "odd"))
     cross = _dealt(rows).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cross(similarity), "src long, dst long")
-    return links.unionByName(verified(stash(cross.distinct())))
+    return links.unionByName(verified(possible(stash(cross.distinct()))))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few enough rows of a few numbers."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
     Two rows are linked if their fingerprints differ in four bits or fewer; component_id is the smallest id that links
-    reach. Rows of equal fingerprint are one node, so copies make no pairs. Null and empty texts have fingerprint zero
+    reach. Ids are longs, or cast to them. Rows of equal fingerprint are one node, so copies make no pairs. A very long
+    text is fingerprinted whole, 65,536 shingles at a time. Null and empty texts have fingerprint zero
     and are linked like others; a null id never is a component's id unless all its ids are null; repeated rows are
     returned each; other columns are ignored; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = stash(src.mapInArrow(_fingerprints, "id long, fp long"))
     fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     out = _components(base, fps, links(fps.select("fp")))
@@ -442,15 +480,16 @@ def similar_groups(docs: DataFrame, shingle: int, similarity: float, id_col: str
     other only. Ids, repeated rows and empty tables are treated as in near_groups.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     share = min(1.0, SAMPLE / max(1, src.count()))
     some = src.filter(F.pmod(F.xxhash64("t", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("t")
     # at most a HOT-th of the sampled shingles
     hot = some.mapInArrow(_shingles(shingle), "key long").groupBy("key").count().filter(F.col("count") >= HOT).select("key").collect()
     hot = spark.sparkContext.broadcast(np.array(sorted(r["key"] for r in hot), np.int64).view(np.uint64))
-    base = stash(src.mapInArrow(_prefixes(shingle, similarity, hot), "id long, fp long, size int, keys array<long>, cold int, odd binary"))
-    fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    out = _components(base.select("id", "fp"), fps, similar_links(base, src, shingle, similarity))
+    numbered = src.withColumn("row", F.monotonically_increasing_id())
+    base = stash(numbered.mapInArrow(_prefixes(shingle, similarity, hot), "id long, fp long, size int, keys array<long>, cold int, odd binary, wide binary, row long"))
+    fps = stash(base.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("row")))
+    out = _components(base.select("id", "fp"), fps.drop("row"), similar_links(base, fps, src, shingle, similarity))
     return out.select(F.col("id").alias(id_col), "component_id")
 
 

@@ -171,6 +171,26 @@ def test_shards_are_even_and_gapless(spark, n):
     assert max(size.values()) - min(size.values()) <= 2 * 5001
 
 
+def test_shards_of_hot_group_are_exact(monkeypatch, spark):
+    """Brute force: the order and the targets; two thirds of the rows are one text, ids are of any spread."""
+    monkeypatch.setattr(sharding, "ROWS_PER_TASK", 7)
+    rng = random.Random(4)
+    ids = [9223372036854775807, -9223372036854775808, 0, -1, None, None] + [rng.randrange(-(1 << 63), 1 << 63) for _ in range(594)]
+    rows = [(i, "the same text" if k % 3 else rng.choice([None, "", f"t{k}" * rng.randint(1, 30)]), k) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _slot int").coalesce(1)
+    got = sharding.histogram_shards(df, 5)
+    assert got.columns == ["doc_id", "text", "_size", "_shard", "_slot"]
+    order = sorted(rows, key=lambda r: (int(hashlib.md5((r[1] or "").encode()).hexdigest()[:15], 16), r[0] is not None, r[0] or 0, r[2]))
+    total, before, want, slots = sum(len(t or "") + 1 for _, t, _ in rows), 0, [], Counter()
+    for i, t, _ in order:
+        shard = sum(before >= total * k // 5 for k in range(1, 5))
+        want.append((i, t, len(t or "") + 1, shard, slots[shard]))
+        slots[shard] += 1
+        before += len(t or "") + 1
+    key = lambda r: (r[3], r[4])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_packing_holds_every_token_once(spark):
     import tokenizers
 
@@ -291,6 +311,54 @@ def test_similar_documents_are_dropped(monkeypatch, spark):
     assert simhash.drop_near_copies(none, shingle=5, similarity=0.8).count() == 0
 
 
+def test_cross_pairs_and_parities():
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, int(rng.choice([5, 40, 300, 2000]))).astype(np.uint64)
+        for _ in range(3):
+            keep = rng.random(len(base)) > rng.choice([0.02, 0.15])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 62, int((~keep).sum() // 2)).astype(np.uint64)])))
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    key, node, size, rank, odd = [], [], [], [], []
+    for k, s in enumerate(sets):
+        first, cold = simhash.prefix(s, 0.8, np.array([], np.uint64))
+        assert cold == len(first)
+        for r, x in enumerate(first.tolist()):
+            key.append(x)
+            node.append(k)
+            size.append(len(s))
+            rank.append(r)
+            odd.append(np.frombuffer(simhash.parity(s, simhash.PARITY).tobytes(), np.uint64))
+    order = np.argsort(key, kind="stable")
+    cols = [np.array(c)[order] for c in (key, node, size, rank)]
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(alike) > 20
+    for comp in (np.arange(len(sets)), np.arange(len(sets)) // 3 * 3, np.arange(len(sets)) % 2, np.where(np.arange(len(sets)) % 3 < 2, np.arange(len(sets)) // 3 * 3, np.arange(len(sets)))):
+        got = {tuple(p) for x in simhash.cross_pairs(*cols, comp[cols[1]], np.array(odd)[order], 0.8) for p in x.tolist()}
+        assert {p for p in alike if comp[p[0]] != comp[p[1]]} <= got and all(comp[i] != comp[j] for i, j in got)
+    for i, j in alike:
+        a, b = (simhash.wide_parity(sets[x]) or simhash.parity(sets[x], simhash.PARITY).tobytes() for x in (i, j))
+        n = min(len(a), len(b))
+        assert np.bitwise_count(simhash.fold(np.frombuffer(a, np.uint8), n) ^ simhash.fold(np.frombuffer(b, np.uint8), n)).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"x{k}"
+        docs.append((k, " ".join(w), "s"))
+    docs += [(1000 + k, f"lone {k} " + " ".join(f"{k}y{j}" for j in range(30)), "s") for k in range(20)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _ in docs)]
+    want = {docs[k][0] for k in _least_of_groups([[len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets] for a in sets])}
+    got = {r["doc_id"] for r in simhash.drop_near_copies(frame(spark, docs), shingle=5, similarity=0.8).collect()}
+    assert got == want
+
+
 def _least_of_groups(linked):
     kept, seen = set(), set()
     for k in range(len(linked)):
