@@ -21,6 +21,8 @@ FILTER, LEAST_BITS, MOST_BITS, PROBES = 64, 1 << 16, 1 << 28, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated if so much of an item's words are matched, and of the aligned columns are matches.
 COVERAGE, IDENTITY = 0.6, 0.6
+#: Words that must be matched at least; an item of fewer words must be matched whole.
+LEAST = 4
 #: Cells of an alignment that a task holds; a larger one is done in a band of BAND words at both sides of a seed's diagonal.
 CELLS, BAND = 4_000_000, 512
 WORD = re.compile(r"[^\W_]+")
@@ -47,7 +49,7 @@ def grams(w: np.ndarray, n: int) -> np.ndarray:
 
 
 def seeds_of(w: np.ndarray) -> np.ndarray:
-    """The seeds of an item: all its runs of SEED words, or the whole of a shorter one, which must be matched whole."""
+    """The seeds of an item: all its runs of SEED words, or the whole of a shorter one."""
     return grams(w, min(SEED, len(w)))
 
 
@@ -178,10 +180,10 @@ def copies(item: np.ndarray, window: np.ndarray, diagonals: np.ndarray) -> Itera
         score, matched, columns, a, b = got
         if not score:
             continue
-        if matched >= COVERAGE * n and matched >= IDENTITY * columns and (n >= SEED or matched == n):
+        if matched >= max(COVERAGE * n, min(n, LEAST)) and matched >= IDENTITY * columns:
             yield score, matched, columns, lo + a, lo + b
             todo += [(lo, lo + a), (lo + b, hi)]
-        elif matched < COVERAGE * n and (lo, hi) != (lo + a, lo + b):  # the best is no copy, another one could be
+        elif (lo, hi) != (lo + a, lo + b):  # the best is no copy, another one could be
             todo += [x for x in ((lo, lo + a), (lo + b, hi)) if x[1] - x[0] >= COVERAGE * n]
 
 
@@ -211,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A passage that holds several copies has a row for each, which don't overlap; of alignments with equal scores the
     one that ends first counts.
 
-    Null and empty texts and items match nothing; items shorter than a seed must be matched whole; an item whose
+    Null and empty texts and items match nothing; items shorter than LEAST words must be matched whole; an item whose
     alignment with a passage has over CELLS cells is aligned in bands around its seeds, so that memory grows with its
     length only; null ids and repeated rows have rows of their own; other columns are ignored; an empty table on either
     side gives no rows.

@@ -44,11 +44,20 @@ def test_stages(spark):
     assert ids[2] == set(least.values())
     sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := _low(text[i]).split()) else set() for i in ids[2]}
     assert ids[3] == set(_components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9).values())
-    bad = {r["doc_id"] for r in decontaminate.contaminated(steps[3], table(spark, SF, "benchmark")).collect()}
-    assert ids[4] == ids[3] - bad and ids[5] == ids[4]
+    items = [decontaminate.word_numbers(r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    bad = {i for i in ids[3] if any(_copied(w, decontaminate.word_numbers(text[i])) for w in items if len(w))}
+    assert bad and ids[4] == ids[3] - bad and ids[5] == ids[4]
     assert corpus_pipeline.run(spark, SF).count() == steps[-1].count() == packing.mixture_packed(steps[4]).count()
 
 
+def _copied(item, words):
+    """Whether the best alignment of the item with the whole document is a copy: by Smith-Waterman without seeds."""
+    if not len(words):
+        return False
+    _, matched, columns, _, _ = decontaminate.align(item, words)
+    return matched >= max(0.6 * len(item), min(4, len(item))) and matched >= 0.6 * columns
+
+
 def _norm(t):
     import re
 

@@ -132,7 +132,7 @@ def brute_contaminated(doc, item):
     if not len(w) or not len(d):
         return False
     _, matched, columns, _, _ = decontaminate.align(w, d)
-    return matched >= decontaminate.COVERAGE * len(w) and matched >= decontaminate.IDENTITY * columns and (len(w) >= decontaminate.SEED or matched == len(w))
+    return matched >= max(0.6 * len(w), min(4, len(w))) and matched >= 0.6 * columns
 
 
 def seeded(doc, item):
