@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds at least 1/HOT_SHARE of all rows is "hot"; at most HOT_SHARE keys can, so a table of them is bounded.
 HOT_SHARE = 1000
+#: Rows below which no key is hot, however few there are in all.
+LEAST_HOT = 256
 #: Rows of a table of a few numbers that is broadcast whole.
 SMALL = 100_000
 #: Copies of a hot row that is too large to broadcast.
@@ -108,7 +110,7 @@ def fresh() -> str:
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total: int, salt: str = "") -> DataFrame:
     """Join ``rows`` with ``table``, which has one row per ``key`` and in column ``n`` how many of the ``total`` rows have that key.
 
-    Keys of at least total/HOT_SHARE rows (at most HOT_SHARE keys) are joined by broadcast, so that no task gets all
+    Keys of at least total/HOT_SHARE rows (at most HOT_SHARE keys), and LEAST_HOT, are joined by broadcast, so that no task gets all
     rows of a hot key; the others by a shuffle in which no key exceeds that share. Where rows of the table have no bound
     of size, ``salt`` names a column of ``rows``: hot keys are then joined by a shuffle too, dealt by it to SALTS copies
     of the table's row. A table of at most SMALL rows is broadcast whole otherwise. ``how`` is inner or left; null keys
@@ -116,7 +118,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, how: str, n: str, total:
     """
     if not salt and table.count() <= SMALL:
         return rows.join(F.broadcast(table), key, how)
-    least = max(total // HOT_SHARE, 2)
+    least = max(total // HOT_SHARE, LEAST_HOT)
     hot, cold = table.filter(F.col(n) >= least), table.filter(F.col(n) < least)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     if not salt:

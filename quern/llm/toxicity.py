@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Cha
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
-        for b in batches:
+        for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             yield pa.record_batch([b.column("id"), b.column("fold"), b.column("y"), pa.array([[k for w in ws if (k := get(w)) is not None] for ws in b.column("words").to_pylist()], pa.list_(pa.int32()))], ["id", "fold", "y", "cols"])
 
     got = rows.mapInArrow(some, "id long, fold int, y array<int>, cols array<int>").toArrow().sort_by("id").combine_chunks()
