@@ -9,11 +9,20 @@ class Refused(Exception):
     """What a call returns as its error."""
 
 
+def copied(x):
+    """A deep copy of plain data."""
+    if type(x) is dict:
+        return {k: copied(v) for k, v in x.items()}
+    if type(x) is list:
+        return [copied(v) for v in x]
+    return x if type(x) in (str, int, float, bool, type(None)) else copy.deepcopy(x)
+
+
 class Tool:
     DEFAULT: dict = {}
 
     def __init__(self, config: dict | None = None):
-        self.state = copy.deepcopy(self.DEFAULT) | copy.deepcopy({k: v for k, v in (config or {}).items() if k in self.DEFAULT})
+        self.state = copied(self.DEFAULT) | copied({k: v for k, v in (config or {}).items() if k in self.DEFAULT})
         self._setup(config or {})
 
     def _setup(self, config: dict) -> None:

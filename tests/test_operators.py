@@ -189,3 +189,40 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.shared_folder(Elsewhere)
     assert session.shared_folder(spark)
+
+
+def test_equal_rows_share_one_call(spark):
+    import pyarrow as pa
+
+    from quern.operators import decoding
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(x, y):
+        calls.add(1)
+        return {"x": x, "n": len(y)}
+
+    one = decoding.rowwise(f, "struct<x:bigint,n:bigint>", pa.struct([("x", pa.int64()), ("n", pa.int64())]))
+    rows = [(k, k % 3 or None, ["a"] * (k % 2)) for k in range(600)]
+    df = spark.createDataFrame(rows, "k long, x long, y array<string>").coalesce(1)
+    got = df.select("k", "x", "y", one(F.col("x"), F.col("y")).alias("r")).collect()
+    assert all((r["r"] is None) if r["x"] is None else (r["r"]["x"], r["r"]["n"]) == (r["x"], len(r["y"])) for r in got) and len(got) == 600
+    assert calls.value == 4
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path):
+    from quern.session import spread
+
+    spark.range(200_000).selectExpr("id", "md5(cast(id as string)) AS t").coalesce(1).write.parquet(f"file:{tmp_path}/x")
+    df = spark.read.parquet(f"file:{tmp_path}/x")
+    assert spread(df, 1 << 20).rdd.getNumPartitions() > spread(df, 1 << 30).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df, 1 << 20).agg(F.sum("id")).head()[0] == 199_999 * 100_000
+
+
+def test_one_replay_gives_outcomes_and_state(spark):
+    from quern.operators import decoding as D
+
+    calls = F.array(F.lit("fillFuelTank(fuelAmount=3)"), F.lit("nothing()"))
+    config = F.lit('{"vehicle": {"fuelLevel": 5.0}}')
+    r = spark.range(1).select(D.replayed_with_state(["vehicle"], config, calls).alias("r"), D.replayed(["vehicle"], config, calls).alias("o"), D.state_after(["vehicle"], config, calls).alias("s")).head()
+    assert (r["r"]["outcomes"], r["r"]["state"]) == (r["o"], r["s"]) and '"fuelLevel": 8.0' in r["s"]
