@@ -244,3 +244,46 @@ def test_wires():
         W.decode_wire('{"name": "f", "arguments": [1]}', "name_arguments")
     assert W.decode_wire("nothing", "toolcall_block") == [] and W.decode_wire("not json", "name_arguments_or_nothing") == []
     assert W.decode_wire("[f(a=1)]", "fenced_code") == [{"f": {"a": 1}}] and W.decode_wire("f", "name_line") == [{"f": {}}]
+
+
+def test_plain_calls_read_like_pythons():
+    import random
+
+    from quern.functions import calls as C
+
+    rng = random.Random(5)
+    pieces = "f g.h ( ) [ ] { } , = : ' \" 1 -2 3.5 00 1. True None class a= b= 'it' \"q\" '' \\ \n # + 1e3 [1] {1:2} {'a':[1,(2,3)]} (1) (1,2) f(a=1) g()".split(" ")
+
+    def outcome(read, text):
+        try:
+            return repr(read(text))
+        except (ValueError, SyntaxError) as e:
+            return type(e).__name__
+
+    plain = 0
+    for k in range(20_000):
+        text = "".join(rng.choice(pieces) + rng.choice(("", " ")) for _ in range(rng.randint(1, 8)))
+        text = f"f({rng.choice('ab')}={text}, c=1)" if k % 2 else f"[f(a={text}), g()]"
+        assert outcome(C.python, text) == outcome(lambda t: C.parsed(t.strip().strip("'")), text), text
+        try:
+            plain += bool(C._plain(text))
+        except C._NotPlain:
+            pass
+    assert plain > 500
+    assert C.literal("{'a': [1, (2, -3.5)], 'b': None}") == {"a": [1, (2, -3.5)], "b": None}
+
+
+def test_java_arguments_are_found_in_one_scan():
+    import time
+
+    from quern.functions import calls as C
+
+    text = "m.f(" + ", ".join(f'a{k}=new Box<String, Integer>("x, (", {k})' for k in range(300)) + ")"
+    assert C.java(text)[0]["m.f"]["a7"] == 'new Box<String,Integer>("x, (", 7)'
+    assert C._arguments("f(a, g(b, c), 'x,)') y", 1, True) == (["a", "g(b, c)", "'x,)'"], 19)
+    for bad in ("m.f(a=1]", "m.f(a='1)", "m.f(a=(1)", "m.f(a=1))"):
+        with pytest.raises(ValueError):
+            C.java(bad)
+    started = time.process_time()
+    C.java("m.f(v=" + "a / " * 20_000 + "b)")  # what is before a slash is not copied
+    assert time.process_time() - started < 2
