@@ -226,3 +226,41 @@ def test_one_replay_gives_outcomes_and_state(spark):
     config = F.lit('{"vehicle": {"fuelLevel": 5.0}}')
     r = spark.range(1).select(D.replayed_with_state(["vehicle"], config, calls).alias("r"), D.replayed(["vehicle"], config, calls).alias("o"), D.state_after(["vehicle"], config, calls).alias("s")).head()
     assert (r["r"]["outcomes"], r["r"]["state"]) == (r["o"], r["s"]) and '"fuelLevel": 8.0' in r["s"]
+
+
+def test_a_stream_reads_a_folder_of_files(spark, tmp_path):
+    from quern.streaming import feed
+
+    spark.range(10).selectExpr("id AS doc_id", "'a b c' AS text").repartition(3).write.parquet(f"file:{tmp_path}/documents.parquet")
+    docs = feed.files(spark, f"file:{tmp_path}", "documents.parquet", "doc_id long, text string")
+    got = feed.drained(feed.token_steps(docs, "doc_id"))
+    assert sorted((r["doc_id"], r["step"], r["delta"]) for r in got.collect()) == [x for k in range(10) for x in ((k, 0, "a b"), (k, 1, " c"))]
+
+
+def test_a_job_holds_no_rows_after_its_end(spark, tmp_path):
+    """50,000 ends of one job, in batches of 100 rows: the Python process never holds them all."""
+    from quern.streaming import feed
+
+    rows = spark.range(50_000).selectExpr("9L AS job", "cast(id AS int) AS seq", "CASE WHEN id = 3 OR id > 100 THEN '' ELSE cast(id AS string) END AS text", "timestamp'2024-01-01' AS ts")
+    rows.repartition(1).write.parquet(f"file:{tmp_path}/x.parquet")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = feed.drained(feed.timed_out(feed.files(spark, f"file:{tmp_path}", "x.parquet", "job long, seq int, text string, ts timestamp")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert [(r["job"], r["text"], r["n"], r["complete"]) for r in got.collect()] == [(9, "012", 3, True)]
+
+
+def test_str_tokens_of_a_folder_with_null_and_empty_texts(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import ORACLE_SQL, QUERIES
+
+    rows = [(1, "a b c"), (2, None), (3, ""), (4, " x  y "), (5, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars").repartition(2).write.parquet(f"file:{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["str_tokens"]).fetchall()
+    got = QUERIES["str_tokens"](spark, str(tmp_path)).select("doc_id", "steps", "first", "last", "whole").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
