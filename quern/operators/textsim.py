@@ -1,7 +1,8 @@
-"""BLEU and its parts over any number of pairs: n-grams are counted by aggregation, never pair by pair on a driver."""
+"""BLEU and its parts over any number of pairs: a pair's n-grams are counted where its row is, never on a driver."""
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
@@ -19,34 +20,81 @@ def grams(tokens: Column, n: int, left: str | None = None, right: str | None = N
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-#: Tokens of a hypothesis up to which a reference's n-grams are looked up in its own before they are counted.
-SHORT = 100
+def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int) -> DataFrame:
+    """(keys, n, gram, c) of the n-grams up to ``most``."""
+    every = F.concat(*[F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)])
+    return df.select(*keys, F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("c"))
+
 
+def clipped(refs: list[list[str] | None], hyp: list[str] | None, most: int = 4) -> list[dict]:
+    """(matched, total) of the n-grams of ``hyp`` for n from 1: each counts at most as often as in the reference that has
+    it most often.
 
-def _counted(df: DataFrame, keys: list[str], tokens: Column, most: int, own: str | None = None) -> DataFrame:
-    """(keys, n, gram, c) of the n-grams up to ``most``; only those of the arrays ``own`` (1, 2, ...), where there is one,
-    so that a long reference's others are not dealt at all."""
+    Of a reference only runs of tokens that the hypothesis has are cut into n-grams, so a long one costs one look at each
+    of its tokens.
+    """
+    hyp = hyp or []
+    known = set(hyp)
+    own = [Counter(zip(*(hyp[k:] for k in range(n)))) for n in range(1, most + 1)]
+    best: list[dict] = [{} for _ in own]
+    for ref in refs:
+        seen: list[dict] = [{} for _ in own]
+        run: list[str] = []
+        for w in (*ref, None) if ref else ():
+            if w is not None and w in known:
+                run.append(w)
+                continue
+            for n in range(1, min(most, len(run)) + 1):
+                counts, wanted = seen[n - 1], own[n - 1]
+                for g in zip(*(run[k:] for k in range(n))):
+                    if g in wanted:
+                        counts[g] = counts.get(g, 0) + 1
+            run = []
+        for counts, most_often in zip(seen, best):
+            for g, c in counts.items():
+                if c > most_often.get(g, 0):
+                    most_often[g] = c
+    return [{"matched": sum(min(c, r.get(g, 0)) for g, c in o.items()), "total": max(sum(o.values()), 1)} for o, r in zip(own, best)]
+
+
+ROWS_AT_ONCE = 256
+
+
+def _dealt(values: list, a: pa.Array) -> list:
+    """``values`` cut into the lists of an array of lists; None for a null."""
+    out, at = [], 0
+    for n in a.value_lengths().to_pylist():
+        out.append(None if n is None else values[at : at + n])
+        at += n or 0
+    return out
+
+
+def _tokens(a: pa.Array) -> list:
+    return _dealt(a.flatten().to_numpy(zero_copy_only=False).tolist(), a)
+
+
+def counted(pairs: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, h, r, parts): lengths of the hypothesis and its nearest reference, and clipped() as an array, pair by pair.
+
+    All of a pair is in its row, so nothing is shuffled; tokens of ROWS_AT_ONCE rows are held at a time.
+    """
+    kind = pa.list_(pa.struct([("matched", pa.int64()), ("total", pa.int64())]))
 
-    def sized(n: int) -> Column:
-        every = grams(tokens, n)
-        if own:
-            every = F.when(F.col(f"{own}{n}").isNotNull(), F.filter(every, lambda g: F.array_contains(f"{own}{n}", g))).otherwise(every)
-        return F.transform(every, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    @F.arrow_udf("array<struct<matched:bigint,total:bigint>>")
+    def parts(refs: pa.Array, hyp: pa.Array) -> pa.Array:
+        out: list = []
+        for at in range(0, len(hyp), ROWS_AT_ONCE):
+            r = refs.slice(at, ROWS_AT_ONCE)
+            out += [clipped(x or [], h, most) for x, h in zip(_dealt(_tokens(r.flatten()), r), _tokens(hyp.slice(at, ROWS_AT_ONCE)))]
+        return pa.array(out, kind)
 
-    every = F.concat(*[sized(n) for n in range(1, most + 1)])
-    return df.select(*keys, F.explode(every).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("c"))
+    return pairs.select(key, F.size("hyp").alias("h"), closest_length(F.col("refs"), F.col("hyp")).alias("r"), parts("refs", "hyp").alias("parts"))
 
 
 def precisions(pairs: DataFrame, key: str = "pair_id", most: int = 4) -> DataFrame:
     """(key, n, matched, total) of pairs (key, refs, hyp): matches clipped to the reference that has a gram most often."""
-    own = _counted(pairs.select(key, "hyp"), [key], F.col("hyp"), most)
-    # the n-grams of a hypothesis are made once, below the row for each reference
-    short = [F.when(F.size("hyp") <= SHORT, F.array_distinct(grams(F.col("hyp"), n))).alias(f"_own{n}") for n in range(1, most + 1)]
-    refs = pairs.select(key, *short, "refs").select(key, *[f"_own{n}" for n in range(1, most + 1)], F.posexplode("refs").alias("_ref", "_tokens"))
-    best = _counted(refs, [key, "_ref"], F.col("_tokens"), most, "_own").groupBy(key, "n", "gram").agg(F.max("c").alias("r"))
-    part = own.join(best, [key, "n", "gram"], "left").groupBy(key, "n").agg(F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("matched"), F.sum("c").alias("total"))
-    full = pairs.select(key, F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
-    return full.join(part, [key, "n"], "left").select(key, "n", F.coalesce("matched", F.lit(0)).alias("matched"), F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).alias("total"))
+    x = counted(pairs, key, most).select(key, F.posexplode("parts").alias("n", "p"))
+    return x.select(key, (F.col("n") + 1).alias("n"), F.col("p.matched").alias("matched"), F.col("p.total").alias("total"))
 
 
 def closest_length(refs: Column, hyp: Column) -> Column:
@@ -78,13 +126,11 @@ def bleu(pairs: DataFrame, method: int = 1, weights: tuple[float, ...] = (0.25,)
     if method > 4:
         one = rowwise(lambda r, h: S.bleu([(r, h)], weights, method), "double", pa.float64())
         return pairs.select(key, one("refs", "hyp").alias("bleu"))
-    p = precisions(pairs, key, len(weights))
-    lengths = pairs.select(key, F.size("hyp").alias("h"), closest_length(F.col("refs"), F.col("hyp")).alias("r"))
+    x = counted(pairs, key, len(weights))
+    each = [F.col("parts")[n - 1][c].alias(f"{c[0]}{n}") for n in range(1, len(weights) + 1) for c in ("matched", "total")]
+    x = x.select(key, "h", "r", *each)
     if corpus:
-        p = p.groupBy("n").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total")).withColumn(key, F.lit(0))
-        lengths = lengths.agg(F.sum("h").alias("h"), F.sum("r").alias("r")).withColumn(key, F.lit(0))
-    by_n = p.groupBy(key).agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c[0]}{n}") for n in range(1, len(weights) + 1) for c in ("matched", "total")])
-    x = by_n.join(lengths, key)
+        x = x.agg(*[F.sum(c).alias(c) for c in x.columns if c != key])
     m = lambda n: F.col(f"m{n}")
     zeros = lambda n: reduce(lambda a, b: a + b, [(m(k) == 0).cast("int") for k in range(1, n + 1)])
     logs = [w * F.log(_smoothed(F.lit(n), m(n), F.col(f"t{n}"), method, zeros(n), F.col("h"))) for n, w in enumerate(weights, 1)]

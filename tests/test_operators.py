@@ -264,3 +264,15 @@ def test_str_tokens_of_a_folder_with_null_and_empty_texts(spark, tmp_path):
     want = con.execute(ORACLE_SQL["str_tokens"]).fetchall()
     got = QUERIES["str_tokens"](spark, str(tmp_path)).select("doc_id", "steps", "first", "last", "whole").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_bleu_counts_pairs_in_their_rows(spark):
+    refs = [["a", "b", "a", "b"], None, ["x"] * 50 + ["a", "b", "c"]]
+    rows = [(1, refs, ["a", "b", "c", "a", "a"]), (2, [None], ["a"]), (3, [["a"]], None), (4, [], []), (5, [["a"], ["a", "a"]], ["a", "a", "a"])]
+    df = spark.createDataFrame(rows, "pair_id int, refs array<array<string>>, hyp array<string>")
+    x = textsim.precisions(df)
+    assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+    got = {(r["pair_id"], r["n"]): (r["matched"], r["total"]) for r in x.collect()}
+    assert len(got) == 20
+    assert [got[1, n] for n in (1, 2, 3, 4)] == [(4, 5), (2, 4), (1, 3), (0, 2)]
+    assert [got[2, 1], got[3, 1], got[4, 1], got[5, 1], got[5, 2], got[5, 4]] == [(0, 1), (0, 1), (0, 1), (2, 3), (1, 2), (0, 1)]
