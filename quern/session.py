@@ -41,6 +41,13 @@ def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     return df.repartition(max(n, -(-size // task_bytes)))
 
 
+def parts_of(source: DataFrame, part_bytes: int = 4 * TASK_BYTES) -> int:
+    """As many partitions as a table has ``part_bytes``, or Spark's number if that is more or the size can't be told: in
+    so many, what a partition holds of the table's rows doesn't grow with it."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes) if size < 1 << 50 else 0)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read again: what it holds no longer depends on replanning."""
     spark = df.sparkSession

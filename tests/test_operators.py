@@ -178,6 +178,44 @@ def test_bm25_plus_answers_unknown_words(spark):
         assert [(r["query_id"], r["doc_id"]) for r in got if r["query_id"] == 2] == [(2, 0), (2, 1)] and len(got) == 4
 
 
+def test_bm25_prefers_no_match_to_a_negative_one(spark):
+    """Words that most documents have weigh less than nothing, if most words are such; beyond the first documents too."""
+    from quern.operators import retrieval
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a c"] * 5 + ["d"])], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    assert [(r["doc_id"], r["score"]) for r in retrieval.bm25(docs, asked, 1).collect()] == [(5, 0.0)]
+
+
+def test_bm25_writes_no_pairs_of_queries_and_documents(spark, monkeypatch):
+    from quern.operators import retrieval
+
+    written, write = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df: written.append(write(df)) or written[-1])
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("x y w"), F.col("id") % 7).alias("text"))
+    asked = spark.range(30).select(F.col("id").alias("query_id"), F.concat(F.lit("x w"), F.col("id") % 7).alias("text"))
+    for plus in (False, True):
+        got = retrieval.bm25(docs, asked, 3, plus).collect()
+        assert len(got) == 90 and all(r["doc_id"] == r["query_id"] % 7 + 7 * (r["rank"] - 1) for r in got)
+    assert max(t.count() for t in written) < 200
+
+
+def test_bm25_in_parts(spark, monkeypatch):
+    """Queries, matrices, texts and documents in parts of any size, and ids that are texts, give the same hits."""
+    from quern.operators import retrieval
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefg") + rng.choice("hi_J") for _ in range(rng.randint(0, 9)))
+    docs = spark.createDataFrame([(f"d{k:03}", text() if k % 9 else None) for k in range(90)], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(f"q{k}", text()) for k in range(20)] + [("none", None)], "query_id string, text string")
+    for plus in (False, True):
+        whole = sorted(tuple(r) for r in retrieval.bm25(docs, asked, 4, plus).collect())
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "MATRIX_CELLS", 40)
+            m.setattr(retrieval, "SLICE_BYTES", 50)
+            assert sorted(tuple(r) for r in retrieval.bm25(docs, asked, 4, plus, block=9).collect()) == whole and len(whole) == 84
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from quern import session
 
