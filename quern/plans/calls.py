@@ -190,12 +190,9 @@ def dec_vendor(t):
         "tool_call_lines": f"<tool_call>\n{one}\n</tool_call> and <tool_call>\n{two}\n</tool_call>", "tool_call_pipes": f"<|tool_call|>[{one}]<|/tool_call|><|tool_call|>{two}",
         "tool_call_rest": f"<tool_call>[{one}]", "tool_calls_block": "<tool_calls>\n[" + one.replace('"', "'") + "]\n</tool_calls>",
     }
-    out = None
-    for style, text in texts.items():
-        x = told(t, filled(text)).select("event_id", F.lit(style).alias("style"), D.decoded_style(F.col("text"), style).alias("c"))
-        x = x.select("event_id", "style", F.explode("c.calls").alias("c")).select("event_id", "style", F.col("c.name").alias("name"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    named = lambda style, text: F.transform(D.decoded_style(text_of(filled(text)), style)["calls"], lambda c: F.struct(F.lit(style).alias("style"), c["name"].alias("name")))
+    x = spread(t.events).select("event_id", F.explode(F.concat(*[named(style, text) for style, text in texts.items()])).alias("c"))
+    return x.select("event_id", "c.*")
 
 
 @query("txt_calls", f"SELECT event_id, [event_type || '(a=' || user_id || ', b=''x y'', c={{''k'': ' || {K} || '}}, d=g(h=[1, ''z'']))', 'stop()'] AS source FROM events")

@@ -216,6 +216,38 @@ def test_bm25_in_parts(spark, monkeypatch):
             assert sorted(tuple(r) for r in retrieval.bm25(docs, asked, 4, plus, block=9).collect()) == whole and len(whole) == 84
 
 
+def test_equal_rows_of_batches_share_a_call(spark, monkeypatch):
+    """Within a task's memory, and with the right rows where it overflows; nulls give null."""
+    import pyarrow as pa
+
+    from quern.operators import decoding
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def one(*x):
+        calls.add(1)
+        return "-".join(map(str, x))
+
+    monkeypatch.setattr(decoding, "REMEMBERED", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for m in (10, 300):
+            before = calls.value
+            df = spark.range(0, 400, 1, 1).select("id", F.when(F.col("id") % 9 > 0, (F.col("id") % m).cast("string")).alias("s"), (F.col("id") % m).alias("n"))
+            got = df.select("id", decoding.rowwise(one, "string", pa.string())("s").alias("a"), decoding.rowwise(one, "string", pa.string())("s", "n").alias("b")).collect()
+            assert all((r["a"], r["b"]) == ((str(r["id"] % m), f"{r['id'] % m}-{r['id'] % m}") if r["id"] % 9 else (None, None)) for r in got) and len(got) == 400
+            assert m > 10 or calls.value - before == 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_vendor_calls_are_read_in_one_scan(spark):
+    from quern.plans import QUERIES
+
+    plan = QUERIES["dec_vendor"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from quern import session
 
